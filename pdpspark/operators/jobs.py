@@ -6,19 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from .ordered import Fill, Prev, first_rows, scan
+from .ordered import Fill, Highest, Prev, first_rows, scan
 
 CELL_MAX = 32767
 MAX_ROWS, MAX_REGISTER = 2000, 300
-# Allowed moves of an item.
-MOVES = {
-    "queued": ["crawling", "working", "failed", "cancelled"],
-    "crawling": ["working", "failed", "cancelled"],
-    "working": ["ok", "failed", "cancelled"],
-    "ok": [],
-    "failed": [],
-    "cancelled": [],
-}
+# How far along an item is; the last three end it.
+STAGE = {"queued": 0, "crawling": 1, "working": 2, "ok": 3, "failed": 3, "cancelled": 3}
 TTL_DAYS = 7
 
 
@@ -111,18 +104,22 @@ def job_snapshot(events: DataFrame, key: str = "job_id") -> DataFrame:
     )
 
 
-def item_states(events: DataFrame, keys, order, block=None) -> DataFrame:
-    """Every event with `legal` and `state` (M3): an item that ended stays ended, other moves follow the table of moves.
+def stage_of(status: Column | str) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in STAGE.items() for x in pair])
+    return F.try_element_at(table, urls._c(status))
 
-    In a stream of requests the state is the last status that was legal. Ended items make the state machine easy to fold in
-    parallel: what counts is the first terminal event, and ranks that only grow before it.
+
+def item_states(events: DataFrame, keys, order, status: str = "status", block=None) -> DataFrame:
+    """Every event with `legal` and `state` (M3): items only move forward and an ended item stays ended.
+
+    An event is legal when its stage is past the highest one so far (an illegal event never is, so the running maximum
+    over all events equals the one over legal events); the state is the status of the last legal event.
     """
-    rank = F.when(F.col("status") == "queued", 0).when(F.col("status") == "crawling", 1).when(F.col("status") == "working", 2).when(
-        F.col("status").isin("failed", "cancelled"), 3).when(F.col("status") == "ok", 4)
-    ranked = events.withColumn("__rank", rank)
-    enders = F.when(F.col("status").isin("failed", "cancelled"), F.struct(*order))
-    marked = scan(ranked, keys, order, [Fill("__end", enders, strict=True)], block)
-    return marked.withColumn("legal", F.col("__end").isNull() & F.col("__rank").isNotNull()).drop("__rank", "__end")
+    staged = events.withColumn("__stage", stage_of(status))
+    seen = scan(staged, keys, order, [Highest("__top", F.col("__stage"), strict=True)], block)
+    judged = seen.withColumn("legal", F.coalesce(F.col("__stage") > F.coalesce("__top", F.lit(-1)), F.lit(False)))
+    out = scan(judged, keys, order, [Fill("state", F.when(F.col("legal"), F.col(status)))], block)
+    return out.drop("__stage", "__top")
 
 
 def job_progress(events: DataFrame, keys, order, percent: str = "percent", block=None) -> DataFrame:

@@ -61,6 +61,18 @@ class Total:
     value: Column
 
 
+@dataclass(frozen=True)
+class Highest:
+    """Running maximum; `strict` leaves the row itself out."""
+
+    out: str
+    value: Column
+    strict: bool = False
+
+
+Spec = Prev | Next | Fill | FillNext | Total | Highest
+
+
 def block_of(df: DataFrame, column: str) -> Column:
     """Coarse position of a row: monotone in `column`, so blocks follow each other in order."""
     kind = df.schema[column].dataType
@@ -75,7 +87,7 @@ def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    specs: Sequence[Prev | Next | Fill | FillNext | Total],
+    specs: Sequence[Spec],
     block: Column | bool | None = None,
 ) -> DataFrame:
     """Add one column per spec. `order` must be unique within a key.
@@ -104,6 +116,8 @@ def scan(
             local[f"__l{i}"] = F.last(v, ignorenulls=True).over(run(up, s.strict))
         elif isinstance(s, FillNext):
             local[f"__l{i}"] = F.last(v, ignorenulls=True).over(run(down, s.strict))
+        elif isinstance(s, Highest):
+            local[f"__l{i}"] = F.max(v).over(run(up, s.strict))
         else:
             local[f"__l{i}"] = F.sum(v).over(run(up, False))
     out = base.withColumns(local)
@@ -131,6 +145,9 @@ def scan(
         elif isinstance(s, FillNext):
             summary.append(F.min_by(v, F.when(v.isNotNull(), place)).alias(name))
             carry[f"__c{i}"] = F.last(name, ignorenulls=True).over(run(down_blocks, True))
+        elif isinstance(s, Highest):
+            summary.append(F.max(v).alias(name))
+            carry[f"__c{i}"] = F.max(name).over(run(up_blocks, True))
         else:
             summary.append(F.sum(v).alias(name))
             carry[f"__c{i}"] = F.sum(name).over(run(up_blocks, True))
@@ -143,6 +160,8 @@ def scan(
             final[s.out] = F.coalesce(here, before)["v"]
         elif isinstance(s, (Fill, FillNext)):
             final[s.out] = F.coalesce(here, before)
+        elif isinstance(s, Highest):
+            final[s.out] = F.greatest(here, before)
         else:
             final[s.out] = F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0))
     keep = [c for c in df.columns if c not in final]

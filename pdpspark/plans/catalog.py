@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import page_queries
+from . import page_queries, text_queries
 from .registry import PLANS
 
-MODULES = (page_queries,)
+MODULES = (page_queries, text_queries)
 
 
 def names() -> list[str]:
