@@ -322,7 +322,7 @@ def col_letters(number: Column | str) -> Column:
 def crop_url(url: Column | str, crop: Column | str, path: str = "/api/v1/image-crop") -> Column:
     """Address that serves a cut of an image; the whole image keeps its own address."""
     c = _c(crop)
-    box = F.format_string("%.4f,%.4f,%.4f,%.4f", c["x"], c["y"], c["w"], c["h"])
+    box = F.format_string("%.4f,%.4f,%.4f,%.4f", *[F.bround(c[k], 4) for k in ("x", "y", "w", "h")])
     quoted = F.replace(F.url_encode(_c(url)), F.lit("+"), F.lit("%20"))
     return F.when(c.isNull() | (c["kind"] == "full"), _c(url)).otherwise(
         F.concat(F.lit(path + "?url="), quoted, F.lit("&box="), box)

@@ -96,9 +96,9 @@ def scan(
     """
     bounded = block is False
     cut = F.lit(0) if bounded else block_of(df, order[0]) if block is None or block is True else block
-    values = {f"__v{i}": s.value for i, s in enumerate(specs)}
-    base = df.withColumns({"__b": cut, **values})
-    part = list(keys) if bounded else [*keys, "__b"]
+    values = {f"_scan_v{i}": s.value for i, s in enumerate(specs)}
+    base = df.withColumns({"_scan_block": cut, **values})
+    part = list(keys) if bounded else [*keys, "_scan_block"]
     up = Window.partitionBy(*part).orderBy(*[F.col(c).asc() for c in order])
     down = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
 
@@ -107,55 +107,55 @@ def scan(
 
     local: dict[str, Column] = {}
     for i, s in enumerate(specs):
-        v = F.col(f"__v{i}")
+        v = F.col(f"_scan_v{i}")
         if isinstance(s, Prev):
-            local[f"__l{i}"] = F.lag(F.struct(v.alias("v"))).over(up)
+            local[f"_scan_l{i}"] = F.lag(F.struct(v.alias("v"))).over(up)
         elif isinstance(s, Next):
-            local[f"__l{i}"] = F.lead(F.struct(v.alias("v"))).over(up)
+            local[f"_scan_l{i}"] = F.lead(F.struct(v.alias("v"))).over(up)
         elif isinstance(s, Fill):
-            local[f"__l{i}"] = F.last(v, ignorenulls=True).over(run(up, s.strict))
+            local[f"_scan_l{i}"] = F.last(v, ignorenulls=True).over(run(up, s.strict))
         elif isinstance(s, FillNext):
-            local[f"__l{i}"] = F.last(v, ignorenulls=True).over(run(down, s.strict))
+            local[f"_scan_l{i}"] = F.last(v, ignorenulls=True).over(run(down, s.strict))
         elif isinstance(s, Highest):
-            local[f"__l{i}"] = F.max(v).over(run(up, s.strict))
+            local[f"_scan_l{i}"] = F.max(v).over(run(up, s.strict))
         else:
-            local[f"__l{i}"] = F.sum(v).over(run(up, False))
+            local[f"_scan_l{i}"] = F.sum(v).over(run(up, False))
     out = base.withColumns(local)
     if bounded:
         final = {
-            s.out: F.col(f"__l{i}")["v"] if isinstance(s, (Prev, Next)) else F.col(f"__l{i}") for i, s in enumerate(specs)
+            s.out: F.col(f"_scan_l{i}")["v"] if isinstance(s, (Prev, Next)) else F.col(f"_scan_l{i}") for i, s in enumerate(specs)
         }
-        return out.withColumns(final).drop("__b", *values, *local)
+        return out.withColumns(final).drop("_scan_block", *values, *local)
 
     place = F.struct(*order)
     summary, carry = [], {}
-    up_blocks = Window.partitionBy(*keys).orderBy(F.col("__b").asc())
-    down_blocks = Window.partitionBy(*keys).orderBy(F.col("__b").desc())
+    up_blocks = Window.partitionBy(*keys).orderBy(F.col("_scan_block").asc())
+    down_blocks = Window.partitionBy(*keys).orderBy(F.col("_scan_block").desc())
     for i, s in enumerate(specs):
-        v, name = F.col(f"__v{i}"), f"__s{i}"
+        v, name = F.col(f"_scan_v{i}"), f"_scan_s{i}"
         if isinstance(s, Prev):
             summary.append(F.max_by(F.struct(v.alias("v")), place).alias(name))
-            carry[f"__c{i}"] = F.lag(name).over(up_blocks)
+            carry[f"_scan_c{i}"] = F.lag(name).over(up_blocks)
         elif isinstance(s, Next):
             summary.append(F.min_by(F.struct(v.alias("v")), place).alias(name))
-            carry[f"__c{i}"] = F.lead(name).over(up_blocks)
+            carry[f"_scan_c{i}"] = F.lead(name).over(up_blocks)
         elif isinstance(s, Fill):
             summary.append(F.max_by(v, F.when(v.isNotNull(), place)).alias(name))
-            carry[f"__c{i}"] = F.last(name, ignorenulls=True).over(run(up_blocks, True))
+            carry[f"_scan_c{i}"] = F.last(name, ignorenulls=True).over(run(up_blocks, True))
         elif isinstance(s, FillNext):
             summary.append(F.min_by(v, F.when(v.isNotNull(), place)).alias(name))
-            carry[f"__c{i}"] = F.last(name, ignorenulls=True).over(run(down_blocks, True))
+            carry[f"_scan_c{i}"] = F.last(name, ignorenulls=True).over(run(down_blocks, True))
         elif isinstance(s, Highest):
             summary.append(F.max(v).alias(name))
-            carry[f"__c{i}"] = F.max(name).over(run(up_blocks, True))
+            carry[f"_scan_c{i}"] = F.max(name).over(run(up_blocks, True))
         else:
             summary.append(F.sum(v).alias(name))
-            carry[f"__c{i}"] = F.sum(name).over(run(up_blocks, True))
-    carried = base.groupBy(*keys, "__b").agg(*summary).withColumns(carry).select(*keys, "__b", *carry)
-    joined = out.join(carried, [*keys, "__b"], "left")
+            carry[f"_scan_c{i}"] = F.sum(name).over(run(up_blocks, True))
+    carried = base.groupBy(*keys, "_scan_block").agg(*summary).withColumns(carry).select(*keys, "_scan_block", *carry)
+    joined = out.join(carried, [*keys, "_scan_block"], "left")
     final = {}
     for i, s in enumerate(specs):
-        here, before = F.col(f"__l{i}"), F.col(f"__c{i}")
+        here, before = F.col(f"_scan_l{i}"), F.col(f"_scan_c{i}")
         if isinstance(s, (Prev, Next)):
             final[s.out] = F.coalesce(here, before)["v"]
         elif isinstance(s, (Fill, FillNext)):
