@@ -88,27 +88,35 @@ SKIP_WORDS = [
 ABSENT_VALUE = r"(?i)^\s*(ไม่|ไม่มี|no|none|-)\s*$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a large input is not copied into every place that reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lines_of(text: Column | str) -> Column:
     return F.split(_text(text), "\n")
 
 
 def clean_line(line: Column | str) -> Column:
-    t = _drop(_drop(_drop(F.trim(_text(line)), MD_IMAGE), MD_HEAD), r"^[-*+]\s+")
-    bold = t.startswith("**") & t.endswith("**") & (F.length(t) > 4)
-    return F.trim(F.when(bold, F.substring(t, F.lit(3), F.length(t) - 4)).otherwise(t))
+    bare = _drop(_drop(_drop(F.trim(_text(line)), MD_IMAGE), MD_HEAD), r"^[-*+]\s+")
+    return F.trim(F.regexp_replace(bare, r"(?s)^\*\*(.+)\*\*$", "$1"))
 
 
 def _describes_scene(raw: Column) -> Column:
-    t = F.trim(_drop(clean_line(raw), r"\.+$"))
-    dense = t.rlike(SCENE_START) & (F.regexp_count(t, F.lit(SCENE_WORDS)) >= 2)
-    return (F.length(t) >= 40) & (t.rlike(SCENE_STRONG) | t.rlike(SCENE_NARRATIVE) | dense)
+    def judge(t: Column) -> Column:
+        dense = t.rlike(SCENE_START) & (F.regexp_count(t, F.lit(SCENE_WORDS)) >= 2)
+        return (F.length(t) >= 40) & (t.rlike(SCENE_STRONG) | t.rlike(SCENE_NARRATIVE) | dense)
+
+    return let(F.trim(_drop(clean_line(raw), r"\.+$")), judge)
 
 
 def is_image_description(text: Column | str) -> Column:
     """Alt-style scene text: inside a markdown image, or as a long descriptive sentence of its own."""
-    raw = F.trim(_text(text))
-    alts = F.regexp_extract_all(raw, F.lit(r"!\[([^\]]*)\]"), 1)
-    return (raw.rlike(MD_IMAGE) & F.exists(alts, _describes_scene)) | _describes_scene(raw)
+    def judge(raw: Column) -> Column:
+        alts = F.regexp_extract_all(raw, F.lit(r"!\[([^\]]*)\]"), 1)
+        return (raw.rlike(MD_IMAGE) & F.exists(alts, _describes_scene)) | _describes_scene(raw)
+
+    return let(F.trim(_text(text)), judge)
 
 
 def content_lines(text: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
-from .ordered import Prev, Total, islands, scan
+from .ordered import Prev, Total, islands, per_key, scan
 from .sections import _ordered
 
 # Module boxes in pixels, module choice per image row, text limits.
@@ -34,6 +34,7 @@ LISTING_TITLES = {
 # ---------------------------------------------------------------- features
 
 
+@per_key
 def to_features(sections: DataFrame, keys, order, block=None) -> DataFrame:
     """Group sections into features (W10): one row per feature with its images as cards.
 
@@ -249,6 +250,7 @@ def listing_blocks(current: DataFrame, keys) -> DataFrame:
     return current.select(*keys, F.inline(F.filter(rows, lambda r: text.trim_ws(r["text"]) != "")))
 
 
+@per_key
 def draft_details(items: DataFrame, keys, order, limit: int = 8, block=None) -> DataFrame:
     """(keys, line rows) of a product-details draft (O3, F20): title and body lines of the first `limit` titles.
 
@@ -283,6 +285,7 @@ def source_text(sections: DataFrame, keys, order, title: str = "title") -> DataF
         *keys, F.concat(F.col("__title"), F.lit("\n\n"), F.array_join("__all", "\n\n")).alias("doc"))
 
 
+@per_key
 def usp_rows(blocks: DataFrame, keys, order, block=None) -> DataFrame:
     """(keys, order, key, title, desc): one selling point per block; words without a title extend the one before (A16 input).
 

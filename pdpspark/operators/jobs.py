@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from .ordered import Fill, Highest, Prev, first_rows, scan
+from .ordered import Fill, Highest, Prev, first_rows, per_key, scan
 
 CELL_MAX = 32767
 MAX_ROWS, MAX_REGISTER = 2000, 300
@@ -109,6 +109,7 @@ def stage_of(status: Column | str) -> Column:
     return F.try_element_at(table, urls._c(status))
 
 
+@per_key
 def item_states(events: DataFrame, keys, order, status: str = "status", block=None) -> DataFrame:
     """Every event with `legal` and `state` (M3): items only move forward and an ended item stays ended.
 
@@ -122,6 +123,7 @@ def item_states(events: DataFrame, keys, order, status: str = "status", block=No
     return out.drop("__stage", "__top")
 
 
+@per_key
 def job_progress(events: DataFrame, keys, order, percent: str = "percent", block=None) -> DataFrame:
     """Events whose percent differs from the one before (M1)."""
     out = scan(events, keys, order, [Prev("__p", F.struct(F.col(percent).alias("v")))], block)
@@ -145,6 +147,7 @@ def tumbling(events: DataFrame, size: str = "1 day", kind: str = "event_type") -
         F.col("w.start").alias("start"), kind, "n")
 
 
+@per_key
 def sessions(events: DataFrame, keys, order, gap_seconds: int = 1800, block=None) -> DataFrame:
     """Sessions by inactivity as islands (M9): the batch form that stays parallel inside one hot user.
 

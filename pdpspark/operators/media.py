@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
-from .ordered import Fill, FillNext, Next, Prev, drop_repeats, first_rows, scan
+from .ordered import Fill, FillNext, drop_repeats, first_rows, per_key, scan
 
 # File-name words that say nothing about the content.
 FILE_STOP_WORDS = [
@@ -77,6 +77,7 @@ def recover_media(missing: DataFrame, sections: DataFrame, keys: list[str], medi
     return missing.select(*keys, media_id, "url").join(best, [*keys, media_id], "left")
 
 
+@per_key
 def own_media(blocks: DataFrame, keys, order, block=None) -> DataFrame:
     """Which neighbour a media row belongs to (J15). Adds `owner` (place of a text block) to media rows.
 
@@ -100,6 +101,7 @@ def own_media(blocks: DataFrame, keys, order, block=None) -> DataFrame:
     return out.withColumn("owner", F.when(F.col("is_media"), owner)).drop("__a", "__b")
 
 
+@per_key
 def captions(md_lines: DataFrame, keys, order, block=None) -> DataFrame:
     """(keys, url, caption): the line before each media tag, tags and blank lines skipped (J16). md_lines: keys, order, line."""
     line = F.trim("line")
@@ -374,4 +376,4 @@ def prefer_mobile(media: Column | str, overlay: Column | str) -> Column:
     )
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Window", "Next", "Prev")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Window")]

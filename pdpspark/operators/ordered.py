@@ -1,13 +1,16 @@
 """Order-sensitive building blocks that stay parallel inside one hot key.
 
-A window partitioned by the key alone puts all rows of that key into one task. Here the rows of a key are cut into
-blocks by a coarse, monotone function of the position; a window runs inside each block, a pre-aggregated summary per
-block carries values across the cut, and one equi-join on (key, block) brings the carry back. Only the summaries,
+A window partitioned by the key alone puts all rows of that key into one task. So keys are counted first: those with
+few rows take a plain window, and chained windows of one operator share one shuffle. The rows of a hot key are cut
+into blocks by a coarse, monotone function of the position; a window runs inside each block, a pre-aggregated summary
+per block carries values across the cut, and one equi-join on (key, block) brings the carry back. Only the summaries,
 one row per block, ever meet in one task.
 """
 
 from __future__ import annotations
 
+import functools
+import inspect
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -15,8 +18,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 BLOCK_ROWS = 4096
 BLOCK_SECONDS = 3600
+HOT_ROWS = 1_000_000
+HOT_ROWS_SETTING = "spark.pdpspark.hotRows"
+MAX_HOT_KEYS = 10_000
+
+
+def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys or None), by a count per key with map-side combine.
+
+    At most MAX_HOT_KEYS keys come to the driver and are broadcast; with more of them all rows take the hot path.
+    """
+    spark = df.sparkSession
+    limit = int(spark.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
+    found = hot.limit(MAX_HOT_KEYS + 1).collect()
+    if not found:
+        return df, None
+    if len(found) > MAX_HOT_KEYS:
+        return None, df
+    few = F.broadcast(spark.createDataFrame(found, hot.schema))
+    same = functools.reduce(lambda x, y: x & y, [df[k].eqNullSafe(few[k]) for k in keys])
+    return df.join(few, same, "left_anti"), df.join(few, same, "left_semi")
+
+
+def per_key(operator):
+    """Let an operator (df, keys, order, ..., block) run the plain way on ordinary keys and in blocks on hot ones."""
+    shape = inspect.signature(operator)
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs):
+        call = shape.bind(*args, **kwargs)
+        call.apply_defaults()
+        if call.arguments["block"] is not None:
+            return operator(**call.arguments)
+        first = next(iter(shape.parameters))
+        parts = [
+            operator(**{**call.arguments, first: rows, "block": block})
+            for rows, block in zip(split_hot(call.arguments[first], call.arguments["keys"]), (False, True))
+            if rows is not None
+        ]
+        if isinstance(parts[0], tuple):
+            return tuple(functools.reduce(DataFrame.unionByName, same) for same in zip(*parts))
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -83,6 +132,7 @@ def block_of(df: DataFrame, column: str) -> Column:
     raise TypeError(f"pass block= for an ordering column of type {kind.simpleString()}")
 
 
+@per_key
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -92,10 +142,11 @@ def scan(
 ) -> DataFrame:
     """Add one column per spec. `order` must be unique within a key.
 
-    `block=False` is for groups bounded by construction (the sections of one parsed page): one plain window.
+    `block` None: by the size of each key. False: one plain window, for groups bounded by construction (the sections
+    of one parsed page). True or a Column: in blocks, each result materialised so that chained scans stay linear.
     """
     bounded = block is False
-    cut = F.lit(0) if bounded else block_of(df, order[0]) if block is None or block is True else block
+    cut = F.lit(0) if bounded else block_of(df, order[0]) if block is True else block
     values = {f"_scan_v{i}": s.value for i, s in enumerate(specs)}
     base = df.withColumns({"_scan_block": cut, **values})
     part = list(keys) if bounded else [*keys, "_scan_block"]
@@ -165,7 +216,7 @@ def scan(
         else:
             final[s.out] = F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0))
     keep = [c for c in df.columns if c not in final]
-    return joined.withColumns(final).select(*keep, *final)
+    return cut_lineage(joined.withColumns(final).select(*keep, *final))
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1, rank: str | None = None) -> DataFrame:
@@ -181,6 +232,7 @@ def drop_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     return first_rows(df, keys, order)
 
 
+@per_key
 def islands(
     df: DataFrame,
     keys: Sequence[str],
@@ -198,6 +250,7 @@ def islands(
     return scan(marked, keys, order, [Total(out, F.col("__start"))], block).drop("__start")
 
 
+@per_key
 def renumber(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "order_n",
              block: Column | bool | None = None) -> DataFrame:
     """Positions 1..n within a key (W14 with the kind among the keys)."""

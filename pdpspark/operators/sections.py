@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
-from .ordered import Fill, FillNext, Next, Prev, Total, drop_repeats, islands, scan
+from ..session import cut_lineage
+from .ordered import Fill, FillNext, Next, Prev, Total, drop_repeats, islands, per_key, scan
 
 MEDIA = "array<struct<pc_url:string,mobile_url:string,unified_url:string,type:string,role:string>>"
 STRINGS = "array<string>"
@@ -120,6 +121,7 @@ def assemble_sections(
         "specs": F.coalesce("specs", F.array().cast(SPECS)), "media": _content("media"),
         "text_roles": F.coalesce("text_roles", F.array().cast("array<struct<role:string,text:string>>")),
     })
+    base = cut_lineage(base)
     ikeys = ["page_id", "dom_index", "item"]
     items = (
         item_boxes.join(_texts_by_role(item_texts, ikeys), ikeys).join(_media_lists(item_media, ikeys, origin), ikeys)
@@ -128,7 +130,7 @@ def assemble_sections(
     )
     words = F.concat(F.col("headline"), F.col("body"))
     signed = items.withColumn("__sig", F.concat_ws("\u0001", F.transform(F.slice(words, 1, 2), lambda t: F.left(F.lower(t), F.lit(80)))))
-    uniq = drop_repeats(signed, ["page_id", "dom_index", "__sig"], ["item_ord"])
+    uniq = cut_lineage(drop_repeats(signed, ["page_id", "dom_index", "__sig"], ["item_ord"]))
     many = uniq.groupBy("page_id", "dom_index").agg(
         F.count(F.lit(1)).alias("made"), F.flatten(F.collect_list(F.transform("media", lambda m: m["pc_url"]))).alias("item_urls"),
         F.min("item_ord").alias("first_item"),
@@ -194,6 +196,7 @@ def image_only() -> Column:
 # ---------------------------------------------------------------- stitching
 
 
+@per_key
 def pair_orphans(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], wants: Column, gives: Column, dom: Column, payload: Column,
     reach: int = 2, block=None,
@@ -247,6 +250,7 @@ def stitch_orphans(sections: DataFrame, keys=PAGE, order=ORDER, block=False) ->
 # ---------------------------------------------------------------- stacked heroes
 
 
+@per_key
 def stack_islands(df: DataFrame, keys, order, stack_key: Column, dom: Column, bare: Column, block=None) -> DataFrame:
     """Number runs of rows that continue the row before: same stack key, next dom index, picture only."""
     seen = F.struct(stack_key.alias("k"), dom.alias("d"), F.coalesce(bare, F.lit(False)).alias("b"))
@@ -367,6 +371,7 @@ def drop_repeated_sections(df: DataFrame, keys: list[str], order: list[str], sig
     return kept.unionByName(signed.where("__sig is null")).drop("__sig")
 
 
+@per_key
 def attach_disclaimers(df: DataFrame, keys, order, is_note: Column, notes: Column, block=None) -> DataFrame:
     """Note-only rows hand their notes to the section before them, or to the next one when none came yet."""
     place = F.struct(*order)
@@ -394,6 +399,7 @@ def cut_below_fold(df: DataFrame, keys, order, component_id: str = "component_id
 # ---------------------------------------------------------------- merging runs
 
 
+@per_key
 def merge_consecutive(df: DataFrame, keys, order, same: Column, aggs: list[Column], block=None, out: str = "island") -> DataFrame:
     """Merge neighbours with an equal, non-NULL `same` value into one row."""
     numbered = islands(df.withColumn("__k", same), keys, order, F.struct(F.col("__k").alias("k")), lambda p: F.col("__k") == p["k"], out, block)
@@ -410,6 +416,7 @@ def append_unless_contained(texts: Column) -> Column:
     )
 
 
+@per_key
 def merge_same_component(df: DataFrame, keys, order, block=None) -> DataFrame:
     """Neighbouring sections of one single-unit component become one.
 
@@ -427,6 +434,7 @@ def merge_same_component(df: DataFrame, keys, order, block=None) -> DataFrame:
     )
 
 
+@per_key
 def pair_title_image(df: DataFrame, keys, order, title_only: Column, weak_image: Column, disclaimer: Column, block=None) -> DataFrame:
     """Hand a title-only section to the next non-disclaimer section when that one is a picture without real words.
 
@@ -448,6 +456,7 @@ def pair_title_image(df: DataFrame, keys, order, title_only: Column, weak_image:
     )
 
 
+@per_key
 def merge_text_runs(df: DataFrame, keys, order, text_only_: Column, takes: Column, block=None) -> DataFrame:
     """Runs of text-only rows join the picture row that follows without a headline, else stay one intro row.
 
@@ -460,6 +469,7 @@ def merge_text_runs(df: DataFrame, keys, order, text_only_: Column, takes: Colum
     return out.join(per, [*keys, "run"]).drop("__t", "__g")
 
 
+@per_key
 def carry_titles(df: DataFrame, keys, order, is_title: Column, receives: Column, title: Column, block=None) -> DataFrame:
     """Pending titles go on top of the next row that can carry them (W20). Adds `carried`; title rows drop out."""
     me = df.withColumns({"__t": F.coalesce(is_title, F.lit(False)), "__title": title})
@@ -473,6 +483,7 @@ def carry_titles(df: DataFrame, keys, order, is_title: Column, receives: Column,
     return rest.join(titles, [*keys, "__due"], "left").drop("__t", "__r", "__n", "__due", "__title")
 
 
+@per_key
 def pair_captions(df: DataFrame, keys, order, block=None) -> DataFrame:
     """Pair a media row of a multi-column row group with the caption that follows it.
 
@@ -504,6 +515,7 @@ def pair_captions(df: DataFrame, keys, order, block=None) -> DataFrame:
 # ---------------------------------------------------------------- order, cards, heroes
 
 
+@per_key
 def order_by_document(df: DataFrame, keys, order, block=None) -> DataFrame:
     """Document order (W13). df: disclaimer, dom_index, orig_pos, text_pos, rec_pos (NULL = not found).
 
@@ -540,6 +552,7 @@ def cardish(layout: Column | str, item_group: Column | str) -> Column:
     return F.coalesce(lay.rlike(CARD_LAYOUT), F.lit(False)) | F.coalesce(grp, F.lit(False))
 
 
+@per_key
 def card_rows(df: DataFrame, keys, order, max_cols: int = 4, use_group_heading: bool = True, block=None) -> tuple[DataFrame, DataFrame]:
     """(card rows, other rows).
 
@@ -586,6 +599,7 @@ def card_rows(df: DataFrame, keys, order, max_cols: int = 4, use_group_heading:
     return rows, others
 
 
+@per_key
 def spread_awards(df: DataFrame, keys, order, one_logo: Column, component_id: Column, award: Column, block=None) -> DataFrame:
     """In a run of two or more one-logo sections of one component, one award makes all of them awards."""
     me = df.withColumns({"__k": F.when(one_logo, F.coalesce(component_id, F.lit(""))), "__a": F.coalesce(award, F.lit(False))})
@@ -596,6 +610,7 @@ def spread_awards(df: DataFrame, keys, order, one_logo: Column, component_id: Co
     ).drop("__k", "__a", "__run", "__n", "__any")
 
 
+@per_key
 def spec_table_rows(specs: DataFrame, keys, order, group: str = "grp", block=None) -> DataFrame:
     """Spec rows with `header`, the group name where the group changes."""
     named = F.nullif(F.col(group), F.lit(""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import channels, extract, qa, sections
 from ..operators.ordered import cut_after_last, mark_first, renumber
+from ..session import cut_lineage
 from .registry import query, table
 
 LINE = ["l_linenumber", "l_partkey", "l_suppkey"]
@@ -148,7 +149,8 @@ def award_runs(spark, folder):
 @query("same_component", f"""
 WITH b AS (SELECT l_orderkey, {SQL_LINE}, CASE WHEN CAST(l_quantity AS INT) % 5 <> 0 THEN l_suppkey % 3 END AS dm, l_partkey AS p FROM lineitem),
 i AS (SELECT *, sum(CASE WHEN dm = pd THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY {SQL_LINE} ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, lag(dm) OVER (PARTITION BY l_orderkey ORDER BY {SQL_LINE}) AS pd FROM b))
-SELECT l_orderkey, CAST(island AS BIGINT) AS island, string_agg('P' || p || '.', chr(10) ORDER BY {SQL_LINE}) AS text, CAST(count(DISTINCT p % 50) AS BIGINT) AS n_media FROM i GROUP BY l_orderkey, island
+SELECT l_orderkey, CAST(island AS BIGINT) AS island, string_agg('P' || p || '.', chr(10) ORDER BY {SQL_LINE}) FILTER (rn = 1) AS text, CAST(count(DISTINCT p % 50) AS BIGINT) AS n_media
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, island, p ORDER BY {SQL_LINE}) AS rn FROM i) GROUP BY l_orderkey, island
 """)
 def same_component(spark, folder):
     """Neighbouring rows of one component merged, texts appended unless contained, media united."""
@@ -184,9 +186,9 @@ e AS (SELECT *, lag(kind) OVER (PARTITION BY k ORDER BY i) AS pk, lag(run) OVER
 x AS (SELECT *, sum(CASE WHEN kind = pk AND run = pr AND (kind IN ('grid', 'award') OR (kind = 'columns' AND n > 0)) THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS ft FROM e),
 y AS (SELECT *, sum(n) OVER (PARTITION BY k, ft) AS im, min(i) OVER (PARTITION BY k, ft) AS st2 FROM x),
 z AS (SELECT *, CASE WHEN kind = 'columns' AND im < 2 THEN 'single' ELSE kind END AS kd FROM y),
-c AS (SELECT k, kd, CASE WHEN kd = 'single' THEN i ELSE st2 END AS at, im, cc, p || '-' || j AS card, i, j FROM z, range(1, 3) v(j) WHERE j <= n),
-n AS (SELECT *, row_number() OVER (PARTITION BY k, at ORDER BY i, j) AS rn, CASE WHEN kd IN ('grid', 'columns') THEN CASE WHEN cc >= 2 THEN cc ELSE least(im, 4) END WHEN kd = 'award' THEN least(im, 4) ELSE 1 END AS per FROM c)
-SELECT k AS l_orderkey, CAST(at AS BIGINT) AS at, kd AS kind, CAST(CASE WHEN kd IN ('grid', 'columns') THEN (rn - 1) // per ELSE 0 END AS INT) AS chunk, CAST(per AS INT) AS per_row, string_agg(card, ',' ORDER BY rn) AS cards FROM n GROUP BY ALL
+c AS (SELECT k, kd, CASE WHEN kd = 'single' THEN i ELSE st2 END AS pt, im, cc, p || '-' || j AS card, i, j FROM z, range(1, 3) v(j) WHERE j <= n),
+n AS (SELECT *, row_number() OVER (PARTITION BY k, pt ORDER BY i, j) AS rn, CASE WHEN kd IN ('grid', 'columns') THEN CASE WHEN cc >= 2 THEN cc ELSE least(im, 4) END WHEN kd = 'award' THEN least(im, 4) ELSE 1 END AS per FROM c)
+SELECT k AS l_orderkey, CAST(pt AS BIGINT) AS "at", kd AS kind, CAST(CASE WHEN kd IN ('grid', 'columns') THEN (rn - 1) // per ELSE 0 END AS INT) AS chunk, CAST(per AS INT) AS per_row, string_agg(card, ',' ORDER BY rn) AS cards FROM n GROUP BY ALL
 """)
 def feature_groups(spark, folder):
     """Features: award runs, card grids, column groups, single sections."""
@@ -277,12 +279,13 @@ def tag_components(nodes):
 
 
 def assemble(nodes, origin="https://www.shop.example", gen2=False):
-    """Element table to product sections: the whole chain."""
-    comps = extract.wrappers(nodes)
+    """Element table to product sections: the whole chain, each table materialised once and read many times."""
+    nodes = cut_lineage(nodes)
+    comps = cut_lineage(extract.wrappers(nodes))
     parts = extract.component_table(nodes, comps)
-    specs = extract.specs(nodes, comps)
-    boxes = extract.item_boxes(nodes, comps)
-    compares = extract.compares(nodes, comps)
+    specs = cut_lineage(extract.specs(nodes, comps))
+    boxes = cut_lineage(extract.item_boxes(nodes, comps))
+    compares = cut_lineage(extract.compares(nodes, comps))
     as_items = nodes.join(boxes.select("page_id", F.col("item").alias("node"), F.col("dom_index").alias("owner")), ["page_id", "node"])
     scope = as_items.withColumn("component_id", F.lit("")).withColumn("dom_index", F.col("node"))
     used = specs.select("page_id", F.explode(F.array("label_node", "value_node")).alias("node"))
@@ -293,7 +296,9 @@ def assemble(nodes, origin="https://www.shop.example", gen2=False):
     in_items = extract.inside(nodes, as_items, []).select("page_id", "node").distinct()
     texts = extract.component_texts(nodes, comps, gen2, consumed=used.unionByName(in_items))
     media = extract.component_media(nodes, comps)
-    made, _gallery = sections.assemble_sections(parts, texts, media, specs, item_texts, item_media, boxes, compares, origin)
+    made, _gallery = sections.assemble_sections(
+        cut_lineage(parts), cut_lineage(texts), cut_lineage(media), specs, cut_lineage(item_texts), cut_lineage(item_media), boxes, compares, origin)
+    made = cut_lineage(made)
     done = sections.keep_image_only(sections.stitch_orphans(sections.merge_stacked_heroes(made)))
     shown = done.withColumn("renderable", F.col("renderable") | sections.has_words())
     return sections.serialise(shown, gen2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -22,14 +24,17 @@ def build_session(app: str = "pdpspark", master: str | None = None, **conf: str)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df in the checkpoint folder the cluster names, so lost executors replay only from there.
+    """Materialise df in the checkpoint folder the cluster names, so that lost executors replay only from there.
 
-    Without that setting (unit tests) the frame is returned as it is: the plan stays correct, only longer.
+    A local session without that setting (unit tests) gets a folder of its own; a cluster without it keeps the longer plan.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=False)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                return df
+            folder = tempfile.mkdtemp(prefix="pdpspark-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

@@ -47,8 +47,9 @@ def compare(names, rows, oracle_names, oracle_rows):
     b = sorted((tuple(canon(r[i]) for i in b_order) for r in oracle_rows), key=repr)
     if a == b:
         return None
-    only_a = [r for r in a if r not in set(b)][:3]
-    only_b = [r for r in b if r not in set(a)][:3]
+    in_a, in_b = set(a), set(b)
+    only_a = [r for r in a if r not in in_b][:3]
+    only_b = [r for r in b if r not in in_a][:3]
     return f"rows {len(a)} / {len(b)}\n   spark: {only_a}\n   sql:   {only_b}"
 
 
