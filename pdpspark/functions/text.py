@@ -305,7 +305,7 @@ def clip(text: Column | str, limit: int) -> Column:
 def pipeline_error(log: Column | str) -> Column:
     """One user-facing line out of a job log."""
     rows = F.filter(
-        F.transform(F.split(_drop(_text(log), r"\x1b\[[0-9;]*m"), "\n"), F.trim), lambda ln: ln != ""
+        F.transform(F.split(_drop(_text(log), r"\x1b\[[0-9;]*m"), "\n"), lambda ln: F.trim(ln)), lambda ln: ln != ""
     )
     errors = F.filter(rows, lambda ln: ln.rlike("(?i)error|exception|✗|failed|실패"))
     last = F.coalesce(F.try_element_at(errors, F.lit(-1)), F.try_element_at(rows, F.lit(-1)), F.lit(""))

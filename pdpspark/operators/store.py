@@ -85,7 +85,7 @@ def sync_stats(plan: DataFrame) -> DataFrame:
 def bundle_manifest(entries: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(checked entries with `problem`, entries whose object is missing) (K8)."""
     path = F.left(F.array_join(F.filter(
-        F.transform(F.split(F.regexp_replace("path", r'[\x00-\x1f\\:*?"<>|]+', "_"), "/"), F.trim), lambda p: ~p.isin("", ".", "..")), "/"), F.lit(240))
+        F.transform(F.split(F.regexp_replace("path", r'[\x00-\x1f\\:*?"<>|]+', "_"), "/"), lambda p: F.trim(p)), lambda p: ~p.isin("", ".", "..")), "/"), F.lit(240))
     rows = entries.withColumn("clean_path", path)
     twice = rows.groupBy("clean_path").agg(F.count(F.lit(1)).alias("__n"))
     problem = (

@@ -43,7 +43,7 @@ def rows_per_section(spark, folder):
     return media.rows_per_section(g, ["sec"])
 
 
-SQL_FRAMES = f"""f AS (SELECT user_id AS video_id, event_id, CAST(event_id % 600 AS DOUBLE) / 2 AS t, value AS mean, ({SQL_K} % 100) / 100.0::DOUBLE AS cov, {SQL_K}::DOUBLE AS edge, (event_id % 37)::DOUBLE AS col FROM events),
+SQL_FRAMES = f"""f AS (SELECT user_id AS video_id, event_id, CAST(event_id % 600 AS DOUBLE) / 2 AS t, value AS mean, ({SQL_K} % 97) / 97.0::DOUBLE AS cov, {SQL_K}::DOUBLE AS edge, (event_id % 37)::DOUBLE AS col FROM events),
 m AS (SELECT video_id, CASE WHEN max(edge) = 0 THEN 1 ELSE max(edge) END AS me, CASE WHEN max(col) = 0 THEN 1 ELSE max(col) END AS mc FROM f GROUP BY video_id),
 s AS (SELECT f.video_id, event_id, t, CASE WHEN mean BETWEEN 12 AND 240 THEN round(0.45::DOUBLE * cov + 0.35::DOUBLE * edge / me + 0.20::DOUBLE * col / mc, 4) ELSE 0.0::DOUBLE END AS score FROM f JOIN m USING (video_id))"""
 
@@ -51,7 +51,7 @@ s AS (SELECT f.video_id, event_id, t, CASE WHEN mean BETWEEN 12 AND 240 THEN rou
 def frames(spark, folder):
     return table(spark, folder, "events").select(
         F.col("user_id").alias("video_id"), "event_id", ((F.col("event_id") % 600).cast("double") / 2).alias("t"), F.col("value").alias("mean"),
-        ((k_of() % 100) / F.lit(100.0)).alias("cov"), k_of().cast("double").alias("edge"), (F.col("event_id") % 37).cast("double").alias("col"))
+        ((k_of() % 97) / F.lit(97.0)).alias("cov"), k_of().cast("double").alias("edge"), (F.col("event_id") % 37).cast("double").alias("col"))
 
 
 @query("frame_scores", f"WITH {SQL_FRAMES} SELECT video_id, event_id, score FROM s")
