@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trim_ws
+from .text import let, trim_ws
 from .urls import (
     SITE_CODE, _c, _drop, _no_query, _text, file_name, last_segment, path_of, path_segments, title_case,
 )
@@ -130,30 +130,47 @@ def _ladder(value: Column, rules: list[tuple[str, str]], default: Column | str)
 
 
 def classify(url: Column | str, sub: Column | str | None = None) -> Column:
-    """Struct(cat, sub, dv, grp) of a product address; an address that does not parse gives NULL fields."""
-    u, segs = _c(url), path_segments(url)
-    second = F.coalesce(F.try_element_at(segs, F.lit(2)), F.lit(""))
-    before_last = F.coalesce(F.try_element_at(segs, F.lit(-2)), second)
-    cat = _ladder(u, CATEGORY_RULES, title_case(second))
-    sub = title_case(before_last) if sub is None else _c(sub)
-    tail = _drop(_text(u), "^https?://[^/]+")
-    key = F.concat_ws(" ", cat, sub, tail)
-    dv = F.when(cat == "Air", "ES").otherwise(_ladder(key, DIVISION_RULES, "HS"))
-    low, own = F.lower(key), F.lower(F.concat_ws(" ", sub, tail))
-    grp = None
-    for division, rules in GROUP_RULES.items():
-        for label, pattern in rules:
-            hit = (own if label == "Dryer" else low).rlike(pattern)
-            if label == "Audio":
-                hit = hit & ~low.rlike(TV_WITH_SOUND)
-            if label == "Dryer":
-                hit = hit & ~own.rlike(WASH_AND_DRY)
-            hit = (dv == division) & hit
-            grp = F.when(hit, label) if grp is None else grp.when(hit, label)
-    for division, label in GROUP_DEFAULT.items():
-        grp = grp.when(dv == division, label)
-    ok = segs.isNotNull()
-    return F.struct(*[F.when(ok, v).alias(n) for n, v in (("cat", cat), ("sub", sub), ("dv", dv), ("grp", grp))])
+    """Struct(cat, sub, dv, grp) of a product address; an address that does not parse gives NULL fields.
+
+    Each step feeds many rules of the next one, so it is bound once per row.
+    """
+    u = _c(url)
+
+    def start(segs: Column) -> Column:
+        second = F.coalesce(F.try_element_at(segs, F.lit(2)), F.lit(""))
+        before_last = F.coalesce(F.try_element_at(segs, F.lit(-2)), second)
+        first = F.struct(
+            segs.isNotNull().alias("ok"), _ladder(u, CATEGORY_RULES, title_case(second)).alias("cat"),
+            (title_case(before_last) if sub is None else _c(sub)).alias("sub"), _drop(_text(u), "^https?://[^/]+").alias("tail"),
+        )
+        return let(first, divide)
+
+    def divide(x: Column) -> Column:
+        key = F.concat_ws(" ", x["cat"], x["sub"], x["tail"])
+        dv = F.when(x["cat"] == "Air", "ES").otherwise(let(key, lambda k: _ladder(k, DIVISION_RULES, "HS")))
+        return let(
+            F.struct(x["ok"].alias("ok"), x["cat"].alias("cat"), x["sub"].alias("sub"), dv.alias("dv"), F.lower(key).alias("low"),
+                     F.lower(F.concat_ws(" ", x["sub"], x["tail"])).alias("own")),
+            group,
+        )
+
+    def group(x: Column) -> Column:
+        grp = None
+        for division, ladder in GROUP_RULES.items():
+            for label, pattern in ladder:
+                hit = (x["own"] if label == "Dryer" else x["low"]).rlike(pattern)
+                if label == "Audio":
+                    hit = hit & ~x["low"].rlike(TV_WITH_SOUND)
+                if label == "Dryer":
+                    hit = hit & ~x["own"].rlike(WASH_AND_DRY)
+                hit = (x["dv"] == division) & hit
+                grp = F.when(hit, label) if grp is None else grp.when(hit, label)
+        for division, label in GROUP_DEFAULT.items():
+            grp = grp.when(x["dv"] == division, label)
+        fields = (("cat", x["cat"]), ("sub", x["sub"]), ("dv", x["dv"]), ("grp", grp))
+        return F.struct(*[F.when(x["ok"], v).alias(n) for n, v in fields])
+
+    return let(path_segments(u), start)
 
 
 def channel_guess(file: Column | str, labels: Column | str) -> Column:

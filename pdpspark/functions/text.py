@@ -140,20 +140,28 @@ def trim_ws(value: Column | str) -> Column:
 
 def clean_one_line(line: Column) -> Column:
     """Cleaned line, or NULL where the whole line goes. Blank lines pass."""
-    s = trim_ws(line)
-    cell = F.trim(F.replace(F.regexp_extract(s, r"^\|(.+)\|$", 1), F.lit("|"), F.lit(" ")))
-    odd = F.regexp_count(line, F.lit(r"\*\*")) % 2 == 1
-    plain = _drop(F.when(odd, F.replace(line, F.lit("**"), F.lit(""))).otherwise(line), FOOTNOTE_REF)
     gone = F.lit(None).cast("string")
-    return (
-        F.when(s == "", "")
-        .when(s.rlike(r"^\|?[\s:|-]*\|?$"), gone)
-        .when(s.rlike(r"^\|(.+)\|$"), F.when((cell == "") | cell.rlike(r"^[\s:-]+$"), gone).otherwise(cell))
-        .when((F.length(s) >= 40) & s.rlike(READER_START) & s.rlike(READER_VERB), gone)
-        .when(s.rlike(CTA_LINE), gone)
-        .when(trim_ws(plain) == "", gone)
-        .otherwise(_drop(plain, r"\s+$"))
-    )
+
+    def cell_of(s: Column) -> Column:
+        cell = F.trim(F.replace(F.regexp_extract(s, r"^\|(.+)\|$", 1), F.lit("|"), F.lit(" ")))
+        return let(cell, lambda c: F.when(~c.rlike(r"^[\s:-]*$"), c))
+
+    def prose(raw: Column) -> Column:
+        odd = F.regexp_count(raw, F.lit(r"\*\*")) % 2 == 1
+        plain = _drop(F.when(odd, F.replace(raw, F.lit("**"), F.lit(""))).otherwise(raw), FOOTNOTE_REF)
+        return F.nullif(_drop(plain, r"\s+$"), F.lit(""))
+
+    def judge(s: Column) -> Column:
+        return (
+            F.when(s == "", "")
+            .when(s.startswith("|") | s.rlike(r"^[\s:|-]+$"), F.when(s.rlike(r"^\|?[\s:|-]*\|?$"), gone).when(
+                s.rlike(r"^\|(.+)\|$"), cell_of(s)).otherwise(prose(line)))
+            .when((F.length(s) >= 40) & s.rlike(READER_START) & s.rlike(READER_VERB), gone)
+            .when(s.rlike(CTA_LINE), gone)
+            .otherwise(prose(line))
+        )
+
+    return let(trim_ws(line), judge)
 
 
 def clean_text_lines(text: Column | str) -> Column:

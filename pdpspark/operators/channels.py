@@ -355,8 +355,9 @@ def typed_lines(docs: DataFrame, keys, text_col: str = "text", first_is_title: b
     Kinds: heading, bold, disclaimer, title (a short first line without heading), body. A plain line that repeats a heading
     goes, and each line counts once per section.
     """
-    raw = F.transform(F.split(text_col, "\n"), lambda ln, i: F.struct(
-        i.alias("line"), text.trim_ws(ln).alias("s"), text.clean_line(text.trim_ws(ln)).alias("c"), text.trim_ws(ln).rlike("^#{1,6}").alias("h")))
+    raw = F.transform(
+        F.transform(F.split(text_col, "\n"), lambda ln: text.trim_ws(ln)),
+        lambda s, i: F.struct(i.alias("line"), s.alias("s"), text.clean_line(s).alias("c"), s.rlike("^#{1,6}").alias("h")))
     base = docs.withColumn("__r", F.filter(raw, lambda r: (r["s"] != "") & (r["c"] != ""))).withColumn(
         "__heads", F.transform(F.filter("__r", lambda r: r["h"]), lambda r: F.lower(r["c"])))
     kept = F.filter("__r", lambda r: (r["h"] | ~F.array_contains(F.col("__heads"), F.lower(r["c"]))) & ~text.is_image_description(r["c"]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text, urls
 from ..operators import channels, jobs, match, media, ranking, sections
 from ..operators.ordered import renumber
-from .registry import query, table
+from .registry import query, table, wide_table
 
 def _p():
     return F.col("p_partkey")
@@ -116,7 +116,7 @@ SELECT doc_id, CAST(count(DISTINCT k.key) AS BIGINT) AS n_keys FROM k JOIN w USI
 def sku_name_fallback(spark, folder):
     """Key-like words of the texts that the word index knows."""
     words = table(spark, folder, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).select(urls.norm_key("w").alias("key")).distinct()
-    tokens = table(spark, folder, "documents").select("doc_id", F.explode(urls.name_keys("text")).alias("key")).distinct()
+    tokens = wide_table(spark, folder, "documents", "doc_id", "text").select("doc_id", F.explode(urls.name_keys("text")).alias("key")).distinct()
     return tokens.join(words, "key").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_keys"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text, urls
 from ..operators import extract, match
 from ..operators.ordered import drop_repeats, first_rows
-from .registry import query, table
+from .registry import query, table, wide_table
 
 TEXT_RUN = "<(?:p|h1|li|b)>([^<]*)"
 # DuckDB spellings shared by several statements.
@@ -33,7 +33,7 @@ def page_quality(spark, folder):
     """Text runs per page, repeats and address keys. A page is one row, so nothing is shuffled."""
     runs = F.regexp_extract_all("html", F.lit(TEXT_RUN), 1)
     keys = F.filter(F.transform(runs, text.norm_compare), lambda k: F.length(k) >= 4)
-    pages = table(spark, folder, "pages").select("page_id", "url", keys.alias("keys"))
+    pages = wide_table(spark, folder, "pages", "page_id", "url", "html").select("page_id", "url", keys.alias("keys"))
     n, uniq = F.size("keys").cast("bigint"), F.size(F.array_distinct("keys")).cast("bigint")
     return pages.select(
         "page_id", urls.slugify("url").alias("slug"), F.coalesce(urls.site_of("url"), F.lit("")).alias("site"),
@@ -84,7 +84,7 @@ SELECT page_id, href, count(*) AS n FROM l GROUP BY ALL
 """)
 def page_links(spark, folder):
     """Links of each page through the element table (H9, H10 for anchors)."""
-    nodes = extract.nodes(table(spark, folder, "pages"))
+    nodes = extract.nodes(wide_table(spark, folder, "pages", "page_id", "html"))
     return extract.links(nodes).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -94,7 +94,7 @@ SELECT page_id, tag, count(*) AS n FROM t GROUP BY ALL
 """)
 def page_tag_counts(spark, folder):
     """Elements per tag from the element table."""
-    return extract.nodes(table(spark, folder, "pages")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return extract.nodes(wide_table(spark, folder, "pages", "page_id", "html")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("page_links_compare", """
@@ -147,7 +147,7 @@ SELECT page_id, reason = '' AS ok, reason FROM r
 def page_check(spark, folder):
     """Is each page the one that was asked for (H17)? These pages carry no canonical link, so the model code decides."""
     check = rules.page_check("html", "url", min_len=1000)
-    return table(spark, folder, "pages").select("page_id", check.alias("c")).select("page_id", "c.ok", "c.reason")
+    return wide_table(spark, folder, "pages", "page_id", "url", "html").select("page_id", check.alias("c")).select("page_id", "c.ok", "c.reason")
 
 
 @query("page_title", """
@@ -159,7 +159,7 @@ SELECT page_id, CASE WHEN length(h1) >= 5 THEN h1 WHEN length(ti) >= 5 THEN ti E
 """)
 def page_title(spark, folder):
     """Product title by tiers."""
-    return table(spark, folder, "pages").select("page_id", rules.product_title("html").alias("title"))
+    return wide_table(spark, folder, "pages", "page_id", "url", "html").select("page_id", rules.product_title("html").alias("title"))
 
 
 @query("page_policy", """
@@ -173,7 +173,7 @@ SELECT page_id, x.rule AS rule, CAST(x.n AS BIGINT) AS n FROM v WHERE x.n > 0
 def page_policy(spark, folder):
     """Active content that an export must not carry (F22), as a reject table."""
     return (
-        table(spark, folder, "pages").select("page_id", F.explode(rules.policy_violations("html")).alias("v"))
+        wide_table(spark, folder, "pages", "page_id", "url", "html").select("page_id", F.explode(rules.policy_violations("html")).alias("v"))
         .select("page_id", "v.rule", F.col("v.n").cast("bigint").alias("n"))
     )
 
@@ -303,7 +303,7 @@ SELECT slug, first(url ORDER BY page_id, pos) AS url FROM f WHERE {SQL_SLUG} = s
 def page_backfill(spark, folder):
     """Source address found again in the page text (S12): here the text is the html and a trailer with addresses."""
     body = F.concat("html", F.lit("\n"), "url", F.lit("\n"), "url", F.lit("?again"))
-    pages = table(spark, folder, "pages").select(urls.slugify("url").alias("slug"), body.alias("md"))
+    pages = wide_table(spark, folder, "pages", "page_id", "url", "html").select(urls.slugify("url").alias("slug"), body.alias("md"))
     return extract.backfill_source(pages, columns=("md",))
 
 
@@ -315,7 +315,7 @@ SELECT page_id, key, count(*) AS n FROM k WHERE length(key) >= 4 GROUP BY ALL
 """)
 def page_text_inventory(spark, folder):
     """List texts of each page that a finished product must contain (H11 for pages without component classes)."""
-    nodes = extract.nodes(table(spark, folder, "pages"))
+    nodes = extract.nodes(wide_table(spark, folder, "pages", "page_id", "html"))
     leaves = extract.leaf_texts(nodes).where("tag = 'li'").select("page_id", "node", text.norm_compare("text").alias("key"))
     return leaves.where(F.length("key") >= 4).groupBy("page_id", "key").agg(F.count(F.lit(1)).alias("n"))
 

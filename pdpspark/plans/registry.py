@@ -24,5 +24,23 @@ def query(name: str, oracle: str | None = None) -> Callable[[Plan], Plan]:
     return register
 
 
+WIDE = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table that lies in fewer files than there are cores, spread for work that is heavy per row.
+
+    Tables of many files, as on a cluster, stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def wide_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Texts or pages for per-row work: the columns used, spread over the cores."""
+    df = table(spark, folder, name)
+    return spread(df.select(*columns) if columns else df, WIDE[name])

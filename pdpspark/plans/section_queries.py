@@ -8,7 +8,7 @@ from ..functions import rules
 from ..operators import channels, extract, qa, sections
 from ..operators.ordered import cut_after_last, mark_first, renumber
 from ..session import cut_lineage
-from .registry import query, table
+from .registry import query, table, wide_table
 
 LINE = ["l_linenumber", "l_partkey", "l_suppkey"]
 SQL_LINE = "l_linenumber, l_partkey, l_suppkey"
@@ -261,7 +261,7 @@ def page_sections(spark, folder):
 
     These pages carry no component classes, so their block tags are given some, as a crawl of a component site has them.
     """
-    nodes = tag_components(extract.nodes(table(spark, folder, "pages")))
+    nodes = tag_components(extract.nodes(wide_table(spark, folder, "pages", "page_id", "html")))
     secs, _cards = assemble(nodes)
     return secs.select(
         "page_id", "order_n", "dom_index", "component_id", "layout_type", "columns", F.size("media").alias("n_media"), F.length("text").alias("n_chars"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text, urls
 from ..operators import channels, extract, media, qa, sections
 from ..operators.ordered import Total, drop_repeats, scan
-from .registry import query, table
+from .registry import query, table, wide_table
 
 
 def q(pattern: str) -> str:
@@ -54,7 +54,7 @@ FROM c
 """)
 def doc_lines_clean(spark, folder):
     """Section text clean-up per line (T4)."""
-    docs = marked_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = marked_lines(wide_table(spark, folder, "documents", "doc_id", "text"))
     kept = F.transform(text.lines_of("md"), text.clean_one_line)
     return docs.select(
         "doc_id", F.md5(text.clean_text_lines("md")).alias("clean_md5"),
@@ -72,7 +72,7 @@ SELECT doc_id, CAST(count(*) FILTER (clean <> '') AS BIGINT) AS n_lines, CAST(su
 """)
 def doc_clean_lines(spark, folder):
     """Markdown residue stripped per line."""
-    docs = marked_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = marked_lines(wide_table(spark, folder, "documents", "doc_id", "text"))
     clean = docs.select("doc_id", F.transform(text.lines_of("md"), text.clean_line).alias("c"))
     full = F.filter("c", lambda x: x != "")
     return clean.select(
@@ -97,7 +97,7 @@ SELECT doc_id, CAST(count(*) FILTER ({SQL_DESCRIBES.format(t='t')}) AS BIGINT) A
 """)
 def doc_descriptions(spark, folder):
     """Scene descriptions among the lines of each text."""
-    docs = marked_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = marked_lines(wide_table(spark, folder, "documents", "doc_id", "text"))
     lines = docs.select("doc_id", F.explode(text.lines_of("md")).alias("ln"))
     return lines.groupBy("doc_id").agg(
         F.count_if(text.is_image_description("ln")).alias("n_descriptions"), F.count(F.lit(1)).alias("n_lines"))
@@ -111,7 +111,7 @@ SELECT key, n, f.d AS first_doc, CAST(f.p AS INTEGER) AS first_line FROM g WHERE
 """)
 def doc_line_dedupe(spark, folder):
     """Lines that repeat across the corpus, with their first place (W1, T5), pre-aggregated per key."""
-    lines = table(spark, folder, "documents").select("doc_id", F.posexplode(text.lines_of("text")).alias("pos", "ln"))
+    lines = wide_table(spark, folder, "documents").select("doc_id", F.posexplode(text.lines_of("text")).alias("pos", "ln"))
     keyed = lines.select("doc_id", "pos", text.norm_compare("ln").alias("key")).where(F.length("key") >= 4)
     return keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("f")).where("n > 1").select(
@@ -124,7 +124,7 @@ SELECT doc_id, source FROM s QUALIFY row_number() OVER (PARTITION BY t ORDER BY
 """)
 def doc_signature_dupes(spark, folder):
     """First document per signature (W2): equal words, whatever the white space and case."""
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    docs = wide_table(spark, folder, "documents").select("doc_id", "source", "text")
     none = F.array().cast("array<string>")
     signed = docs.select("doc_id", "source", sections.section_signature(none, F.col("text"), none).alias("sig"))
     kept = drop_repeats(signed.where("sig is not null"), ["sig"], ["doc_id"])
@@ -144,7 +144,7 @@ def doc_coverage(spark, folder):
     bench = table(spark, folder, "benchmark")
     n = bench.agg(F.count(F.lit(1)).alias("n_items"))
     blobs = bench.select(F.col("item_id").alias("page_id"), text.norm_compare("text").alias("blob"))
-    docs = table(spark, folder, "documents").crossJoin(F.broadcast(n)).select(
+    docs = wide_table(spark, folder, "documents").crossJoin(F.broadcast(n)).select(
         "doc_id", (F.col("doc_id") % F.col("n_items")).alias("page_id"), F.explode(F.split("text", r"\. ")).alias("text"))
     inventory = docs.select("doc_id", "page_id", "text", text.norm_compare("text").alias("key")).where(F.length("key") >= 4)
     out = qa.text_coverage(inventory, blobs)
@@ -161,7 +161,7 @@ def doc_verify(spark, folder):
     """Lines whose first 80 characters the paired page does not hold."""
     pages = table(spark, folder, "pages")
     n = pages.agg(F.count(F.lit(1)).alias("n_pages"))
-    flow = table(spark, folder, "documents").crossJoin(F.broadcast(n)).select(
+    flow = wide_table(spark, folder, "documents").crossJoin(F.broadcast(n)).select(
         (F.col("doc_id") % F.col("n_pages")).alias("page_id"), F.col("doc_id").alias("seq"), F.col("text").alias("text_content"),
         F.array().cast("array<string>").alias("urls"))
     bad = qa.verify(flow, pages.select("page_id", F.col("html").alias("body")))
@@ -178,7 +178,7 @@ SELECT doc_id, kind, md5(t) AS text_md5, CAST(row_number() OVER (PARTITION BY do
 """)
 def doc_disclaimers(spark, folder):
     """Texts split into a disclaimer and a content row, renumbered (T8, W14). Two rows come from one document row."""
-    docs = marked_lines(table(spark, folder, "documents").select("doc_id", "text")).select(
+    docs = marked_lines(wide_table(spark, folder, "documents", "doc_id", "text")).select(
         "doc_id", text.split_disclaimers("md", numbered=True).alias("s"))
     parts = F.filter(F.array(
         F.struct(F.lit("disclaimer").alias("kind"), F.col("s.disclaimer").alias("t")),
@@ -198,7 +198,7 @@ SELECT m.media_id, r.sec_ord, r.score FROM m LEFT JOIN r ON r.media_id = m.media
 """)
 def doc_token_recover(spark, folder):
     """Section that shares most words with each item, at least two (J14), first section on ties."""
-    m = table(spark, folder, "documents").select(
+    m = wide_table(spark, folder, "documents").select(
         (F.col("doc_id") % 20).alias("page_id"), F.col("doc_id").alias("media_id"), text.tokens(F.left("text", F.lit(300))).alias("tokens"))
     s = table(spark, folder, "benchmark").select(
         (F.col("item_id") % 20).alias("page_id"), F.col("item_id").alias("sec_ord"), text.tokens("text").alias("tokens"))
@@ -220,7 +220,7 @@ WHERE c <> '' AND NOT regexp_matches(s, '^[*※]') AND NOT {SQL_DESCRIBES.format
 """)
 def doc_roles(spark, folder):
     """Lines by role."""
-    docs = marked_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = marked_lines(wide_table(spark, folder, "documents", "doc_id", "text"))
     flat = docs.select("doc_id", F.explode(text.roles_of("md")).alias("r"))
     return flat.groupBy("doc_id", F.col("r.role").alias("role")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("r.text")).alias("n_chars"))
@@ -234,7 +234,7 @@ SELECT doc_id, CASE WHEN lead THEN ls[1] ELSE '' END AS eyebrow, coalesce(CASE W
 """)
 def doc_headline(spark, folder):
     """Eyebrow, headline and body of each text."""
-    return table(spark, folder, "documents").select("doc_id", text.split_headline("text").alias("h")).select(
+    return wide_table(spark, folder, "documents").select("doc_id", text.split_headline("text").alias("h")).select(
         "doc_id", "h.eyebrow", "h.headline", F.md5("h.body").alias("body_md5"))
 
 
@@ -246,7 +246,7 @@ SELECT doc_id, md5(regexp_replace(array_to_string(list_transform(string_split(t,
 def doc_symbols(spark, folder):
     """Marks a retail text policy refuses taken out."""
     noisy = F.replace("text", F.lit(". "), F.lit(" ®(™) * . "))
-    return table(spark, folder, "documents").select("doc_id", F.md5(text.strip_symbols(noisy)).alias("clean_md5"))
+    return wide_table(spark, folder, "documents").select("doc_id", F.md5(text.strip_symbols(noisy)).alias("clean_md5"))
 
 
 @query("doc_md_tokens", f"""
@@ -258,7 +258,7 @@ FROM l WHERE r <> '' GROUP BY ALL
 """)
 def doc_md_tokens(spark, folder):
     """Markdown tokens of each text."""
-    docs = marked_lines(table(spark, folder, "documents").select("doc_id", "text")).withColumnRenamed("doc_id", "page_id")
+    docs = marked_lines(wide_table(spark, folder, "documents", "doc_id", "text")).withColumnRenamed("doc_id", "page_id")
     return extract.md_tokens(docs).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).alias("n_chars"))
 
 
@@ -295,7 +295,7 @@ SELECT doc_id, kind, count(*) AS n, CAST(sum(length(CASE WHEN kind = 'disclaimer
 """)
 def doc_typed_lines(spark, folder):
     """Export lines by kind."""
-    docs = marked_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = marked_lines(wide_table(spark, folder, "documents", "doc_id", "text"))
     return channels.typed_lines(docs, ["doc_id"], "md").groupBy("doc_id", "kind").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("n_chars"))
 
@@ -309,7 +309,7 @@ FROM l GROUP BY doc_id
 def doc_fragments(spark, folder):
     """Escaped fragments and their content ids (K4, K6). One document row gives one fragment."""
     html = F.array_join(F.transform(text.lines_of("text"), lambda ln: F.concat(F.lit("<p>"), urls.xml_escape(ln), F.lit("</p>"))), "\n")
-    docs = table(spark, folder, "documents").select("doc_id", html.alias("html"))
+    docs = wide_table(spark, folder, "documents").select("doc_id", html.alias("html"))
     return docs.select("doc_id", F.md5("html").alias("html_md5"), channels.content_hash("html", F.lit("shop")).alias("content_id"))
 
 
@@ -318,7 +318,7 @@ SELECT left(sha1('v2|' || source || '|' || text || '|r1'), 20) AS content_id, co
 """)
 def content_ids(spark, folder):
     """Content-addressed ids with how many documents share each (K6)."""
-    docs = table(spark, folder, "documents").select("doc_id", channels.content_hash("text", "source", "v2", F.lit("r1")).alias("content_id"))
+    docs = wide_table(spark, folder, "documents").select("doc_id", channels.content_hash("text", "source", "v2", F.lit("r1")).alias("content_id"))
     return docs.groupBy("content_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
@@ -352,7 +352,7 @@ FROM l GROUP BY doc_id
 """)
 def doc_noise(spark, folder):
     """Noise words per text."""
-    words = table(spark, folder, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+    words = wide_table(spark, folder, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
     return words.groupBy("doc_id").agg(
         F.count_if(text.is_skip("w")).alias("n_skip"), F.count_if(text.looks_like_class_name("w")).alias("n_class"),
         F.count_if(text.is_fragment_heading("w")).alias("n_fragment"))
@@ -372,7 +372,7 @@ FROM n WHERE n <= 8 AND (NOT lg OR (n > 0 AND n < 8))
 def doc_draft(spark, folder):
     """Product-details draft: the first eight titles with their details."""
     first = F.element_at(F.split("ln", r"\. "), 1)
-    items = table(spark, folder, "documents").select("doc_id", F.posexplode(text.lines_of("text")).alias("pos", "ln")).select(
+    items = wide_table(spark, folder, "documents").select("doc_id", F.posexplode(text.lines_of("text")).alias("pos", "ln")).select(
         "doc_id", "pos", first.alias("title"), F.substring(F.col("ln"), F.length(first) + 3, F.length("ln")).alias("body"))
     return channels.draft_details(items, ["doc_id"], ["pos"]).select("doc_id", "title_no", "line")
 
