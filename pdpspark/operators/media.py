@@ -110,8 +110,8 @@ def captions(md_lines: DataFrame, keys, order, block=None) -> DataFrame:
     out = scan(md_lines, keys, order, [Fill("__c", said, strict=True)], block).where(tag)
     cap = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim("__c"), "^#+", "")), r"^\*+", ""))
     url = urls.bare_url(F.regexp_extract(line, TAG, 1))
-    rows = out.select(*keys, *order, url.alias("url"), F.left(cap, F.lit(60)).alias("caption"), F.length(cap).alias("n"), cap.startswith("![").alias("img"))
-    good = rows.where((F.col("n") >= 8) & ~F.col("img"))
+    rows = out.select(*keys, *order, url.alias("url"), F.left(cap, F.lit(60)).alias("caption"), F.length(cap).alias("__n"), cap.startswith("![").alias("__img"))
+    good = rows.where((F.col("__n") >= 8) & ~F.col("__img"))
     return first_rows(good, [*keys, "url"], [F.desc(o) for o in order]).select(*keys, "url", "caption")
 
 

@@ -70,7 +70,7 @@ def explode_sections(mirrors: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_sidecars(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(markdown, meta, geometry) next to the pages (S3): meta as VARIANT, values being strings or arrays."""
     def whole(suffix: str) -> DataFrame:
-        return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(root).select(
+        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(root, wholetext=True).select(
             F.regexp_replace(F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)), re.escape(suffix) + "$", "").alias("slug"), "value")
 
     md = whole(".fc.md").withColumnRenamed("value", "md")
@@ -184,8 +184,9 @@ def _model_of(pushes: list[str]) -> str | None:
     at = text.find('"overview-section":')
     if at < 0:
         return None
+    rest = text[at + len('"overview-section":'):].lstrip()
     try:
-        value, _ = json.JSONDecoder().raw_decode(text, at + len('"overview-section":'))
+        value, _ = json.JSONDecoder().raw_decode(rest)
     except ValueError:
         return None
     return json.dumps(value, ensure_ascii=False)
@@ -244,7 +245,7 @@ def read_component_specs(spark: SparkSession, dirs: list[str]) -> DataFrame:
     """(component_id, name, fonts, colors): design specs of components, the first directory that has one wins."""
     rows = None
     for rank, folder in enumerate(dirs):
-        one = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select(
+        one = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(
             F.lit(rank).alias("rank"), F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("file"), "value")
         rows = one if rows is None else rows.unionByName(one)
     head = F.regexp_extract("value", r"(?m)^#\s+(.+)$", 1)
