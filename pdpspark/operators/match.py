@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
+from ..session import cut_lineage
 from .ordered import first_rows
 
 NO_KEYS = "array<string>"
@@ -57,9 +58,9 @@ def match_keys(
 
     Rows meet distinct model keys only; a key shared by many products does not multiply rows here.
     """
-    heads = index.select("key").distinct()
-    keys = exploded_keys(rows, row_id, [parent_sku, sku])
-    hits = (
+    heads = cut_lineage(index.select("key").distinct())
+    keys = cut_lineage(exploded_keys(rows, row_id, [parent_sku, sku]))
+    hits = cut_lineage(
         keys.join(heads, "key").select(row_id, "tier", "key")
         .unionByName(prefix_keys(keys, heads).select(row_id, "tier", F.col("model").alias("key")))
         .distinct()
@@ -135,11 +136,11 @@ def sitemap_lookup(keys: DataFrame, index: DataFrame, row_id: str = "row") -> Da
     The sitemap is reduced to one row per key before it meets the rows; an address belongs to one key only, so
     the counts of several keys add up.
     """
-    per_key = pick_url(index.select("key", "url", "lastmod"), "key").withColumn("n", F.col("alts") + 1).drop("alts")
+    per_key = cut_lineage(pick_url(index.select("key", "url", "lastmod"), "key").withColumn("n", F.col("alts") + 1).drop("alts"))
     newest = [F.desc("lastmod"), F.length("url"), F.col("url")]
-    sure = first_rows(keys.join(per_key, "key"), [row_id], ["ord"]).select(
+    sure = cut_lineage(first_rows(keys.join(per_key, "key"), [row_id], ["ord"]).select(
         row_id, "url", (F.col("n") - 1).alias("alts"), F.lit(False).alias("fuzzy")
-    )
+    ))
     rest = keys.where(F.length("key") >= 6).join(sure.select(row_id), row_id, "left_anti")
     size = F.length("key")
     longer = per_key.withColumn("head", F.explode(prefixes(F.col("key"), size, F.greatest(size - 5, F.lit(6)))))
@@ -149,7 +150,7 @@ def sitemap_lookup(keys: DataFrame, index: DataFrame, row_id: str = "row") -> Da
     theirs = shorter.join(
         per_key.where(size >= 6).withColumn("full", F.col("key")).withColumnRenamed("key", "head"), "head"
     ).select(*cols)
-    near = ours.unionByName(theirs).distinct()
+    near = cut_lineage(ours.unionByName(theirs).distinct())
     lead = near.groupBy(row_id).agg(F.min("ord").alias("ord"))
     close = near.join(lead, [row_id, "ord"])
     counts = close.groupBy(row_id).agg((F.sum("n") - 1).alias("alts"))

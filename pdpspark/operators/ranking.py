@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import first_rows
 
 
@@ -27,7 +28,7 @@ def top_frames(scored: DataFrame, video: str = "video_id", n: int = 3, gap: floa
     Greedy picking needs one pass per pick: the best frame left, then only frames far enough from all picks. Each pass is
     a partial aggregate over all videos at once.
     """
-    left = scored.where("score > 0")
+    left = cut_lineage(scored.where("score > 0").select(video, "t", "score"))
     best = F.max(F.struct("score", (-F.col("t")).alias("nt"))).alias("b")
     picks = None
     for rank in range(1, n + 1):
@@ -38,6 +39,7 @@ def top_frames(scored: DataFrame, video: str = "video_id", n: int = 3, gap: floa
         if rank < n:
             near = pick.select(video, F.col("t").alias("__t"))
             left = left.join(near, video).where(F.abs(F.col("t") - F.col("__t")) >= gap).drop("__t")
+            left = cut_lineage(left)
     return picks
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text, urls
 from ..operators import channels, jobs, match, media, ranking, sections
 from ..operators.ordered import renumber
+from ..session import cut_lineage
 from .registry import query, table, wide_table
 
 def _p():
@@ -53,8 +54,8 @@ def market_rows(spark, folder):
     )
     parent = F.when((F.col("supp") % 3 == 0) & (n == 4), F.concat("k", F.lit("_P"))).otherwise("")
     name = F.when(n.isin(5, 6), F.concat("p_name", F.lit(" ("), "k", F.lit(")"))).otherwise(F.col("p_name"))
-    return rows.select(
-        (F.col("l_partkey") * 10 + n).alias("row"), sku.alias("sku"), parent.alias("parent_sku"), name.alias("name"))
+    return cut_lineage(rows.select(
+        (F.col("l_partkey") * 10 + n).alias("row"), sku.alias("sku"), parent.alias("parent_sku"), name.alias("name")))
 
 
 ROWS = """mr AS (SELECT l_partkey, l_linenumber AS n, max(l_suppkey) AS supp FROM lineitem GROUP BY ALL),
@@ -582,9 +583,9 @@ SELECT "row", status, md5(CASE WHEN status = 'ok' AND length(t) <= 32767 THEN t
 def fill_cells(spark, folder):
     """Description cells after a job (K3)."""
     parts = table(spark, folder, "part")
-    n = parts.agg(F.count(F.lit(1)).alias("n"))
-    rows = table(spark, folder, "orders").crossJoin(F.broadcast(n)).select(
-        F.col("o_orderkey").alias("row"), (F.col("o_orderkey") % F.col("n")).alias("slug"),
+    n = parts.agg(F.count(F.lit(1))).scalar()
+    rows = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("row"), (F.col("o_orderkey") % n).alias("slug"),
         F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "F", "failed").otherwise("queued").alias("status"),
         F.col("o_orderpriority").alias("old"))
     content = parts.select(_p().alias("slug"), F.expr("repeat(concat(p_name, ' '), CASE WHEN p_partkey % 50 = 0 THEN 6000 ELSE 3 END)").alias("text"))

@@ -142,10 +142,10 @@ FROM k JOIN b USING (item_id) WHERE length(key) >= 4 GROUP BY doc_id
 def doc_coverage(spark, folder):
     """Sentences a paired source text does not contain (J8): one equi-join, then containment."""
     bench = table(spark, folder, "benchmark")
-    n = bench.agg(F.count(F.lit(1)).alias("n_items"))
+    n = bench.agg(F.count(F.lit(1))).scalar()
     blobs = bench.select(F.col("item_id").alias("page_id"), text.norm_compare("text").alias("blob"))
-    docs = wide_table(spark, folder, "documents").crossJoin(F.broadcast(n)).select(
-        "doc_id", (F.col("doc_id") % F.col("n_items")).alias("page_id"), F.explode(F.split("text", r"\. ")).alias("text"))
+    docs = wide_table(spark, folder, "documents").select(
+        "doc_id", (F.col("doc_id") % n).alias("page_id"), F.explode(F.split("text", r"\. ")).alias("text"))
     inventory = docs.select("doc_id", "page_id", "text", text.norm_compare("text").alias("key")).where(F.length("key") >= 4)
     out = qa.text_coverage(inventory, blobs)
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts_total"), F.count_if("missing").alias("texts_missing"))
@@ -160,9 +160,9 @@ SELECT doc_id, count(*) AS n_bad FROM l LEFT JOIN c USING (page_id) WHERE length
 def doc_verify(spark, folder):
     """Lines whose first 80 characters the paired page does not hold."""
     pages = table(spark, folder, "pages")
-    n = pages.agg(F.count(F.lit(1)).alias("n_pages"))
-    flow = wide_table(spark, folder, "documents").crossJoin(F.broadcast(n)).select(
-        (F.col("doc_id") % F.col("n_pages")).alias("page_id"), F.col("doc_id").alias("seq"), F.col("text").alias("text_content"),
+    n = pages.agg(F.count(F.lit(1))).scalar()
+    flow = wide_table(spark, folder, "documents").select(
+        (F.col("doc_id") % n).alias("page_id"), F.col("doc_id").alias("seq"), F.col("text").alias("text_content"),
         F.array().cast("array<string>").alias("urls"))
     bad = qa.verify(flow, pages.select("page_id", F.col("html").alias("body")))
     return bad.groupBy(F.col("seq").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_bad"))
