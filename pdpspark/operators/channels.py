@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
-from .ordered import Prev, Total, islands, per_key, scan
+from .ordered import Prev, Total, islands, per_key, scan, with_group
 from .sections import _ordered
 
 # Module boxes in pixels, module choice per image row, text limits.
@@ -49,13 +49,14 @@ def to_features(sections: DataFrame, keys, order, block=None) -> DataFrame:
     comps = islands(
         base, keys, order, F.struct(F.col("dom_index").alias("d")), lambda p: F.col("dom_index") == p["d"], "__run", block
     )
-    lead = comps.where(~F.col("award")).groupBy(*keys, "__run").agg(F.min("__at").alias("__first"))
-    tagged = comps.join(lead, [*keys, "__run"], "left").withColumn("__body", F.coalesce(F.col("__at") >= F.col("__first"), F.lit(False)))
-    grids = tagged.where("__body and dom_index is not null").groupBy(*keys, "__run").agg(
-        F.min_by("card_like", "__at").alias("__cardish"), F.sum("__n").alias("__cards"),
-        F.min_by("column_count", "__at").alias("__cc"),
-    )
-    out = tagged.join(grids, [*keys, "__run"], "left")
+    run = [*keys, "__run"]
+    led = with_group(comps, run, {"__first": F.min(F.when(~F.col("award"), F.col("__at")))}, block)
+    tagged = led.withColumn("__body", F.coalesce(F.col("__at") >= F.col("__first"), F.lit(False)))
+    counts = F.col("__body") & F.col("dom_index").isNotNull()
+    at = F.when(counts, F.col("__at"))
+    out = with_group(tagged, run, {
+        "__cardish": F.min_by("card_like", at), "__cards": F.sum(F.when(counts, F.col("__n"))),
+    }, block)
     grid = F.coalesce(F.col("__cardish") & (F.col("__cards") >= 2), F.lit(False)) & F.col("__body")
     kind1 = F.when(grid, "grid").when(F.col("award"), "award").when(F.col("column_count") >= 2, "columns").when(
         F.col("row_group").isNotNull() & (F.col("row_columns") >= 2), "row").otherwise("single")
@@ -72,12 +73,11 @@ def to_features(sections: DataFrame, keys, order, block=None) -> DataFrame:
         )
 
     runs = islands(marked, keys, order, me, goes_on, "__f", block)
-    size = runs.groupBy(*keys, "__f").agg(
-        F.sum("__n").alias("__imgs"), F.count(F.lit(1)).alias("__rows"), F.min_by("headline", F.when(
-            F.col("is_head") & (F.col("__n") == 0), F.col("__at"))).alias("__head"),
-        F.min_by("eyebrow", "__at").alias("__eyebrow"), F.min("__at").alias("__start"),
-    )
-    sized = runs.join(size, [*keys, "__f"])
+    sized = with_group(runs, [*keys, "__f"], {
+        "__imgs": F.sum("__n"), "__rows": F.count(F.lit(1)),
+        "__head": F.min_by("headline", F.when(F.col("is_head") & (F.col("__n") == 0), F.col("__at"))),
+        "__eyebrow": F.min_by("eyebrow", "__at"), "__start": F.min("__at"),
+    }, block)
     few = ((F.col("__kind") == "columns") & (F.col("__imgs") < 2)) | ((F.col("__kind") == "row") & (F.col("__rows") < 2))
     kind = F.when(few, "single").otherwise(F.col("__kind"))
     group_at = F.when(kind == "single", F.col("__at")).otherwise(F.col("__start"))
@@ -91,10 +91,9 @@ def to_features(sections: DataFrame, keys, order, block=None) -> DataFrame:
         .when(F.col("kind") == "columns", F.coalesce(F.col("__lent.h"), F.when(~F.col("__eyebrow").rlike("^[*※]"), F.col("__eyebrow")), F.lit("")))
         .when(F.col("kind") == "row", F.coalesce(F.col("__lent.h"), urls.js_or("__eyebrow"), F.lit("Key Features"))),
     )
-    withheads = lent.withColumn("__heading", heading)
-    heads = withheads.where("__heading is not null").select(*keys, "at", F.col("__heading").alias("group_heading"))
+    withheads = with_group(lent.withColumn("__heading", heading), [*keys, "at"], {"group_heading": F.max("__heading")}, block)
     cards = withheads.where(F.col("__n") > 0).select(
-        *keys, "at", "kind", *order, "column_count", "row_columns", "__imgs", "headline", "eyebrow", "body", F.posexplode("images").alias("__k", "image")
+        *keys, "at", "kind", "group_heading", *order, "column_count", "row_columns", "__imgs", "headline", "eyebrow", "body", F.posexplode("images").alias("__k", "image")
     )
     single_text = (F.col("kind") != "single") & (F.col("__k") > 0) & (F.col("kind") == "columns")
     flat = cards.withColumns({
@@ -110,8 +109,8 @@ def to_features(sections: DataFrame, keys, order, block=None) -> DataFrame:
     made = chunked.groupBy(*keys, "at", "kind", "chunk", "per_row").agg(
         _ordered(F.struct(F.col("image").alias("image"), F.col("title").alias("title"), F.col("card_body").alias("body")), "__rn").alias("cards"),
         F.min_by("headline", "__rn").alias("own_head"), F.min_by("eyebrow", "__rn").alias("own_eyebrow"),
-        F.min_by("body", "__rn").alias("own_body"),
-    ).join(heads, [*keys, "at"], "left")
+        F.min_by("body", "__rn").alias("own_body"), F.max("group_heading").alias("group_heading"),
+    )
     one = F.size("cards") == 1
     title = (
         F.when(F.col("kind") == "single", F.col("own_head"))

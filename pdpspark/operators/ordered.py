@@ -219,6 +219,15 @@ def scan(
     return cut_lineage(joined.withColumns(final).select(*keep, *final))
 
 
+def with_group(df: DataFrame, keys: Sequence[str], values: dict[str, Column], block: Column | bool) -> DataFrame:
+    """Add aggregates of each group to its rows: a window where the key is ordinary (it reuses the shuffle of the scans
+    around it), a pre-aggregated join where it is hot."""
+    if block is False:
+        w = Window.partitionBy(*keys)
+        return df.withColumns({name: value.over(w) for name, value in values.items()})
+    return df.join(df.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()]), list(keys), "left")
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1, rank: str | None = None) -> DataFrame:
     """First n rows per key. Spark limits every map task to n rows per key before the shuffle (window group limit)."""
     w = Window.partitionBy(*keys).orderBy(*order)

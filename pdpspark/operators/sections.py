@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
 from ..session import cut_lineage
-from .ordered import Fill, FillNext, Next, Prev, Total, drop_repeats, islands, per_key, scan
+from .ordered import Fill, FillNext, Next, Prev, Total, drop_repeats, islands, per_key, scan, with_group
 
 MEDIA = "array<struct<pc_url:string,mobile_url:string,unified_url:string,type:string,role:string>>"
 STRINGS = "array<string>"
@@ -465,8 +465,7 @@ def merge_text_runs(df: DataFrame, keys, order, text_only_: Column, takes: Colum
     me = df.withColumns({"__t": F.coalesce(text_only_, F.lit(False)), "__g": F.coalesce(takes, F.lit(False))})
     prev = F.struct("__t", "__g")
     out = islands(me, keys, order, prev, lambda p: p["__t"] & (F.col("__t") | F.col("__g")), "run", block)
-    per = out.groupBy(*keys, "run").agg(F.bool_and("__t").alias("intro"))
-    return out.join(per, [*keys, "run"]).drop("__t", "__g")
+    return with_group(out, [*keys, "run"], {"intro": F.bool_and("__t")}, block).drop("__t", "__g")
 
 
 @per_key
@@ -564,17 +563,19 @@ def card_rows(df: DataFrame, keys, order, max_cols: int = 4, use_group_heading:
     me = df.withColumn("__dom", F.when((F.col("dom_index") >= 0) & ~F.col("disclaimer"), F.col("dom_index")))
     runs = islands(me, keys, order, F.struct(F.col("__dom").alias("d")), lambda p: F.col("__dom") == p["d"], "run", block)
     runs = runs.withColumns({"__at": place, "__n": F.size("cards")})
-    starts = runs.where(F.col("card_like") & F.col("__dom").isNotNull()).groupBy(*keys, "run").agg(F.min("__at").alias("__start"))
-    tagged = runs.join(starts, [*keys, "run"], "left").withColumn("__in", F.coalesce(F.col("__at") >= F.col("__start"), F.lit(False)))
+    group = [*keys, "run"]
+    begun = with_group(runs, group, {"__start": F.min(F.when(F.col("card_like") & F.col("__dom").isNotNull(), F.col("__at")))}, block)
+    tagged = begun.withColumn("__in", F.coalesce(F.col("__at") >= F.col("__start"), F.lit(False)))
     hashed = F.when((F.col("__n") == 0) & F.trim("text").startswith("##"), F.col("text"))
     named = F.when((F.col("__n") > 0) & (F.coalesce("group_heading", F.lit("")) != ""), F.concat(F.lit("## "), F.col("group_heading")))
     head = F.coalesce(named, hashed) if use_group_heading else hashed
-    stats = tagged.where("__in").groupBy(*keys, "run").agg(
-        F.sum("__n").alias("n_cards"), F.min_by("column_count", "__at").alias("cc"),
-        F.min_by(head, F.when(head.isNotNull(), F.col("__at"))).alias("heading"),
-        F.min_by(F.try_element_at("cards", F.lit(1)), F.when(F.col("__n") > 0, F.col("__at"))).alias("first_card"),
-    ).where("n_cards >= 2")
-    merged = tagged.join(stats, [*keys, "run"], "left").withColumn("__card", F.col("__in") & F.col("n_cards").isNotNull())
+    inside = lambda ok: F.when(F.col("__in") & ok, F.col("__at"))
+    counted = with_group(tagged, group, {
+        "n_cards": F.sum(F.when(F.col("__in"), F.col("__n"))), "cc": F.min_by("column_count", inside(F.lit(True))),
+        "heading": F.min_by(head, inside(head.isNotNull())),
+        "first_card": F.min_by(F.try_element_at("cards", F.lit(1)), inside(F.col("__n") > 0)),
+    }, block)
+    merged = counted.withColumn("__card", F.coalesce(F.col("__in") & (F.col("n_cards") >= 2), F.lit(False)))
     loose = ~F.col("__card") & (F.col("__n") == 0) & ~F.col("disclaimer") & (F.trim("text") != "")
     with_prev = scan(
         merged, keys, order,
@@ -583,12 +584,13 @@ def card_rows(df: DataFrame, keys, order, max_cols: int = 4, use_group_heading:
         block,
     )
     bare = lambda t: F.lower(F.trim(F.regexp_replace(F.trim(t), r"^#+\s*", "")))
-    lent = with_prev.where(F.col("__card") & (F.col("__at") == F.col("__start"))).select(*keys, "run", F.col("__before.t").alias("lent"))
     popped = loose & F.coalesce(F.col("__next.c") & F.col("__next.s") & F.col("__next.open"), F.lit(False))
     others = with_prev.where(~F.col("__card") & ~popped).select(*df.columns)
-    flat = merged.where("__card").select(*keys, "run", *order, F.posexplode("cards").alias("__k", "card"))
-    rn = scan(flat, [*keys, "run"], [*order, "__k"], [Total("__rn", F.lit(1))], block)
-    sized = rn.join(stats, [*keys, "run"]).join(lent, [*keys, "run"], "left")
+    starter = F.when(F.col("__card") & (F.col("__at") == F.col("__start")), F.col("__at"))
+    lent = with_group(with_prev, group, {"lent": F.min_by(F.col("__before.t"), starter)}, block)
+    flat = lent.where("__card").select(
+        *keys, "run", *order, "n_cards", "cc", "heading", "first_card", "lent", F.posexplode("cards").alias("__k", "card"))
+    sized = scan(flat, group, [*order, "__k"], [Total("__rn", F.lit(1))], block)
     per = F.when(F.col("cc").between(2, max_cols), F.col("cc")).otherwise(F.least("n_cards", F.lit(max_cols))).cast("int")
     chunked = sized.withColumn("cols", per).withColumn("chunk", F.floor((F.col("__rn") - 1) / F.col("cols")))
     title = F.coalesce("heading", "lent", F.lit(""))
@@ -604,8 +606,8 @@ def spread_awards(df: DataFrame, keys, order, one_logo: Column, component_id: Co
     """In a run of two or more one-logo sections of one component, one award makes all of them awards."""
     me = df.withColumns({"__k": F.when(one_logo, F.coalesce(component_id, F.lit(""))), "__a": F.coalesce(award, F.lit(False))})
     runs = islands(me, keys, order, F.struct(F.col("__k").alias("k")), lambda p: F.col("__k") == p["k"], "__run", block)
-    per = runs.groupBy(*keys, "__run").agg(F.count(F.lit(1)).alias("__n"), F.bool_or("__a").alias("__any"))
-    return runs.join(per, [*keys, "__run"]).withColumn(
+    counted = with_group(runs, [*keys, "__run"], {"__n": F.count(F.lit(1)), "__any": F.bool_or("__a")}, block)
+    return counted.withColumn(
         "award", F.col("__a") | ((F.col("__n") >= 2) & F.col("__any") & F.col("__k").isNotNull())
     ).drop("__k", "__a", "__run", "__n", "__any")
 
