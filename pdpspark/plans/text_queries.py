@@ -361,13 +361,13 @@ def doc_noise(spark, folder):
 @query("doc_draft", """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 i AS (SELECT doc_id, pos, trim(string_split(ln, '. ')[1]) AS t, trim(regexp_replace(substring(ln, length(string_split(ln, '. ')[1]) + 3), '\\s+', ' ', 'g')) AS b FROM l),
-u AS (SELECT *, length(t) > 80 AS lg FROM i WHERE t <> '' AND NOT regexp_matches(t, '^[-–]')),
-g AS (SELECT * FROM u WHERE lg OR NOT (b = '' AND ends_with(t, '?'))),
-f AS (SELECT * FROM g WHERE NOT lg QUALIFY row_number() OVER (PARTITION BY doc_id, t ORDER BY pos) = 1),
-a AS (SELECT * FROM f UNION ALL SELECT * FROM g WHERE lg),
-n AS (SELECT *, sum(CASE WHEN lg THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM a)
-SELECT doc_id, CAST(n AS BIGINT) AS title_no, CASE WHEN lg THEN '- ' || left(t, 400) ELSE '● ' || t || CASE WHEN b <> '' THEN chr(10) || '- ' || left(b, 400) ELSE '' END END AS line
-FROM n WHERE n <= 8 AND (NOT lg OR (n > 0 AND n < 8))
+u AS (SELECT *, length(t) > 80 AS wide FROM i WHERE t <> '' AND NOT regexp_matches(t, '^[-–]')),
+g AS (SELECT * FROM u WHERE wide OR NOT (b = '' AND ends_with(t, '?'))),
+f AS (SELECT * FROM g WHERE NOT wide QUALIFY row_number() OVER (PARTITION BY doc_id, t ORDER BY pos) = 1),
+a AS (SELECT * FROM f UNION ALL SELECT * FROM g WHERE wide),
+n AS (SELECT *, sum(CASE WHEN wide THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM a)
+SELECT doc_id, CAST(n AS BIGINT) AS title_no, CASE WHEN wide THEN '- ' || left(t, 400) ELSE '● ' || t || CASE WHEN b <> '' THEN chr(10) || '- ' || left(b, 400) ELSE '' END END AS line
+FROM n WHERE n <= 8 AND (NOT wide OR (n > 0 AND n < 8))
 """)
 def doc_draft(spark, folder):
     """Product-details draft: the first eight titles with their details."""
