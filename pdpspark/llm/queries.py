@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pdpspark.llm import decontaminate, line_dedup, url_filter
+from pdpspark.llm import decontaminate, langid, line_dedup, toxicity, url_filter
 from pdpspark.llm.common import table
 
 RULES = [
@@ -12,6 +13,21 @@ RULES = [
 ]
 
 
+def remainder(divisor: int):
+    """crc32 of the id as text, modulo divisor; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor, F.lit(-1))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    return toxicity.fit_toxicity(docs, labels.where(remainder(4) != 2))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_spread_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -25,7 +41,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op6_line_dedup, op7_url_filter, op8_decontamination)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_languages(docs.where(remainder(3) != 1))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op4_toxicity, op6_line_dedup, op7_url_filter, op8_decontamination, op10_language)}
 
 ORACLES = {
     "op6_line_dedup": """
