@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pdpspark.llm import decontaminate, langid, line_dedup, toxicity, url_filter
+from pdpspark.llm import decontaminate, html_text, langid, line_dedup, packing, toxicity, url_filter
 from pdpspark.llm.common import table
 
 RULES = [
@@ -22,12 +22,26 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel
     return toxicity.fit_toxicity(docs, labels.where(remainder(4) != 2))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_spread_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -48,7 +62,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op6_line_dedup, op7_url_filter, op8_decontamination, op10_language)}
+QUERIES = {f.__name__: f for f in (op3_html_text, op4_toxicity, op5_packing, op6_line_dedup, op7_url_filter, op8_decontamination, op10_language)}
 
 ORACLES = {
     "op6_line_dedup": """
