@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -19,37 +19,78 @@ SENTENCE_CUT, WORD_CUT = 4, 48
 #: Tokens over which one dynamic programme runs; the last windows of each wait for what follows.
 SEGMENT = 64 * WINDOW
 #: Chunks whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Pieces in one output batch.
 BATCH = 20_000
 
-CHUNK = re.compile(r"[^ \n\t\r]+")
+#: Words that are encoded as one text; what the last token of a word ends in.
+TOGETHER, WORD_END = 1000, "</w>"
+END = array("I", [END_ID]).tobytes()
 
 
 class Encoder:
-    """ids of whole texts. The tokenizer never joins what blanks part, so equal chunks between blanks are encoded once."""
+    """ids of whole texts. The tokenizer never joins what blanks part, so equal chunks between blanks are encoded once.
+
+    It also parts a word from the one mark behind it and lower-cases both, so chunks share the ids of their stem. What is known is kept
+    for the later tasks of a worker process, up to REMEMBERED chunks.
+    """
+
+    shared: dict[str, tuple] = {}
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has dealt the cores out
-        from tokenizers import Tokenizer
+        if path not in self.shared:
+            from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+            tokenizer = Tokenizer.from_file(path)
+            last = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+            last[[i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+            self.shared[path] = tokenizer, last, {"": b""}, {}
+        self.tokenizer, self.last, self.known, self.stems = self.shared[path]
 
-    def learn(self, texts: list[str]) -> None:
-        """Encodes the chunks of these texts that aren't known yet."""
+    def learn(self, chunked: list[list[str]]) -> None:
+        """Encodes the chunks that aren't known yet."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        fresh = list({c for t in texts for c in CHUNK.findall(t)} - self.known.keys())
-        for chunk, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+            self.stems.clear()
+            self.known[""] = b""
+        fresh = [c for c in set().union(*chunked) if c not in self.known]
+        parts = [self._stem(c) for c in fresh]
+        stems = {p for pair in parts for p in pair if p not in self.stems}
+        plain = [p for p in stems if p.isalpha()]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):  # one word each
+                raw, places = ids.tobytes(), (4 * ends).tolist()
+                self.stems.update(zip(some, map(raw.__getitem__, map(slice, [0, *places], places)), strict=False))
+        stems = [p for p in stems if p not in self.stems]
+        for stem, found in zip(stems, self.tokenizer.encode_batch_fast(stems, add_special_tokens=False), strict=True):
+            self.stems[stem] = array("I", found.ids).tobytes()
+        for chunk, pair in zip(fresh, parts, strict=True):
+            self.known[chunk] = b"".join([self.stems[p] for p in pair])
+
+    @staticmethod
+    def _stem(chunk: str) -> tuple[str, ...]:
+        """The lower-cased word and the mark behind it where the chunk is Latin letters and at most one mark; else the chunk."""
+        stem = chunk[:-1] if chunk[-1] in ".,;:!?" else chunk
+        if stem.isalpha() and max(stem) < "\u0130":
+            return (stem.lower(),) if stem is chunk else (stem.lower(), chunk[-1])
+        return (chunk,)
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids with END_ID behind, and the sentence ends: numbers of ids before a cut."""
-        chunks = CHUNK.findall(text)
-        parts = [self.known[c] for c in chunks]
-        ends = np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)
-        stops = ends[[i for i, c in enumerate(chunks) if c[-1] in ".!?"]] if parts else ends
-        return np.concatenate([np.frombuffer(b"".join(parts), dtype="<u4"), np.array([END_ID], dtype="<u4")]), stops
+        parts = list(map(self.known.__getitem__, chunks))
+        ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))) // 4
+        stops = ends[[i for i, c in enumerate(chunks) if c and c[-1] in ".!?"]]
+        parts.append(END)
+        return np.frombuffer(b"".join(parts), dtype="<u4"), stops
+
+
+def chunks_of(text: str) -> list[str]:
+    """What blanks part; also empty strings."""
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 def cuts(ends: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
@@ -193,9 +234,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             texts, ids = [t or "" for t in pdf["text"]], [None if pd.isna(i) else i for i in pdf["doc_id"]]
             for at in range(0, len(texts), 256):
                 part = texts[at : at + 256]
-                encoder.learn(part)
-                for doc_id, text in zip(ids[at : at + 256], part, strict=True):
-                    rows += packer.add(doc_id, *encoder.encode(text))
+                chunked = [chunks_of(t) for t in part]
+                encoder.learn(chunked)
+                for doc_id, chunks in zip(ids[at : at + 256], chunked, strict=True):
+                    rows += packer.add(doc_id, *encoder.encode(chunks))
                     if len(rows) >= BATCH:
                         yield frame()
         rows += packer.finish()
