@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pdpspark.llm import decontaminate, html_text, langid, line_dedup, near_dedup, packing, toxicity, url_filter
+from pdpspark.llm import ann, decontaminate, html_text, langid, line_dedup, near_dedup, packing, toxicity, url_filter
 from pdpspark.llm.common import table
 
 RULES = [
@@ -26,6 +26,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -66,7 +71,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_html_text, op4_toxicity, op5_packing, op6_line_dedup, op7_url_filter, op8_decontamination, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_nearest, op3_html_text, op4_toxicity, op5_packing, op6_line_dedup, op7_url_filter, op8_decontamination, op10_language)}
 
 ORACLES = {
     "op6_line_dedup": """
