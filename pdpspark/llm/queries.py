@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pdpspark.llm import ann, decontaminate, html_text, langid, line_dedup, near_dedup, packing, toxicity, url_filter
+from pdpspark.llm import ann, decontaminate, html_text, langid, line_dedup, near_dedup, packing, toxicity, url_filter, warc
 from pdpspark.llm.common import table
 
 RULES = [
@@ -64,6 +64,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit_languages(docs.where(remainder(3) != 1))
@@ -71,7 +76,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_nearest, op3_html_text, op4_toxicity, op5_packing, op6_line_dedup, op7_url_filter, op8_decontamination, op10_language)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_nearest, op3_html_text, op4_toxicity, op5_packing, op6_line_dedup, op7_url_filter, op8_decontamination, op9_warc, op10_language)}
+QUERIES["pipeline"] = pipeline
 
 ORACLES = {
     "op6_line_dedup": """
