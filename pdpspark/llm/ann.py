@@ -21,7 +21,7 @@ SHARE, LEAST = 0.42, 4096
 #: Bound of the sample of indexed rows by which a query finds how many buckets hold that share.
 SAMPLE = 4096
 #: Rows of a block: what one group of the search holds of the index.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16384
 SLACK = 1e-9
 
 
