@@ -22,12 +22,15 @@ SKETCH_LONGS = 16
 SKETCH_BITS = 64 * SKETCH_LONGS
 #: Candidates whose estimate lies so many standard errors under the threshold are dropped unconfirmed.
 ERRORS = 4.5
+#: Pairs that a member outside the main component is confirmed with in one turn, the most similar ones by sketch.
+TRIES = 4
 #: intersection * DEN >= NUM * union
 NUM, DEN = 75, 100
 #: Bytes of text that are hashed at once (one document at least), rows of a set that are permuted at once.
 TEXT_BYTES, SET_ROWS = 1 << 20, 1 << 10
 
-SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
+#: Two odd sketches a node: s of its MinHash samples, t of its whole set, which tells small sets apart more precisely.
+SKETCH = [f"{x}{i}" for x in "st" for i in range(SKETCH_LONGS)]
 
 
 # -- shingle sets ----------------------------------------------------------------------------------------------------------------
@@ -116,21 +119,37 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 def odd_sketch(least: np.ndarray) -> np.ndarray:
     """Parity bitmap: each (sample number, value) flips one bit."""
-    place = mix(least.astype(np.uint64) * _constants()["place"] + np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(SKETCH_BITS)
-    odd = (np.bincount(place.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return _parity(mix(least.astype(np.uint64) * _constants()["place"] + np.arange(SAMPLES, dtype=np.uint64)))
+
+
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    odd = (np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.uint64)
 
 
-def estimate(differing: Column) -> Column:
-    """Similarity from the number of differing bits of two odd sketches."""
-    return 1 + F.lit(SKETCH_BITS / (4 * SAMPLES)) * F.log(F.greatest(1 - 2 * differing / SKETCH_BITS, F.lit(1e-9)))
+def most_differing(flips: Column) -> Column:
+    """Bits in which two parity bitmaps that so many flips part differ at most, within ERRORS standard errors of collisions."""
+    decay = F.exp(-2 * flips / SKETCH_BITS)
+    expected = (1 - decay) * (SKETCH_BITS / 2)
+    return expected + ERRORS * F.sqrt(F.least(F.lit(SKETCH_BITS / 4), 2 * flips * flips / SKETCH_BITS)) + 2
 
 
-def most_differing(num: int = NUM, den: int = DEN) -> int:
-    """Bits in which the sketches of a pair at the threshold differ at most, within ERRORS standard errors."""
+def sample_flips(num: int = NUM, den: int = DEN) -> float:
+    """Flips that part the samples of a pair at the threshold at most, within ERRORS standard errors of sampling."""
     t = num / den
-    low = t - ERRORS * math.sqrt(t * (1 - t) / SAMPLES + SKETCH_BITS / (16 * SAMPLES**2))
-    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - low) / SKETCH_BITS)))
+    return 2 * SAMPLES * (1 - t + ERRORS * math.sqrt(t * (1 - t) / SAMPLES))
+
+
+def possible(left: str, right: str, num: int = NUM, den: int = DEN) -> Column:
+    """Whether sizes and sketches leave room for the threshold. left and right name the two sides' columns.
+
+    At the threshold sets of n and m shingles differ in (n + m) * (den - num) / (den + num); their own parity bitmaps differ by that many
+    flips, those of their samples by sample_flips().
+    """
+    n, m = F.col(f"{left}n"), F.col(f"{right}n")
+    sizes = den * F.least(n, m) >= num * F.greatest(n, m)
+    own = _differing(left, right, "t") <= most_differing((n + m) * ((den - num) / (den + num)))
+    return sizes & own & (_differing(left, right, "s") <= most_differing(F.lit(sample_flips(num, den))))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -144,9 +163,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 if len(s):
                     least = samples(s)
                     f0, f1 = mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(0x632BE59BD9B4E019)))
-                    rows.append((doc_id, len(s), f0.astype(np.int64), f1.astype(np.int64), band_keys(least).view(np.int64), *odd_sketch(least).view(np.int64)))
+                    rows.append((doc_id, len(s), f0.astype(np.int64), f1.astype(np.int64), band_keys(least).view(np.int64), *odd_sketch(least).view(np.int64), *_parity(mix(s ^ np.uint64(0xD6E8FEB86659FD93))).view(np.int64)))
                 else:
-                    rows.append((doc_id, 0, 0, 0, None, *[0] * SKETCH_LONGS))
+                    rows.append((doc_id, 0, 0, 0, None, *[0] * len(SKETCH)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f0", "f1", "bands", *SKETCH])
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(sign, f"doc_id {kind}, n_shingles long, f0 long, f1 long, bands array<long>, {', '.join(f'{s} long' for s in SKETCH)}")
@@ -154,19 +173,26 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 # -- candidates and links --------------------------------------------------------------------------------------------------------
 
-def _differing(left: str, right: str) -> Column:
-    return sum((F.bit_count(F.col(f"{left}{s}").bitwiseXOR(F.col(f"{right}{s}"))) for s in SKETCH), F.lit(0))
+def _differing(left: str, right: str, kind: str = "s") -> Column:
+    return sum((F.bit_count(F.col(f"{left}{s}").bitwiseXOR(F.col(f"{right}{s}"))) for s in SKETCH if s[0] == kind), F.lit(0))
 
 
-def _sifted(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
-    """pairs (a, b) of different nodes that the sketches don't rule out, with differing bits."""
-    side = lambda p: sketches.select(F.col("node").alias(p), *[F.col(s).alias(p + s) for s in SKETCH])
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _differing("a", "b").alias("differing")).where(F.col("differing") <= limit)
+def _sifted(pairs: DataFrame, sketches: DataFrame, num: int, den: int, *more: str) -> DataFrame:
+    """pairs (a, b) of different nodes that the sketches don't rule out, with differing bits and the columns more."""
+    side = lambda p: sketches.select(F.col("node").alias(p), *[F.col(s).alias(p + s) for s in ("n", *SKETCH)])
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(possible("a", "b", num, den)).select("a", "b", *more, _differing("a", "b").alias("differing"))
+
+
+def _mixed(shared: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components: band, node, c (its component), main (the bucket's most frequent one), sketch."""
+    label = shared.select("band", "node").join(found.withColumnsRenamed({"a": "node", "b": "c"}), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    groups = label.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
+    return written(label.join(groups, "band").join(sketches, "node"), "mixed")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; texts are read again for these nodes alone."""
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
+    nodes = written(pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct(), "asked")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,31 +223,42 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
 
     Equal sets become one node, by fingerprint, before anything is paired. Of every band bucket first each member meets the smallest
     and the largest one alone, which connects groups of copies in linear work; then, in the buckets that still hold several components,
-    the members outside the most frequent component meet all that their own component doesn't hold yet, so no candidate of the bands
-    is lost. The odd sketches sift both kinds before full sets are read.
+    the members outside the most frequent one meet four of its members a turn, while that halves their number; at last they meet all
+    that their own component doesn't hold yet, so no candidate of the bands is lost. The odd sketches sift both kinds before full sets are read.
     """
     rows = written(signatures(docs), "signatures")
     full = rows.where("n_shingles > 0")
     classes = full.groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("node"))
-    nodes = written(full.join(classes.select("node", "f0", "f1", "n_shingles"), ["f0", "f1", "n_shingles"]).where("doc_id = node").dropDuplicates(["node", "f0", "f1"]).select("node", "bands", *SKETCH), "nodes")
-    sketches, limit = nodes.select("node", *SKETCH), most_differing(num, den)
+    nodes = written(full.join(classes.select("node", "f0", "f1", "n_shingles"), ["f0", "f1", "n_shingles"]).where("doc_id = node").dropDuplicates(["node", "f0", "f1"]).select("node", "bands", F.col("n_shingles").alias("n"), *SKETCH), "nodes")
+    sketches = nodes.select("node", "n", *SKETCH)
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     shared = written(buckets.join(buckets.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"), "band"), "buckets")
 
     # copies meet the ends of their buckets
     ends = shared.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    near = _sifted(ends, sketches, limit)
+    near = _sifted(ends, sketches, num, den)
     tried = written(near.groupBy("a").agg(F.min("b").alias("low"), F.min_by("b", "differing").alias("best")).select("a", F.explode(F.array("low", "best")).alias("b")).distinct(), "tried")
     links = written(_confirmed(tried, docs, num, den), "links")
     found = components(links)
 
-    # what is left: members of different components
-    label = shared.select("band", "node").join(found.withColumnsRenamed({"a": "node", "b": "c"}), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    groups = label.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
-    mixed = written(label.join(groups, "band").join(sketches, "node"), "mixed")
-    x = mixed.where("c <> main").select("band", F.col("node").alias("a"), F.col("c").alias("ca"), *[F.col(s).alias("a" + s) for s in SKETCH])
-    y = mixed.select("band", F.col("node").alias("b"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("in_main"), *[F.col(s).alias("b" + s) for s in SKETCH])
-    rest = x.join(y, (x.band == y.band) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & (_differing("a", "b") <= limit))
+    # the members outside the main component of a bucket meet some of its members, as long as that connects most of them
+    mixed, left, turn = _mixed(shared, found, sketches), None, 0
+    while (now := mixed.where("c <> main").count()) and (left is None or 2 * now <= left):
+        left, turn = now, turn + 1
+        order = F.xxhash64("node", "band", F.lit(turn))
+        hosts = mixed.where("c = main").groupBy("band").agg(F.array(F.min("node"), F.max("node"), F.min_by("node", order), F.max_by("node", order)).alias("hosts"))
+        met = mixed.where("c <> main").select("band", F.col("node").alias("of")).join(hosts, "band").select("of", F.explode("hosts").alias("host")).distinct()
+        near = _sifted(met.select(F.greatest("of", "host").alias("a"), F.least("of", "host").alias("b"), "of").join(tried, ["a", "b"], "left_anti"), sketches, num, den, "of")
+        best = near.groupBy("of").agg(F.slice(F.array_sort(F.collect_set(F.struct("differing", "a", "b"))), 1, TRIES).alias("best"))
+        fresh = written(best.select(F.explode("best").alias("p")).select("p.a", "p.b").distinct(), "fresh")
+        tried = written(tried.unionByName(fresh), "tried")
+        found = components(found.unionByName(_confirmed(fresh, docs, num, den)))
+        mixed = _mixed(shared, found, sketches)
+
+    # what is left: members of different components, all of them
+    x = mixed.where("c <> main").select("band", F.col("node").alias("a"), F.col("c").alias("ca"), *[F.col(s).alias("a" + s) for s in ("n", *SKETCH)])
+    y = mixed.select("band", F.col("node").alias("b"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("in_main"), *[F.col(s).alias("b" + s) for s in ("n", *SKETCH)])
+    rest = x.join(y, (x.band == y.band) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & possible("a", "b", num, den))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _confirmed(written(rest, "rest"), docs, num, den)
     found = components(found.unionByName(more)).withColumnsRenamed({"a": "node", "b": "component"})
