@@ -19,7 +19,7 @@ SENTENCE_CUT, WORD_CUT = 4, 48
 #: Tokens over which one dynamic programme runs; the last windows of each wait for what follows.
 SEGMENT = 64 * WINDOW
 #: Chunks whose ids a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Pieces in one output batch.
 BATCH = 20_000
 
@@ -31,8 +31,8 @@ END = array("I", [END_ID]).tobytes()
 class Encoder:
     """ids of whole texts. The tokenizer never joins what blanks part, so equal chunks between blanks are encoded once.
 
-    It also parts a word from the one mark behind it and lower-cases both, so chunks share the ids of their stem. What is known is kept
-    for the later tasks of a worker process, up to REMEMBERED chunks.
+    It also parts a word from the one mark behind it and lower-cases both, so chunks share the ids of their stem. A task
+    remembers up to REMEMBERED chunks; a worker process keeps the tokenizer alone.
     """
 
     shared: dict[str, tuple] = {}
@@ -51,9 +51,7 @@ class Encoder:
     def learn(self, chunked: list[list[str]]) -> None:
         """Encodes the chunks that aren't known yet."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.stems.clear()
-            self.known[""] = b""
+            self.forget()
         fresh = [c for c in set().union(*chunked) if c not in self.known]
         parts = [self._stem(c) for c in fresh]
         stems = {p for pair in parts for p in pair if p not in self.stems}
@@ -71,6 +69,11 @@ class Encoder:
         for chunk, pair in zip(fresh, parts, strict=True):
             self.known[chunk] = b"".join([self.stems[p] for p in pair])
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.stems.clear()
+        self.known[""] = b""
+
     @staticmethod
     def _stem(chunk: str) -> tuple[str, ...]:
         """The lower-cased word and the mark behind it where the chunk is Latin letters and at most one mark; else the chunk."""
@@ -241,6 +244,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                     if len(rows) >= BATCH:
                         yield frame()
         rows += packer.finish()
+        encoder.forget()
         yield frame()
 
     return docs.select("doc_id", "text").mapInPandas(stream, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
