@@ -255,10 +255,12 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
         found = components(found.unionByName(_confirmed(fresh, docs, num, den)))
         mixed = _mixed(shared, found, sketches)
 
-    # what is left: members of different components, all of them
-    x = mixed.where("c <> main").select("band", F.col("node").alias("a"), F.col("c").alias("ca"), *[F.col(s).alias("a" + s) for s in ("n", *SKETCH)])
-    y = mixed.select("band", F.col("node").alias("b"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("in_main"), *[F.col(s).alias("b" + s) for s in ("n", *SKETCH)])
-    rest = x.join(y, (x.band == y.band) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & possible("a", "b", num, den))
+    # what is left: members of different components, all of them; a pair comes out of the first band alone that both lie in
+    mixed = mixed.join(nodes.select("node", "bands"), "node")
+    x = mixed.where("c <> main").select("band", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("bands").alias("abands"), *[F.col(s).alias("a" + s) for s in ("n", *SKETCH)])
+    y = mixed.select("band", F.col("node").alias("b"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("in_main"), F.col("bands").alias("bbands"), *[F.col(s).alias("b" + s) for s in ("n", *SKETCH)])
+    once = F.array_min(F.array_intersect("abands", "bbands")) == x.band
+    rest = x.join(y, (x.band == y.band) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & possible("a", "b", num, den) & once)
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _confirmed(written(rest, "rest"), docs, num, den)
     found = components(found.unionByName(more)).withColumnsRenamed({"a": "node", "b": "component"})
