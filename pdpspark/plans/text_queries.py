@@ -189,7 +189,7 @@ def doc_disclaimers(spark, folder):
 
 @query("doc_token_recover", """
 WITH k AS (SELECT count(*) AS n FROM benchmark),
-m AS (SELECT doc_id AS media_id, doc_id % 20 AS page_id, list_distinct(regexp_extract_all(lower(left(text, 300)), '[a-z0-9]{3,}')) AS tok FROM documents),
+m AS (SELECT doc_id AS media_id, doc_id % 20 AS page_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS tok FROM documents),
 s AS (SELECT item_id AS sec_ord, item_id % 20 AS page_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS tok FROM benchmark),
 a AS (SELECT media_id, page_id, unnest(tok) AS t FROM m), b AS (SELECT sec_ord, page_id, unnest(tok) AS t FROM s),
 c AS (SELECT media_id, sec_ord, count(*) AS score FROM a JOIN b USING (page_id, t) GROUP BY ALL),
@@ -199,7 +199,7 @@ SELECT m.media_id, r.sec_ord, r.score FROM m LEFT JOIN r ON r.media_id = m.media
 def doc_token_recover(spark, folder):
     """Section that shares most words with each item, at least two (J14), first section on ties."""
     m = wide_table(spark, folder, "documents").select(
-        (F.col("doc_id") % 20).alias("page_id"), F.col("doc_id").alias("media_id"), text.tokens(F.left("text", F.lit(300))).alias("tokens"))
+        (F.col("doc_id") % 20).alias("page_id"), F.col("doc_id").alias("media_id"), text.tokens("text").alias("tokens"))
     s = table(spark, folder, "benchmark").select(
         (F.col("item_id") % 20).alias("page_id"), F.col("item_id").alias("sec_ord"), text.tokens("text").alias("tokens"))
     best = media.token_scores(m, s, ["page_id"], "media_id", "sec_ord").groupBy("media_id").agg(
@@ -418,14 +418,14 @@ def turn_merge(spark, folder):
 @query("turn_carry", """
 WITH f AS (SELECT *, turn % 4 = 1 AS is_t, turn % 4 <> 1 AND role = 'assistant' AS rec FROM conversations),
 c AS (SELECT *, sum(CASE WHEN rec THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM f),
-t AS (SELECT conv_id, n + 1 AS due, string_agg(trim(left(text, 40)), chr(10) ORDER BY turn) FILTER (trim(left(text, 40)) <> '') AS carried FROM c WHERE is_t GROUP BY ALL)
+t AS (SELECT conv_id, n + 1 AS due, string_agg(trim(text), chr(10) ORDER BY turn) FILTER (trim(text) <> '') AS carried FROM c WHERE is_t GROUP BY ALL)
 SELECT c.conv_id, c.turn, c.role, coalesce(t.carried, CASE WHEN t.due IS NOT NULL THEN '' END) AS carried FROM c LEFT JOIN t ON t.conv_id = c.conv_id AND c.rec AND t.due = c.n WHERE NOT is_t
 """)
 def turn_carry(spark, folder):
     """Title turns carried to the next turn that can hold them."""
     t = table(spark, folder, "conversations")
     out = sections.carry_titles(
-        t, ["conv_id"], ["turn"], F.col("turn") % 4 == 1, F.col("role") == "assistant", F.left("text", F.lit(40)))
+        t, ["conv_id"], ["turn"], F.col("turn") % 4 == 1, F.col("role") == "assistant", F.col("text"))
     return out.select("conv_id", "turn", "role", "carried")
 
 
@@ -481,7 +481,7 @@ def turn_text_runs(spark, folder):
 
 
 @query("turn_disclaimers", """
-WITH RECURSIVE f AS (SELECT conv_id, turn, turn % 3 = 1 AS note, left(text, 20) AS t FROM conversations),
+WITH RECURSIVE f AS (SELECT conv_id, turn, turn % 3 = 1 AS note, text AS t FROM conversations),
 h AS (SELECT *, last_value(CASE WHEN note THEN NULL ELSE turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS b,
   first_value(CASE WHEN note THEN NULL ELSE turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM f),
 g AS (SELECT conv_id, coalesce(b, a) AS turn, string_agg(t, '|' ORDER BY h.turn) AS notes, count(*) AS n FROM h WHERE note GROUP BY ALL)
@@ -489,7 +489,7 @@ SELECT f.conv_id, f.turn, coalesce(g.notes, '') AS notes FROM f LEFT JOIN g USIN
 """)
 def turn_disclaimers(spark, folder):
     """Note-only turns attached to the turn before, or the next one when none came yet."""
-    t = table(spark, folder, "conversations").withColumn("note", F.left("text", F.lit(20)))
+    t = table(spark, folder, "conversations").withColumn("note", F.col("text"))
     is_note = F.col("turn") % 3 == 1
     out = sections.attach_disclaimers(
         t, ["conv_id"], ["turn"], is_note, F.when(is_note, F.array("note")).otherwise(F.array().cast("array<string>")))
@@ -539,7 +539,7 @@ def turn_captions(spark, folder):
 
 @query("turn_owner", """
 WITH f AS (SELECT conv_id, turn, turn % 3 = 1 AS m, turn % 6 = 5 AS d, turn % 4 = 0 AS h, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS tok,
-   regexp_replace(left(text, 200), '/', '', 'g') AS fn FROM conversations),
+   regexp_replace(text, '/', '', 'g') AS fn FROM conversations),
 x AS (SELECT *, last_value(CASE WHEN m OR d THEN NULL ELSE turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS b,
   first_value(CASE WHEN m OR d THEN NULL ELSE turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM f),
 y AS (SELECT x.conv_id, x.turn, x.b, x.a, bb.h AS bh, aa.h AS ah,
@@ -553,7 +553,7 @@ def turn_owner(spark, folder):
     turn = F.col("turn")
     t = table(spark, folder, "conversations").select(
         "conv_id", "turn", (turn % 3 == 1).alias("is_media"), (turn % 6 == 5).alias("is_disclaimer"), (turn % 4 == 0).alias("has_heading"), "text",
-        F.replace(F.left("text", F.lit(200)), F.lit("/"), F.lit("")).alias("url"))
+        F.replace("text", F.lit("/"), F.lit("")).alias("url"))
     return media.own_media(t, ["conv_id"], ["turn"]).where("is_media").select("conv_id", "turn", F.col("owner.turn").alias("owner"))
 
 
@@ -567,8 +567,8 @@ def turn_usps(spark, folder):
 
 
 @query("turn_listing_text", """
-WITH f AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN trim(left(text, 60)) END) AS promotion, max(CASE WHEN turn = 1 THEN trim(left(text, 60)) END) AS details,
-  max(CASE WHEN turn = 2 THEN trim(left(text, 60)) END) AS delivery FROM conversations GROUP BY conv_id),
+WITH f AS (SELECT conv_id, max(CASE WHEN turn % 3 = 0 THEN trim(text) END) AS promotion, max(CASE WHEN turn % 3 = 1 THEN trim(text) END) AS details,
+  max(CASE WHEN turn % 3 = 2 THEN trim(text) END) AS delivery FROM conversations GROUP BY conv_id),
 p AS (SELECT conv_id, list_filter([CASE WHEN coalesce(promotion, '') <> '' THEN 'Promotion Details:' || chr(10) || chr(10) || regexp_replace(promotion, '^\\s+|\\s+$', '', 'g') END,
   CASE WHEN coalesce(details, '') <> '' THEN 'Own title:' || chr(10) || chr(10) || regexp_replace(details, '^\\s+|\\s+$', '', 'g') END,
   CASE WHEN coalesce(delivery, '') <> '' THEN 'Delivery & Installation Notice:' || chr(10) || chr(10) || regexp_replace(delivery, '^\\s+|\\s+$', '', 'g') END], lambda x: x IS NOT NULL) AS parts FROM f)
@@ -576,7 +576,7 @@ SELECT conv_id, CASE WHEN len(parts) = 0 THEN '' ELSE array_to_string(parts, chr
 """)
 def turn_listing_text(spark, folder):
     """Plain listing text with default and own titles."""
-    first = lambda i: F.max(F.when(F.col("turn") == i, F.trim(text.clip("text", 60))))
+    first = lambda i: F.max(F.when(F.col("turn") % 3 == i, F.trim("text")))
     f = table(spark, folder, "conversations").groupBy("conv_id").agg(first(0).alias("p"), first(1).alias("d"), first(2).alias("v"))
     fields = F.create_map(F.lit("promotion"), F.col("p"), F.lit("details"), F.col("d"), F.lit("delivery"), F.col("v"))
     titles = F.create_map(F.lit("details"), F.lit("Own title"))
