@@ -229,19 +229,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     Null, empty and clean texts have the score of a text without a match. Rows stay as they are, repeated ones too, whatever their
     other columns hold; columns named score and predicted are replaced.
     """
-    kept = docs.drop("score", "predicted")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         grammar = Grammar(model.lexicon) if model.lexicon else None
-        for pdf in batches:
-            found = model.scores(pdf["text"], grammar) if grammar else [0.0] * len(pdf)
-            yield pdf.assign(score=found, predicted=[int(s >= threshold) for s in found])
-
-    ints = [f.name for f in kept.schema if f.dataType.typeName() in ("long", "integer", "short", "byte")]
-    out = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["score double", "predicted int"]
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in score(batches):  # pandas turns integers with nulls into floats
-            yield pdf.astype({c: "Int64" for c in ints if pdf[c].dtype.kind == "f"})
+        for part in texts:
+            yield pd.Series(model.scores(part, grammar) if grammar else [0.0] * len(part), dtype="float64")
 
-    return kept.mapInPandas(whole, ", ".join(out))
+    scored = docs.drop("score", "predicted").withColumn("score", F.pandas_udf(score, "double")("text"))  # the text alone goes to Python, one number comes back
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
