@@ -10,9 +10,9 @@ from . import extract
 from .extract import attr, has_class, inside
 
 # Addresses of bundle pages, and links that are not products.
-BUNDLE_PATH = r"(?i)/(bundles?|sets?|pto)/"
-NON_PRODUCT_LINK = r"(?i)^#|^javascript:|^mailto:|^tel:|/support|/contact|/promotions?/|\.pdf($|\?)"
-SPEC_CODE = r"\b[A-Z][A-Z0-9]{2,}[0-9][A-Z0-9]*(?:[.\-][A-Z0-9]+)*\b"
+BUNDLE_PATH = r"(?i)/[a-z0-9-]*bundles?/[^/]+/?$"
+NON_PRODUCT_LINK = r"(?i)downloadFile|/support/|cedoc|^#|^javascript:|/buy/?$"
+SPEC_CODE = r"\(([A-Z0-9][A-Z0-9.\-]{3,})\)"
 DOM_STEP = 10000
 
 
@@ -45,7 +45,7 @@ def spec_slides(page_nodes: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("page_id").orderBy("node")
     res = inside(page_nodes.where(has_class(r"(^|\s)c-specs-resource(\s|$)")), box, []).select(
-        "page_id", F.row_number().over(w).alias("ord"), F.try_element_at(F.regexp_extract_all("text", F.lit(SPEC_CODE), 0), F.lit(1)).alias("doc_code"))
+        "page_id", F.row_number().over(w).alias("ord"), F.try_element_at(F.regexp_extract_all("text", F.lit(SPEC_CODE), 1), F.lit(1)).alias("doc_code"))
     named = tabs.join(imgs, ["page_id", "node"], "left").select(
         "page_id", F.row_number().over(w).alias("ord"), F.col("text").alias("name"),
         F.regexp_replace(F.coalesce("src", F.lit("")), r"(?s)/jcr:content.*$", "").alias("thumb"))

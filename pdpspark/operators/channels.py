@@ -18,12 +18,11 @@ MODULE_BOXES = {
 }
 DEFAULT_MODULE = "image-header-text"
 PREMIUM = {
-    "image-header-text": "p-full-image", "three-img": "p-three-img", "four-text": "p-four-img", "left-img": "p-left-img",
-    "text": "p-text",
+    "four-text": "p-four-images", "three-img": "p-simple-carousel", "text": "p-text", "highlights": "p-single-img-text",
+    "image-header-text": "p-full-image", "left-img": "p-single-img-text", "right-img": "p-single-img-text", "sidebar": "p-single-img-text",
+    "lighttext": "p-bg-text", "dark-overlay": "p-bg-text",
 }
-MAX_SELECTION = 7
-SHOPEE_MAX_IMAGES = 12
-TITLE_LIMIT, BODY_LIMIT, ITEM_TITLE_LIMIT = 120, 600, 80
+TITLE_LIMIT, BODY_LIMIT, ITEM_TITLE_LIMIT, BODY_HEADLINE_LIMIT = 120, 600, 60, 80
 LISTING_FIELDS = ["promotion", "details", "delivery", "aftercare", "returns"]
 LISTING_TITLES = {
     "promotion": "Promotion Details", "details": "Product Details", "delivery": "Delivery & Installation Notice",
@@ -175,7 +174,7 @@ def build_modules(features: DataFrame, selection: DataFrame, keys, mode: str = "
     out = typed.withColumns({
         "type": final, "slot_images": slot_map, "image_url": F.try_element_at("cards", F.lit(1))["image"],
         "headline": F.when(F.col("kind") == "award", F.col("headline")).otherwise(
-            F.coalesce(urls.js_or("headline", "subheadline", F.left("body", F.lit(60))), F.lit("Product Feature"))),
+            F.coalesce(urls.js_or("headline", "subheadline", F.left("body", F.lit(BODY_HEADLINE_LIMIT))), F.lit("Product Feature"))),
         "items": F.transform(F.slice("cards", 1, 4), lambda c: F.struct(c["image"].alias("image"), F.left(
             c["title"], F.lit(ITEM_TITLE_LIMIT)).alias("title"), c["body"].alias("body"))),
     })
