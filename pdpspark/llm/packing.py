@@ -4,96 +4,129 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 WINDOW = 4096
 END_ID = 2
+END = np.array([END_ID], dtype="<u4")
 #: What a cut costs beside padding, in tokens: after a document nothing, after a sentence, elsewhere.
 SENTENCE_CUT, WORD_CUT = 4, 48
 #: Tokens over which one dynamic programme runs; the last windows of each wait for what follows.
 SEGMENT = 64 * WINDOW
-#: Chunks whose ids a task remembers.
-REMEMBERED = 300_000
+#: Bytes of text that are encoded together (one document at least): equal words in them are encoded once.
+TOGETHER_BYTES = 8 << 20
 #: Pieces in one output batch.
 BATCH = 20_000
 
 #: Words that are encoded as one text; what the last token of a word ends in.
 TOGETHER, WORD_END = 1000, "</w>"
-END = array("I", [END_ID]).tobytes()
-
-
-class Encoder:
-    """ids of whole texts. The tokenizer never joins what blanks part, so equal chunks between blanks are encoded once.
-
-    It also parts a word from the one mark behind it and lower-cases both, so chunks share the ids of their stem. A task
-    remembers up to REMEMBERED chunks; a worker process keeps the tokenizer alone.
+#: A Latin word, and one mark behind it at most: the tokenizer parts the mark from the word and lower-cases both.
+PLAIN = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}]+[.,;:!?]?$"
+MARKS = ".,;:!?"
+SENTENCE_END = r"[.!?]$"
+
+
+@cache
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer and which of its ids end a word: all that a worker process keeps from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has dealt the cores out
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    last = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    last[[i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+    return tokenizer, last
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[0], starts[0] + 1, ... of sizes[0] items, then those of the next."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _flat(arrays: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many each array holds."""
+    return np.fromiter(chain.from_iterable(arrays), dtype="<u4"), np.fromiter(map(len, arrays), dtype=np.int64, count=len(arrays))
+
+
+def _word_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """ids of words of letters alone and how many each has; blanks part words, so many are encoded as one text."""
+    tokenizer, last = _tokenizer(path)
+    groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+    ids, sizes = [], []
+    for group, found in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        some = np.array(found.ids, dtype="<u4")
+        many = np.diff(np.flatnonzero(last[some]), prepend=-1)
+        if len(many) != len(group):  # some word isn't one to the tokenizer
+            some, many = _flat([e.ids for e in tokenizer.encode_batch_fast(group, add_special_tokens=False)])
+        ids.append(some)
+        sizes.append(many)
+    return np.concatenate([np.zeros(0, dtype="<u4"), *ids]), np.concatenate([np.zeros(0, dtype=np.int64), *sizes])
+
+
+def _chunk_ids(chunks: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids of different chunks: one store of ids, and each chunk's place and number of ids in it."""
+    plain = pc.match_substring_regex(chunks, PLAIN)
+    latin, odd = chunks.filter(plain), chunks.filter(pc.invert(plain)).to_pylist()
+    stems = pc.utf8_lower(pc.utf8_rtrim(latin, MARKS)).dictionary_encode()
+    marked = pc.match_substring_regex(latin, f"[{MARKS}]$").to_numpy(zero_copy_only=False)
+    marks = pc.utf8_slice_codeunits(latin.filter(pa.array(marked)), -1).dictionary_encode()
+    tokenizer = _tokenizer(path)[0]
+    stores = [_word_ids(stems.dictionary.to_pylist(), path)]
+    stores += [_flat([e.ids for e in tokenizer.encode_batch_fast(x, add_special_tokens=False)]) for x in (marks.dictionary.to_pylist(), odd)]
+    store, sizes = (np.concatenate(x) for x in zip(*stores, strict=True))
+    starts = np.cumsum(sizes) - sizes
+    n_stems, n_marks = len(stems.dictionary), len(marks.dictionary)
+
+    # a chunk is a stem and perhaps a mark, or an odd one
+    first, second = np.zeros(len(chunks), dtype=np.int64), np.full(len(chunks), -1)
+    plain = plain.to_numpy(zero_copy_only=False)
+    first[plain] = stems.indices.to_numpy()
+    first[~plain] = n_stems + n_marks + np.arange(len(odd))
+    second[np.flatnonzero(plain)[marked]] = n_stems + marks.indices.to_numpy()
+    parts = np.column_stack([first, second]).ravel()
+    parts = np.where(parts < 0, len(sizes), parts)
+    sizes, starts = np.append(sizes, 0), np.append(starts, 0)
+    ids = store[_ragged(starts[parts], sizes[parts])]
+    sizes = sizes[parts].reshape(-1, 2).sum(axis=1)
+    return ids, np.cumsum(sizes) - sizes, sizes
+
+
+def encode(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids of each whole text with END_ID behind, and its sentence ends: numbers of ids before a cut.
+
+    The tokenizer never joins what ASCII blanks part, so each different chunk between blanks is encoded once. Nothing outlives the call.
     """
-
-    shared: dict[str, tuple] = {}
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has dealt the cores out
-        if path not in self.shared:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            last = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
-            last[[i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
-            self.shared[path] = tokenizer, last, {"": b""}, {}
-        self.tokenizer, self.last, self.known, self.stems = self.shared[path]
-
-    def learn(self, chunked: list[list[str]]) -> None:
-        """Encodes the chunks that aren't known yet."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        fresh = [c for c in set().union(*chunked) if c not in self.known]
-        parts = [self._stem(c) for c in fresh]
-        stems = {p for pair in parts for p in pair if p not in self.stems}
-        plain = [p for p in stems if p.isalpha()]
-        for at in range(0, len(plain), TOGETHER):
-            some = plain[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(some):  # one word each
-                raw, places = ids.tobytes(), (4 * ends).tolist()
-                self.stems.update(zip(some, map(raw.__getitem__, map(slice, [0, *places], places)), strict=False))
-        stems = [p for p in stems if p not in self.stems]
-        for stem, found in zip(stems, self.tokenizer.encode_batch_fast(stems, add_special_tokens=False), strict=True):
-            self.stems[stem] = array("I", found.ids).tobytes()
-        for chunk, pair in zip(fresh, parts, strict=True):
-            self.known[chunk] = b"".join([self.stems[p] for p in pair])
-
-    def forget(self) -> None:
-        self.known.clear()
-        self.stems.clear()
-        self.known[""] = b""
-
-    @staticmethod
-    def _stem(chunk: str) -> tuple[str, ...]:
-        """The lower-cased word and the mark behind it where the chunk is Latin letters and at most one mark; else the chunk."""
-        stem = chunk[:-1] if chunk[-1] in ".,;:!?" else chunk
-        if stem.isalpha() and max(stem) < "\u0130":
-            return (stem.lower(),) if stem is chunk else (stem.lower(), chunk[-1])
-        return (chunk,)
-
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids with END_ID behind, and the sentence ends: numbers of ids before a cut."""
-        parts = list(map(self.known.__getitem__, chunks))
-        ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))) // 4
-        stops = ends[[i for i, c in enumerate(chunks) if c and c[-1] in ".!?"]]
-        parts.append(END)
-        return np.frombuffer(b"".join(parts), dtype="<u4"), stops
-
-
-def chunks_of(text: str) -> list[str]:
-    """What blanks part; also empty strings."""
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    split = pc.ascii_split_whitespace(texts)
+    bounds = split.offsets.to_numpy()
+    chunks = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+    bounds, index = bounds - bounds[0], chunks.indices.to_numpy()
+    store, starts, sizes = _chunk_ids(chunks.dictionary, path)
+    ids = store[_ragged(starts[index], sizes[index])]
+    ends = np.append(0, np.cumsum(sizes[index]))
+    closing = np.flatnonzero(pc.match_substring_regex(chunks.dictionary, SENTENCE_END).to_numpy(zero_copy_only=False)[index])
+    stops, edges, first = ends[closing + 1], ends[bounds], np.searchsorted(closing, bounds)
+    for a, b, c, d in zip(edges[:-1], edges[1:], first[:-1], first[1:], strict=True):
+        yield np.append(ids[a:b], END), stops[c:d] - a
+
+
+def grouped(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges (from, size) of neighbouring texts of TOGETHER_BYTES together, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        done = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, done + TOGETHER_BYTES, side="right")))
+        yield at, upto - at
+        at = upto
 
 
 def cuts(ends: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
@@ -223,28 +256,27 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         raise ValueError(f"end_id is {END_ID}")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer, rows = Encoder(tokenizer), Packer(TaskContext.get().partitionId() << 32, window), []
+        packer, rows, form = Packer(TaskContext.get().partitionId() << 32, window), [], None
 
-        def frame() -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=COLUMNS)
+        def frame() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, form, strict=True)], schema=form)
             rows.clear()
-            return out.astype({"doc_id": "Int64"}) if kind in ("bigint", "int", "smallint", "tinyint") else out
-
-        for pdf in batches:
-            texts, ids = [t or "" for t in pdf["text"]], [None if pd.isna(i) else i for i in pdf["doc_id"]]
-            for at in range(0, len(texts), 256):
-                part = texts[at : at + 256]
-                chunked = [chunks_of(t) for t in part]
-                encoder.learn(chunked)
-                for doc_id, chunks in zip(ids[at : at + 256], chunked, strict=True):
-                    rows += packer.add(doc_id, *encoder.encode(chunks))
+            return out
+
+        for batch in batches:
+            form = form or pa.schema([batch.schema.field("doc_id"), *[(c, pa.int64()) for c in COLUMNS[1:]]])
+            ids, texts = batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "")
+            for at, size in grouped(texts):
+                for doc_id, encoded in zip(ids[at : at + size], encode(texts.slice(at, size), tokenizer), strict=True):
+                    rows += packer.add(doc_id, *encoded)
                     if len(rows) >= BATCH:
                         yield frame()
         rows += packer.finish()
-        encoder.forget()
-        yield frame()
+        if rows:
+            yield frame()
 
-    return docs.select("doc_id", "text").mapInPandas(stream, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return docs.select("doc_id", "text").mapInArrow(stream, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -113,6 +113,17 @@ def test_packing(spark):
     assert max(by.values()) <= 4096 and packing.pack(docs.limit(0), word_tokenizer()).count() == 0
 
 
+def test_ids_are_those_of_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = ["", " ", "a\x0bb\x0cc d \u0308e", "\u0130stanbul \u01c5. ÀÉ! \u00b5m ªº", "don't <|endoftext|>x.", "e\u0301 ß ẞ 5.5 中文。 x.!", "\n\n. a", "\u0133\u0149 \u012e, Æ? ſ", "ai%%% a.,"]
+    path, real = word_tokenizer(), Tokenizer.from_file(word_tokenizer())
+    for encoded in (packing.encode(pa.array(["x", *texts]).slice(1), path), (e for t in texts for e in packing.encode(pa.array([t]), path))):
+        for text, (ids, _) in zip(texts, encoded, strict=True):
+            assert ids.tolist() == [*real.encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
 def test_cuts_are_cheapest():
     rng = np.random.default_rng(3)
     for _ in range(30):
