@@ -38,8 +38,13 @@ def read_pages(spark: SparkSession, path: str, with_html: bool = True) -> DataFr
     return pages if with_html else pages.drop("html", "md")
 
 
+def _decoded(name: Column) -> Column:
+    """A URL-encoded name decoded; a name that isn't one stays as it is."""
+    return F.coalesce(F.try_url_decode(name), name)
+
+
 def _slug_of(file: str, depth: int = 2) -> Column:
-    return F.url_decode(F.element_at(F.split(F.col(file), "/"), -depth))
+    return _decoded(F.element_at(F.split(F.col(file), "/"), -depth))
 
 
 def read_mirrors(spark: SparkSession, root: str) -> DataFrame:
@@ -71,7 +76,7 @@ def read_sidecars(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame,
     """(markdown, meta, geometry) next to the pages (S3): meta as VARIANT, values being strings or arrays."""
     def whole(suffix: str) -> DataFrame:
         return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(root, wholetext=True).select(
-            F.regexp_replace(F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)), re.escape(suffix) + "$", "").alias("slug"), "value")
+            F.regexp_replace(_decoded(F.element_at(F.split("_metadata.file_path", "/"), -1)), re.escape(suffix) + "$", "").alias("slug"), "value")
 
     md = whole(".fc.md").withColumnRenamed("value", "md")
     meta = whole(".fc.meta.json").select("slug", F.try_parse_json("value").alias("meta"))
@@ -168,7 +173,7 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                 if cells:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*cells), _CELLS)], schema=_CELLS)
 
-    named = files.select(F.url_decode(F.regexp_extract("path", FILE_NAME, 1)).alias("upload_id"), "content")
+    named = files.select(_decoded(F.regexp_extract("path", FILE_NAME, 1)).alias("upload_id"), "content")
     return named.mapInArrow(decode, CELL_SCHEMA)
 
 
@@ -246,7 +251,7 @@ def read_component_specs(spark: SparkSession, dirs: list[str]) -> DataFrame:
     rows = None
     for rank, folder in enumerate(dirs):
         one = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(
-            F.lit(rank).alias("rank"), F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("file"), "value")
+            F.lit(rank).alias("rank"), _decoded(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("file"), "value")
         rows = one if rows is None else rows.unionByName(one)
     head = F.regexp_extract("value", r"(?m)^#\s+(.+)$", 1)
     cid = F.regexp_extract("file", r"((?:ST|PD|CM|PR|PN|GN|AL)\d{4})", 1)
