@@ -83,6 +83,36 @@ def test_main_text(spark):
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def main_text(html):
+    page = html_text.parse(html)
+    return html_text.extract(page, [p for p, _ in html_text.votes(page)])
+
+
+def test_main_text_in_wrappers_that_look_bad():
+    text = "A first paragraph of the article, long enough to count as one."
+    for wrap in ("<div class='layout has-sidebar'>{}</div>", "<div class=with-ads>{}</div>", "<div id=content-menu-open>{}</div>", "<form id=aspnetForm>{}</form>", "<div class='widget'>{}</div>", "<div hidden>{}</div>"):
+        for held in (f"<article><p>{text}</p></article>", f"<div><p>{text}</p><p>{text}</p></div>"):
+            page = "<body><nav><a href=/>Home</a></nav>" + wrap.format(f"<div class=sidebar>Side</div>{held}<div class=sidebar-left>Left</div><form>Find</form>") + "<footer>Foot</footer>"
+            assert main_text(page) == " ".join([text] * held.count(text)), wrap
+    comments = f"<div class=post-comments><p>{text * 20}</p></div>"
+    assert main_text(f"<body class=fixed-header><article><p>{text}</p>{comments}</article>{comments}<div class='cookie-notice'><p>{text * 9}</p></div>") == text
+    assert main_text(f"<body><div class=entry><p>{text}</p></div>{comments}") == text
+    assert main_text(f"<body><form><article><p>{text}</p><form>Mail</form></article><p>{text}</p></form>").startswith(text)
+
+
+def test_main_text_with_a_long_part(spark):
+    one, two = "A first paragraph of the article, long enough to count as one.", "A last paragraph of the article, also long enough to count as one."
+    for tag, item in (("ul", "li"), ("blockquote", "p"), ("section", "p"), ("div", "p")):
+        part = " ".join(f"Part {i} of what is listed, quoted or told in a place of its own." for i in range(9))
+        for page in (f"<div class=x><p>{one}</p><{tag}><{item}>{part}</{tag}><p>{two}</p></div>", f"<div class=x><section><p>{one}</p></section><{tag} class=y><{item}>{part}</{tag}><div><p>{two}</p></div></div>",
+                     f"<article><div><div><div><{tag}><{item}>{part}</{tag}></div></div></div><section><p>{two}</p></section></article>"):
+            html = f"<body><nav><a href=/>Home</a></nav>{page}<div><ul><li><a href=/1>{one}</a><li><a href=/2>{two}</a></ul></div><footer>Foot</footer>"
+            want = " ".join([one, part, two] if "class=x" in page else [part, two])
+            assert main_text(html) == want, page
+    rows = [(i, "http://a.example/", html) for i in range(3)]
+    assert [r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()] == [want] * 3
+
+
 def test_toxicity_grammar():
     grammar = toxicity.Grammar({"idiot": 2.0})
     plain, not_so, told, at_you = (grammar.features(t)[0] for t in ("an idiot here", "not an idiot here", "they said an idiot here", "you idiot"))
