@@ -20,8 +20,8 @@ SIMILARITY = 0.4
 SHARE, LEAST = 0.42, 4096
 #: Bound of the sample of indexed rows by which a query finds how many buckets hold that share.
 SAMPLE = 4096
-#: Rows of a block: what one group of the search holds of the index.
-BLOCK_ROWS = 16384
+#: Rows of a block: what one group of the search holds of the index, and of the queries.
+BLOCK_ROWS, QUERY_ROWS = 16384, 16384
 SLACK = 1e-9
 
 
@@ -76,7 +76,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     Of equal vectors the k + 1 smallest ids are indexed: no more can be among the k nearest. A query visits, in each table, its buckets
     in the order of estimated success until they hold the wanted share of the rows (LEAST rows at least); a bounded sample of rows shows
     how far that is. The buckets of a table are grouped by their first slot and dealt into blocks of about BLOCK_ROWS rows; a query goes
-    to the blocks where some bucket could succeed. Candidates of both tables are reranked by exact inner products.
+    to the blocks where some bucket could succeed. Queries are dealt into blocks of about QUERY_ROWS, each of which meets all blocks of rows. Candidates of both tables are reranked by exact inner products.
     """
     valid = "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)"
     clean = lambda df: df.where(valid).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -116,8 +116,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
                     yield pd.DataFrame({"part": t * 64 + slot, "query_id": pdf["vec_id"].to_numpy()[i], "least": limit[i], "embedding": pdf["embedding"].to_numpy()[i]})
 
     index = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).mapInPandas(place_rows, "part int, block int, vec_id long, embedding array<double>")
-    asked = clean(queries).where(F.size("embedding") == dims).distinct().mapInPandas(place_queries, "part int, query_id long, least double, embedding array<double>")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asking = clean(queries).where(F.size("embedding") == dims).distinct()
+    asked_blocks = max(1, math.ceil(asking.count() / QUERY_ROWS))
+    asked = asking.mapInPandas(place_queries, "part int, query_id long, least double, embedding array<double>")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asked", F.pmod(F.xxhash64("query_id"), F.lit(asked_blocks)).cast("int"))
+    index = index.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))))
 
     def search(asking: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "vec_id", "score"]
@@ -138,7 +141,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
             found.append(pd.DataFrame({"query_id": own_ids[at + i], "vec_id": ids[j], "score": (part[i] * x[j]).sum(axis=1)}))
         return pd.concat(found)
 
-    keys = ["part", "block"]
+    keys = ["part", "block", "asked"]
     pairs = asked.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     one = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # found in both tables

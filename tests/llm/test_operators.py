@@ -3,6 +3,9 @@
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import GroupedData
+from pyspark.sql import functions as F
 
 from pdpspark.llm import ann, decontaminate, html_text, langid, line_dedup, near_dedup, packing, toxicity, url_filter
 from pdpspark.llm.queries import word_tokenizer
@@ -68,6 +71,36 @@ def test_nearest_is_exact_on_small_tables(spark):
     assert ann.nearest(df.limit(0), df).collect() == []
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_nearest_recall_where_hashing_is_on(spark, monkeypatch, clusters):
+    monkeypatch.setattr(ann, "LEAST", 0)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 32))
+    if clusters:
+        x = rng.standard_normal((clusters, 32))[rng.integers(0, clusters, len(x))] + 0.3 * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 30 = 0"), k=20).collect()
+    found = 0
+    for q in range(0, 3000, 30):
+        score = x @ x[q]
+        score[q] = -np.inf
+        found += len(set(np.argsort(-score)[:20].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 2000 and found >= 0.9 * 2000
+
+
+def test_nearest_in_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((400, 8)))], "vec_id long, embedding array<double>")
+    groups = []
+    cogroup = GroupedData.cogroup
+    monkeypatch.setattr(GroupedData, "cogroup", lambda self, other: groups.append(self.count().agg(F.max("count")).first()[0]) or cogroup(self, other))
+    whole = sorted(map(tuple, ann.nearest(df, df, k=5).collect()))
+    monkeypatch.setattr(ann, "QUERY_ROWS", 40)
+    assert sorted(map(tuple, ann.nearest(df, df, k=5).collect())) == whole and len(whole) == 2000
+    assert groups[0] == 400 and groups[1] < 100
+
+
 PAGE = (
     "<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div>"
     "<div class='content'><article><h1>Head &amp; line</h1><p>First <b>bold</b> text,\n long enough to count as a paragraph.<br><p>Second &lt;tag&gt; a < b<script>var x='</p>'</script>"
