@@ -1,4 +1,4 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment."""
+"""Benchmark decontamination: exact shingle containment by one join of all shingles; items carry a size-partitioned MinHash sketch as a flag."""
 
 from __future__ import annotations
 
@@ -30,8 +30,8 @@ def contaminated(docs: DataFrame, items: DataFrame, contained: float = CONTAINED
     """doc_id, item_id, n_item, n_found, containment: every document and item with n_found >= contained * n_item different shingles.
 
     The whole text of every document is searched. The table of item shingles is written first, so that the optimizer knows its size and
-    broadcasts it only below the session's threshold; beyond it both sides meet by hash of the shingle. Pairs without a hit in the
-    item's sketch are no candidates; the others are verified on all shingles of the item. A passage in many documents gives one row per
+    broadcasts it only below the session's threshold; beyond it both sides meet by hash of the shingle. The join takes all
+    shingles of the items, so it is exact by itself; the sketch only flags pairs and excludes none that passes. A passage in many documents gives one row per
     document; nothing is gathered per item. Null or blank texts, on either side, match nothing; rows with a null id are left out (a
     null id names no document). Repeated documents or items count once; rows of one id with several texts count as one document.
     """
