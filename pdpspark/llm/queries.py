@@ -1,11 +1,11 @@
-"""The thin queries op1 to op10 and the pipeline over the given tables, with their SQL where SQL can express them."""
+"""The thin queries op1 to op13 and the pipeline over the given tables, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pdpspark.llm import ann, decontaminate, html_text, langid, line_dedup, near_dedup, packing, toxicity, url_filter, warc
+from pdpspark.llm import ann, collocations, conversations, decontaminate, html_text, langid, line_dedup, near_dedup, packing, substring, toxicity, url_filter, warc
 from pdpspark.llm.common import table
 
 RULES = [
@@ -76,13 +76,43 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"), F.size("repeats").alias("n_repeats"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a fault in a quarter of their rows, by crc32 of conv_id:turn; nulls are one space."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20
+    rows = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    body = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), body.alias("text"), "kind")
+    return rows.withColumn("copy", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select("conv_id", "turn", "role", "text")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    reports, turns = conversations.repaired(damaged(rows))
+    ids = rows.select(F.col("conv_id").alias("id")).distinct()
+    found = reports.join(conversations.digests(turns).withColumnRenamed("conv_id", "same"), F.col("conv_id").eqNullSafe(F.col("same")), "left")
+    found = ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit(""), 256)
+    return found.select(F.col("id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", empty).alias("repaired_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which imports this module
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_nearest, op3_html_text, op4_toxicity, op5_packing, op6_line_dedup, op7_url_filter, op8_decontamination, op9_warc, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_nearest, op3_html_text, op4_toxicity, op5_packing, op6_line_dedup, op7_url_filter, op8_decontamination, op9_warc, op10_language, op11_passages, op12_conversations, op13_collocations)}
 QUERIES["pipeline"] = pipeline
 
 ORACLES = {
@@ -109,4 +139,29 @@ ORACLES = {
         n AS (SELECT id, count(*) AS n_item FROM s WHERE t = 'b' GROUP BY id),
         f AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_found FROM s b JOIN s d ON d.t = 'd' AND b.t = 'b' AND b.g = d.g GROUP BY ALL)
         SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment FROM f JOIN n ON n.id = item_id WHERE n_found >= 0.75 * n_item""",
+    "op11_passages": """
+        WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS a FROM documents),
+        win AS (SELECT r, unnest(range(1, len(a) - 33)) AS p FROM w WHERE len(a) >= 35),
+        keyed AS (SELECT r, p, sha256(array_to_string(a[p:p + 34], ' ')) AS k FROM win JOIN w USING (r)),
+        again AS (SELECT k FROM keyed GROUP BY k HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS i FROM keyed JOIN again USING (k)),
+        begun AS (SELECT r, i, NOT exists (SELECT 1 FROM gone g WHERE g.r = gone.r AND g.i = gone.i - 1) AS head FROM gone),
+        mark AS (SELECT r, list(i) AS g, count(*) AS n, count(*) FILTER (head) AS h FROM begun GROUP BY r)
+        SELECT doc_id, len(a)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+               sha256(array_to_string(CASE WHEN g IS NULL THEN a ELSE list_transform(list_filter(range(1, len(a) + 1), lambda i: NOT list_contains(g, i)), lambda i: a[i]) END, ' ')) AS kept_sha256,
+               coalesce(h, 0)::INTEGER AS n_repeats
+        FROM w LEFT JOIN mark USING (r)""",
+    "op13_collocations": """
+        WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS t FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(t, '[\\x20\\x09]+'), lambda x: x <> '') AS a FROM piece),
+        total AS (SELECT lang, sum(len(a))::BIGINT AS n FROM w GROUP BY lang),
+        gram AS (SELECT lang, m, array_to_string(a[p:p + m - 1], ' ') AS phrase FROM (SELECT lang, a, m, unnest(range(1, len(a) - m + 2)) AS p FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(a) >= m)),
+        f AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS a, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 100),
+        cut AS (SELECT lang, m, phrase, f, a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+        scored AS (SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n, c.k, ((1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+                   FROM cut c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.a[1:c.k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.a[c.k + 1:], ' ') JOIN total t ON t.lang = c.lang),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.lang = b.lang AND length(x.phrase) > length(b.phrase) AND contains(' ' || x.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * x.f >= 100 * b.a)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
 }
