@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk (one row at least), hashes that a bucket should meet.
-CHUNK_BYTES, BUCKET_HASHES = 4 << 20, 1 << 21
+CHUNK_BYTES, BUCKET_HASHES = 4 << 20, 1 << 20
 
 CHUNK = "chunk long, n long, body binary"
 ASK = "bucket int, chunk long, keys binary, more binary"

@@ -6,7 +6,7 @@ as sorted coordinates. What is frequent over all chunks is numbered by frequency
 word that follows; a phrase is counted only if its first and its last words are frequent phrases already, so nothing frequent is missed.
 Chunks send their counts to buckets by hash (see chunks): a pair that every document holds is one number a chunk.
 
-Words and phrases are known by two 64-bit hashes, one for the bucket and one within its two million; the texts of frequent phrases are
+Words and phrases are known by two 64-bit hashes, one for the bucket and one within its million; the texts of frequent phrases are
 told by one chunk each, and the last steps (cuts, scores, containment, ranks) are joins over these texts.
 """
 
@@ -53,24 +53,36 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint16 if not len(values) or int(values.max()) < 1 << 16 else np.uint32)
 
 
+def _keys(words: pa.Array, lang: np.ndarray, langs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes of each word of its language."""
+    salt = np.array([int.from_bytes(hashlib.blake2b(v.as_py().encode("utf-8"), digest_size=8).digest(), "little") for v in langs], dtype=np.uint64)
+    data, offsets = flat(words)
+    own = mix(word_hashes(data, offsets[:-1], offsets[1:]) ^ salt[lang])
+    return mix(own ^ np.uint64(0xA5A5)), mix(own ^ np.uint64(0xC3C3C3))
+
+
 def _encode(piece: pa.Table) -> tuple[int, bytes]:
-    """Texts as numbers of the chunk's different words, 0 between pieces; the words, their languages and hashes; words a language."""
+    """Texts as numbers of the chunk's different words by frequency, 0 before each piece; the words with their languages; words a language."""
     data, offsets = flat(piece.column("text"))
     starts, ends = word_bounds(data, offsets, CLASSES)
     langs = piece.column("lang").combine_chunks().dictionary_encode()
-    salt = np.array([int.from_bytes(hashlib.blake2b(v.as_py().encode("utf-8"), digest_size=8).digest(), "little") for v in langs.dictionary], dtype=np.uint64)
     first = np.searchsorted(starts, offsets)
     first[-1] = len(starts)
     lang = np.repeat(langs.indices.to_numpy(), np.diff(first))
-    different, at, number = np.unique(mix(word_hashes(data, starts, ends, lower=True) ^ salt[lang]), return_index=True, return_inverse=True)
+    apart = mix(np.arange(len(langs.dictionary), dtype=np.uint64))[lang]
+    _, at, number, counts = np.unique(mix(word_hashes(data, starts, ends, lower=True) ^ apart), return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    number, at = place[number], at[order]
     breaks = np.cumsum(CLASSES[data] == BREAK, dtype=np.int32)[starts] if len(starts) else starts
     heads = np.concatenate(([True], breaks[1:] != breaks[:-1])) if len(starts) else np.zeros(0, dtype=bool)
     heads[first[:-1][np.diff(first) > 0]] = True
     ids = np.zeros(len(starts) + int(heads.sum()), dtype=np.int64)
     ids[np.arange(len(starts)) + np.cumsum(heads)] = number + 1
     words = [data[starts[i] : ends[i]].tobytes().lower().decode("utf-8") for i in at]
-    totals = np.bincount(lang, minlength=len(salt)) if len(lang) else np.zeros(len(salt), dtype=np.int64)
-    return len(starts), packed(_listed(ids=_narrow(ids), words=pa.array(words, pa.string()), lang=lang[at].astype(np.int32), x=mix(different ^ np.uint64(0xA5A5)), y=mix(different ^ np.uint64(0xC3C3C3)), langs=langs.dictionary.cast(pa.string()), totals=totals))
+    totals = np.bincount(lang, minlength=len(langs.dictionary))
+    return len(starts), packed(_listed(ids=_narrow(ids), words=pa.array(words, pa.string()), lang=lang[at].astype(np.int32), langs=langs.dictionary.cast(pa.string()), totals=totals))
 
 
 def _totals(chunk: int, body: pa.Scalar, _: list) -> Iterator[pa.RecordBatch]:
@@ -114,11 +126,16 @@ def _asked(chunk: int, x: np.ndarray, y: np.ndarray, counts: np.ndarray, buckets
 
     def numbers(a: int, b: int) -> bytes:
         top = int(counts[a:b].max())
-        return counts[a:b].astype(np.uint8 if top < 1 << 8 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
+        return counts[a:b].astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
 
     return ask_rows(chunk, bucket[order], y[order], numbers, np.ndarray.tobytes)
 
 
+def _front(table: pa.Table, which: str) -> np.ndarray:
+    """The hashes of the phrases that the next level begins with: at first the words themselves."""
+    return _array(table, f"{which}p" if f"{which}p" in table.column_names else which)
+
+
 def _positions(table: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where phrases of so many words may begin, the number of their first words and that of their last one."""
     words, phrases = _array(table, "ids").astype(np.int64), _array(table, "phrases").astype(np.int64)
@@ -131,12 +148,12 @@ def _asks(level: int, buckets: int):
         table = unpacked(body)
         if level == 1:
             counts = np.bincount(_array(table, "ids"), minlength=1)[1:]
-            x, y = _array(table, "x"), _array(table, "y")
+            x, y = _keys(table.column("words")[0].values, _array(table, "lang"), table.column("langs")[0].values)
         else:
             _, first, last = _positions(table, level)
             first, last, counts = pair_counts(first, last)
             first, last = first.astype(np.int64), last.astype(np.int64)
-            x, y = (_joined(_array(table, f"{h}p")[first], _array(table, h)[last], i) for i, h in enumerate("xy"))
+            x, y = (_joined(_front(table, h)[first], _array(table, h)[last], i) for i, h in enumerate("xy"))
         if len(counts):
             yield _asked(chunk, x, y, counts, buckets)
 
@@ -225,19 +242,20 @@ def _next(level: int, last: bool):
             return
         table = unpacked(body)
         words, langs, lang = table.column("words")[0].values, table.column("langs")[0].values, _array(table, "lang")
-        ids, x, y = _array(table, "ids").astype(np.int64), _array(table, "x"), _array(table, "y")
+        ids = _array(table, "ids").astype(np.int64)
+        x, y = _keys(words, lang, langs) if level == 1 else (_array(table, "x"), _array(table, "y"))
         if level == 1:
             number, at, counts, tells = _numbered(y, answers)
             phrases = np.concatenate(([0], number))[ids]
             told = [{"lang": langs[int(lang[i])].as_py(), "words": [words[int(i)].as_py()], "f": int(f)} for i, f in zip(at[tells], counts[tells], strict=True)]
             ids, words, lang, x, y = phrases, words.take(pa.array(at)), lang[at], x[at], y[at]
-            xp, yp = x, y
+            front = {}
         else:
             begin, head, tail = _positions(table, level)
             wide = int(tail.max()) + 1 if len(tail) else 1
             code, where, which = np.unique(head * wide + tail, return_index=True, return_inverse=True)
             head, tail = code // wide, code % wide
-            xp, yp = (_joined(_array(table, f"{h}p")[head], own[tail], i) for i, (h, own) in enumerate((("x", x), ("y", y))))
+            xp, yp = (_joined(_front(table, h)[head], own[tail], i) for i, (h, own) in enumerate((("x", x), ("y", y))))
             number, at, counts, tells = _numbered(yp, answers)
             phrases = np.zeros(len(ids), dtype=np.int64)
             phrases[begin] = number[which]
@@ -245,12 +263,12 @@ def _next(level: int, last: bool):
             for i, f in zip(at[tells], counts[tells], strict=True):
                 run = ids[begin[where[i]] : begin[where[i]] + level] - 1
                 told.append({"lang": langs[int(lang[run[0]])].as_py(), "words": [words[int(j)].as_py() for j in run], "f": int(f)})
-            xp, yp = xp[at], yp[at]
+            front = {"xp": xp[at], "yp": yp[at]}
         if last:
             yield _state(chunk, _listed(langs=langs), told)
             return
         kept, gaps = _kept_runs(phrases, level)
-        yield _state(chunk, _listed(ids=_narrow(_spread(ids[kept], gaps)), phrases=_narrow(_spread(phrases[kept], gaps)), words=words, langs=langs, lang=lang, x=x, y=y, xp=xp, yp=yp), told)
+        yield _state(chunk, _listed(ids=_narrow(_spread(ids[kept], gaps)), phrases=_narrow(_spread(phrases[kept], gaps)), words=words, langs=langs, lang=lang, x=x, y=y, **front), told)
 
     return work
 

@@ -6,7 +6,7 @@ windows of the full length around a hit are compared with all others, and neighb
 
 Probes and windows travel as sorted sets of hashes per chunk of documents (see chunks), so a passage that a third of the documents share
 is one entry a chunk. A probe is known by 28 bits beside its bucket, which lets about one in a hundred hits through in vain; windows are
-known by 64 bits beside their bucket, which holds two million: at any size of the corpus some ten millionths of a window a bucket are
+known by 64 bits beside their bucket, which holds a million: at any size of the corpus some ten millionths of a window a bucket are
 mistaken for another. Texts themselves are read three times and move twice, compressed.
 """
 
