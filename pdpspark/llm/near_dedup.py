@@ -7,12 +7,14 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pdpspark.llm.common import SHINGLE_WORDS, written
 from pdpspark.llm.components import components
+from pdpspark.llm.wordhash import flat, mix, word_bounds, word_hashes
 
 #: 48 bands of 6 samples: a pair of similarity 0.75 shares none of them with probability 8e-5, one of 0.33 shares one with 6 %.
 BANDS, ROWS = 48, 6
@@ -27,7 +29,9 @@ TRIES = 4
 #: intersection * DEN >= NUM * union
 NUM, DEN = 75, 100
 #: Bytes of text that are hashed at once (one document at least), rows of a set that are permuted at once.
-TEXT_BYTES, SET_ROWS = 1 << 20, 1 << 10
+TEXT_BYTES, SET_ROWS = 1 << 18, 1 << 10
+#: Bytes of sets in a batch.
+SETS_BYTES = 8 << 20
 
 #: Two odd sketches a node: s of its MinHash samples, t of its whole set, which tells small sets apart more precisely.
 SKETCH = [f"{x}{i}" for x in "st" for i in range(SKETCH_LONGS)]
@@ -39,54 +43,33 @@ SKETCH = [f"{x}{i}" for x in "st" for i in range(SKETCH_LONGS)]
 def _constants() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(20250101)
     odd = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    byte = rng.integers(0, 1 << 63, 256, dtype=np.uint64)
-    base = int(odd(1)[0])
     return {
-        "byte": byte[lower], "base": np.array([base, pow(base, -1, 1 << 64)], dtype=np.uint64), "word": odd(SHINGLE_WORDS), "short": odd(1),
+        "word": odd(SHINGLE_WORDS), "short": odd(1),
         "permute": (odd(SAMPLES) >> np.uint64(31)).astype(np.uint32) | np.uint32(1), "shift": rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32),
         "band": odd(ROWS), "place": odd(SAMPLES),
     }
 
 
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    base, inverse = _constants()["base"]
-    return tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, b, dtype=np.uint64)))) for b in (base, inverse))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every bit of x moves every bit of the result."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted different 64-bit shingle hashes of each whole text; with fewer than five words one hash of them all, without words none.
 
-
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The sorted different 64-bit shingle hashes of each whole text; with fewer than five words one hash of them all, without words none."""
+    Texts are read where they lie in the batch, TEXT_BYTES at a time, or one longer text alone.
+    """
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    while at < len(raw):
-        upto, size = at, 0
-        while upto < len(raw) and (upto == at or size + len(raw[upto]) < TEXT_BYTES):
-            size += len(raw[upto]) + 1
-            upto += 1
-        yield from _sets(raw[at:upto])
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES, side="right")))
+        yield from _sets(texts.slice(at, upto - at))
         at = upto
 
 
-def _sets(raw: list[bytes]) -> Iterator[np.ndarray]:
+def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
     c = _constants()
-    text = np.frombuffer(b" ".join([b"", *raw, b""]), dtype=np.uint8)
-    room = 1 << max(20, (len(text) - 1).bit_length())
-    power, inverse = _powers(room)
-    blank = (text == 32) | ((text >= 9) & (text <= 13))
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    starts, ends = edge[::2], edge[1::2]
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(c["byte"][text] * power[: len(text)])))
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    first = np.searchsorted(starts, np.cumsum([1, *[len(r) + 1 for r in raw]]))  # the first word of each text
+    data, offsets = flat(texts)
+    starts, ends = word_bounds(data, offsets)
+    hashes = word_hashes(data, starts, ends, lower=True)
+    first = np.searchsorted(starts, offsets)  # the first word of each text
+    first[-1] = len(starts)
     n = len(hashes) - SHINGLE_WORDS + 1
     spans = mix(sum(hashes[i : i + n] * c["word"][i] for i in range(SHINGLE_WORDS))) if n > 0 else hashes[:0]
     for a, b in zip(first[:-1], first[1:], strict=True):
@@ -156,19 +139,27 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, f0 and f1 (128-bit fingerprint of the set), bands, s0...: one row per document row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, s in zip(pdf["doc_id"], shingle_sets(list(pdf["text"])), strict=True):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, prints, bands, sketches = [], [], [], []
+            for s in shingle_sets(batch.column("text")):
+                sizes.append(len(s))
                 if len(s):
                     least = samples(s)
-                    f0, f1 = mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(0x632BE59BD9B4E019)))
-                    rows.append((doc_id, len(s), f0.astype(np.int64), f1.astype(np.int64), band_keys(least).view(np.int64), *odd_sketch(least).view(np.int64), *_parity(mix(s ^ np.uint64(0xD6E8FEB86659FD93))).view(np.int64)))
+                    prints.append((mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(0x632BE59BD9B4E019)))))
+                    bands.append(band_keys(least).view(np.int64))
+                    sketches.append(np.concatenate((odd_sketch(least), _parity(mix(s ^ np.uint64(0xD6E8FEB86659FD93))))))
                 else:
-                    rows.append((doc_id, 0, 0, 0, None, *[0] * len(SKETCH)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f0", "f1", "bands", *SKETCH])
+                    prints.append((0, 0))
+                    bands.append(None)
+                    sketches.append(np.zeros(len(SKETCH), dtype=np.uint64))
+            f0, f1 = np.array(prints, dtype=np.uint64).reshape(-1, 2).view(np.int64).T
+            columns = np.array(sketches, dtype=np.uint64).reshape(-1, len(SKETCH)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(f0), pa.array(f1), pa.array(bands, pa.list_(pa.int64())), *[pa.array(np.ascontiguousarray(columns[:, i])) for i in range(len(SKETCH))]],
+                ["doc_id", "n_shingles", "f0", "f1", "bands", *SKETCH])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(sign, f"doc_id {kind}, n_shingles long, f0 long, f1 long, bands array<long>, {', '.join(f'{s} long' for s in SKETCH)}")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, f0 long, f1 long, bands array<long>, {', '.join(f'{s} long' for s in SKETCH)}")
 
 
 # -- candidates and links --------------------------------------------------------------------------------------------------------
@@ -195,23 +186,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFra
     nodes = written(pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct(), "asked")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "shingles": [s.tobytes() for s in shingle_sets(list(pdf["text"]))]})
-
-    sets = docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").mapInPandas(make, f"doc_id {kind}, shingles binary")
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, room, sets = 0, 0, []
+            for i, found in enumerate(shingle_sets(batch.column("text"))):
+                sets.append(found.tobytes())
+                room += len(sets[-1])
+                if room > SETS_BYTES or i + 1 == batch.num_rows:  # a batch of texts makes several of sets
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(sets)), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                    at, room, sets = i + 1, 0, []
+
+    sets = docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").mapInArrow(make, f"doc_id {kind}, shingles binary")
     both = pairs.select("a", "b").join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             keep = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                u, v = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 common = len(np.intersect1d(u, v, assume_unique=True)) if den * min(len(u), len(v)) >= num * max(len(u), len(v)) else 0
                 keep.append(common > 0 and den * common >= num * (len(u) + len(v) - common))
-            yield pdf.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInPandas(compare, f"a {kind}, b {kind}")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -267,13 +264,13 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
 
     named = classes.join(found, "node", "left").select("f0", "f1", "n_shingles", F.coalesce("component", "node").alias("component"))
     linked = rows.select("doc_id", "n_shingles", "f0", "f1").join(named, ["f0", "f1", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    nameless = docs.where("doc_id is null").select("doc_id", "text").mapInPandas(_sizes, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long").withColumn("component_id", F.col("doc_id"))
+    nameless = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(_sizes, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long").withColumn("component_id", F.col("doc_id"))
     return linked.unionByName(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"doc_id": pd.array([None] * len(pdf), dtype="Int64"), "n_shingles": [len(s) for s in shingle_sets(list(pdf["text"]))]})
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in shingle_sets(batch.column("text"))], pa.int64())], ["doc_id", "n_shingles"])
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,7 +130,7 @@ class Grammar:
             start = end - size + 1
             if start < done or start and text[start - 1].isalpha():
                 continue
-            begin = max(text.rfind(c, 0, start) for c in ".!?;:,\n") + 1
+            begin = max(text.rfind(c, max(done, 0), start) for c in ".!?;:,\n") + 1 or max(done, 0)  # no further back than the last clause
             stop = CLAUSE_END.search(text, end)
             done = stop.start() if stop else len(text)
             tokens = [self.symbol(w) for w in WORD.findall(text, begin, done)]
@@ -168,7 +169,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
     found = found.withColumn("tokens", F.split(F.lower(F.coalesce("text", F.lit(""))), " "))  # a column of its own: split once a row
     alike = F.coalesce(F.array_min(shingle_hashes(F.col("tokens"))), F.xxhash64("text"))
-    return written(found.withColumn("alike", alike).dropDuplicates(["alike"]).select("doc_id", "text", "toxic"), "toxicity-sample")
+    return written(found.withColumn("alike", alike).groupBy("alike").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("first")).select("first.*"), "toxicity-sample")
 
 
 def _lexicon(sample: DataFrame) -> dict[str, float]:
@@ -229,10 +230,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     Null, empty and clean texts have the score of a text without a match. Rows stay as they are, repeated ones too, whatever their
     other columns hold; columns named score and predicted are replaced.
     """
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grammar = Grammar(model.lexicon) if model.lexicon else None
-        for part in texts:
-            yield pd.Series(model.scores(part, grammar) if grammar else [0.0] * len(part), dtype="float64")
+        for part in texts:  # one text at a time leaves the batch
+            yield pa.array(model.scores((t.as_py() for t in part), grammar) if grammar else [0.0] * len(part), pa.float64())
 
-    scored = docs.drop("score", "predicted").withColumn("score", F.pandas_udf(score, "double")("text"))  # the text alone goes to Python, one number comes back
+    scored = docs.drop("score", "predicted").withColumn("score", F.arrow_udf(score, "double")("text"))  # the text alone goes to Python, one number comes back
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
