@@ -105,9 +105,16 @@ STOP_HEADING = (
     r"|FAQ|Product Support)"
 )
 CHROME_HEADING = (
-    r"(?i)^(AI recommend|Quick Links|[A-Z]{2,}s Pick|Popularity ranking|Recommended|Recently Viewed|You may also like"
+    r"(?i)^(AI recommend|Quick Links|(?-i:{vendor})s Pick|Popularity ranking|Recommended|Recently Viewed|You may also like"
     r"|What people are saying|Compare|Where to buy|Find a store|Related)"
 )
+
+
+def chrome_heading(vendor: str = "[A-Z]{2,}") -> str:
+    """Headings of navigation and recommendations; vendor is a pattern for the brand, in capitals as it stands unless given otherwise."""
+    return CHROME_HEADING.replace("{vendor}", vendor)
+
+
 BLOCK_PAGE = r"(?i)access denied|you don't have permission to access|reference\s*#\d|request blocked|are you a robot"
 SYNC_EXCLUDE = [
     r"(^|/)tiles/", r"(^|/)(pc|mobile)_full\.png$", r"\.bak$", r"\.log$", r"(^|/)progress\.json$",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..functions import rules, text, urls
 from .ordered import Prev, Total, islands, per_key, scan, with_group
 from .sections import _ordered
@@ -283,51 +284,89 @@ def source_text(sections: DataFrame, keys, order, title: str = "title") -> DataF
         *keys, F.concat(F.col("__title"), F.lit("\n\n"), F.array_join("__all", "\n\n")).alias("doc"))
 
 
-@per_key
-def usp_rows(blocks: DataFrame, keys, order, block=None) -> DataFrame:
-    """(keys, order, key, title, desc): one selling point per block; words without a title extend the one before (A16 input).
-
-    blocks: text. The exact-key duplicates merge here; `usp_list` merges contained keys inside one product row.
-    """
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda ln: F.trim(F.regexp_replace(ln, "[  ]", " "))), lambda ln: (ln != "") & ~ln.startswith("*"))
-    clean = lambda ln: F.trim(F.regexp_replace(ln, r"^[#>\-\s•]+", ""))
-    base = blocks.withColumn("__l", lines).where(F.size("__l") > 0)
-    head_at = F.array_position(F.transform("__l", lambda ln: ln.startswith("#")), True)
-    eyebrow = head_at > 1
-    title = F.when(eyebrow, clean(F.element_at("__l", 1))).when(head_at == 1, clean(F.element_at("__l", 1)))
-    rest = F.slice("__l", 2, F.greatest(F.size("__l"), F.lit(1)))
-    desc = F.array_join(F.filter(F.transform(F.when(head_at > 0, rest).otherwise(F.col("__l")), clean), lambda x: x != ""), " ")
-    rows = base.withColumns({"__title": title, "__desc": desc}).withColumn("__has", F.when(F.col("__title").isNotNull(), 1).otherwise(0))
-    numbered = scan(rows, keys, order, [Total("__n", F.col("__has"))], block)
-    place = F.struct(*order)
-    first_words = F.left(clean(F.element_at("__l", 1)), F.lit(80))
-    made = numbered.withColumn("__first", first_words).groupBy(*keys, "__n").agg(
-        F.min(place).alias("at"), F.min_by(F.coalesce("__title", "__first"), place).alias("title"),
-        F.array_join(F.filter(_ordered(F.col("__desc"), *order), lambda d: d != ""), " ").alias("desc"),
-    )
-    return made.withColumn("key", text.usp_key("title")).where("key <> ''").select(*keys, "at", "key", "title", "desc")
+#: Shortest key that counts as contained in another; shortest piece that all keys around it must share.
+CONTAINED_MIN = GRAM = 6
 
 
-def usp_list(rows: DataFrame, keys) -> DataFrame:
-    """(keys, usps): selling points of a product, one per title; a title that contains another merges with it.
+def usp_points(blocks: DataFrame, keys, order) -> DataFrame:
+    """(keys, at, kind, key, title, desc): what each block of a product adds (A16 input). kind: point, or more for words without a title.
 
-    The fold runs inside the array of one product, whose blocks come from one page.
+    blocks: text. A block's title is its first line if a heading line is in it; the first block that has a key may lack one and is
+    titled by its first line. Blocks before it and blocks with an empty key add nothing.
     """
-    ordered = _ordered(F.struct("key", "title", "desc"), "at")
-    grown = F.array().cast("array<struct<key:string,title:string,desc:string>>")
-
-    def near(u: Column, x: Column) -> Column:
-        short = F.least(F.length(u["key"]), F.length(x["key"])) >= 6
-        return (u["key"] == x["key"]) | (short & (F.contains(u["key"], x["key"]) | F.contains(x["key"], u["key"])))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = F.array_position(F.transform(acc, lambda u: near(u, x)), True)
-        add = (x["desc"] != "") & ~F.contains(F.try_element_at(acc, at.cast("int"))["desc"], x["desc"])
-        grew = F.transform(acc, lambda u, i: F.when(
-            (i + 1 == at) & add, u.withField("desc", F.trim(F.concat(u["desc"], F.lit(" "), x["desc"])))).otherwise(u))
-        return F.when(at > 0, grew).otherwise(F.array_append(acc, x))
-
-    return rows.groupBy(*keys).agg(ordered.alias("__u")).select(*keys, F.aggregate("__u", grown, step).alias("usps"))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda ln: F.trim(F.regexp_replace(ln, "[\\x{2028}\\x{A0}]", " "))), lambda ln: (ln != "") & ~ln.startswith("*"))
+    clean = lambda ln: F.trim(F.regexp_replace(ln, r"^[#>\-\s•]+", ""))
+    base = blocks.select(*keys, F.struct(*order).alias("at"), lines.alias("ls")).where(F.size("ls") > 0)
+    base = base.withColumns({"headed": F.exists("ls", lambda ln: ln.startswith("#")), "cl": F.transform("ls", clean)})
+    full = lambda c: F.array_join(F.filter(c, lambda x: x != ""), " ")
+    title = F.when(F.col("headed"), F.element_at("cl", 1)).otherwise(F.left(F.element_at("cl", 1), F.lit(80)))
+    base = base.withColumn("title", title).withColumn("key", text.usp_key("title"))
+    first = base.where("key <> ''").groupBy(*keys).agg(F.min("at").alias("__first"))
+    rows = base.join(first, list(keys)).where("at >= __first")
+    kind = F.when(F.col("headed") | (F.col("at") == F.col("__first")), "point").otherwise("more")
+    rows = rows.withColumn("kind", kind).where("kind = 'more' or key <> ''")
+    desc = F.when(F.col("kind") == "point", full(F.slice("cl", 2, F.greatest(F.size("cl"), F.lit(1))))).otherwise(F.trim(F.array_join("cl", " ")))
+    return rows.select(*keys, "at", "kind", "key", "title", desc.alias("desc"))
+
+
+def contained_keys(points: DataFrame, keys) -> DataFrame:
+    """(keys, key, other, earlier): each key with the keys before it that hold it or that it holds.
+
+    A key that lies in another shares all its pieces of GRAM characters with it. So its rarest piece in the product is looked up among the
+    pieces of all keys, an equi-join, and `contains` confirms the hit.
+    """
+    one = points.where("kind = 'point'").groupBy(*keys, "key").agg(F.min("at").alias("since")).where(F.length("key") >= CONTAINED_MIN)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - (GRAM - 1)), lambda i: F.substring(F.col("key"), i, F.lit(GRAM))))
+    pieces = one.select(*keys, "key", "since", F.explode(grams).alias("gram"))
+    rare = pieces.groupBy(*keys, "gram").count()
+    picked = pieces.join(rare, [*keys, "gram"]).groupBy(*keys, "key", "since").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+    around = pieces.withColumnsRenamed({"key": "big", "since": "big_since"})
+    pairs = picked.join(around, [*keys, "gram"]).where((F.col("key") != F.col("big")) & F.contains("big", F.col("key")))
+    swap = F.col("since") < F.col("big_since")
+    return pairs.select(*keys, F.when(swap, F.col("big")).otherwise(F.col("key")).alias("key"), F.when(swap, F.col("key")).otherwise(F.col("big")).alias("earlier"),
+                        F.least("since", "big_since").alias("earlier_since")).distinct()
+
+
+def usp_list(blocks: DataFrame, keys, order) -> DataFrame:
+    """(keys, place, title, desc): selling points of a product, one per title; a title that holds an earlier one or lies in it joins it.
+
+    The first point of a title is listed unless an earlier listed title is equal to, holds or lies in it. That is settled in rounds: a
+    title none of whose earlier neighbours is listed or open is listed, one with a listed earlier neighbour is not; the earliest open title
+    of a product is settled in every round. Words without a title join the point listed last before them. A joining text that the point's
+    text holds already is left out.
+    """
+    points = cut_lineage(usp_points(blocks, keys, order))
+    near = cut_lineage(contained_keys(points, keys))
+    every = points.where("kind = 'point'").groupBy(*keys, "key").agg(F.min("at").alias("since"))
+    asked = near.select(*keys, "key").distinct()
+    listed = every.join(asked, [*keys, "key"], "left_anti").select(*keys, "key")
+    open_, out = cut_lineage(asked), None
+    while not open_.isEmpty():
+        yes = listed.select(*keys, F.col("key").alias("earlier"))
+        gone = near.join(yes, [*keys, "earlier"]).select(*keys, "key").distinct()
+        waits = near.join(open_.select(*keys, F.col("key").alias("earlier")), [*keys, "earlier"]).select(*keys, "key").distinct()
+        left = open_.join(gone, [*keys, "key"], "left_anti")
+        fresh = left.join(waits, [*keys, "key"], "left_anti")
+        listed = cut_lineage(listed.unionByName(fresh))
+        open_ = cut_lineage(left.join(fresh, [*keys, "key"], "left_anti"))
+    heads = cut_lineage(every.join(listed, [*keys, "key"]))
+    home = near.join(listed.select(*keys, F.col("key").alias("earlier")), [*keys, "earlier"]).join(listed, [*keys, "key"], "left_anti").groupBy(*keys, "key").agg(
+        F.min("earlier_since").alias("home")).unionByName(heads.select(*keys, "key", F.col("since").alias("home")))
+    named = points.where("kind = 'point'").join(home, [*keys, "key"])
+    marks = heads.select(*keys, F.col("since").alias("at"), F.lit(True).alias("__head"))
+    both = points.where("kind = 'more'").join(marks.select(*keys).distinct(), list(keys)).select(*keys, "at", F.lit(False).alias("__head"), "desc").unionByName(
+        marks.withColumn("desc", F.lit("")))
+    before = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    more = both.withColumn("home", F.last(F.when(F.col("__head"), F.col("at")), ignorenulls=True).over(before)).where("not __head")
+    parts = named.select(*keys, "home", "at", F.lit(False).alias("always"), "title", "desc").unionByName(more.select(*keys, "home", "at", F.lit(True).alias("always"), F.lit("").alias("title"), "desc"))
+
+    def join(acc: Column, x: Column) -> Column:
+        return F.when(x["always"] | ((x["desc"] != "") & ~F.contains(acc, x["desc"])), F.trim(F.concat(acc, F.lit(" "), x["desc"]))).otherwise(acc)
+
+    made = parts.groupBy(*keys, "home").agg(F.array_sort(F.collect_list(F.struct("at", "title", "always", "desc"))).alias("__p"))
+    text_of = F.aggregate(F.slice("__p", 2, F.greatest(F.size("__p"), F.lit(1))), F.element_at("__p", 1)["desc"], join)
+    ranked = Window.partitionBy(*keys).orderBy("home")
+    return made.select(*keys, F.row_number().over(ranked).cast("long").alias("place"), F.element_at("__p", 1)["title"].alias("title"), text_of.alias("desc"))
 
 
 def summary_rules(summaries: DataFrame) -> DataFrame:

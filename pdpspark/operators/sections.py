@@ -645,6 +645,42 @@ def apply_moves(media: DataFrame, moves: DataFrame) -> DataFrame:
         "sec_ord", F.coalesce("to_section", "sec_ord")).drop("to_section")
 
 
+LOOK_AHEAD, MOST_ABSORBED = 10, 3
+
+
+def pair_generic(blocks: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """(blocks + title_at): image-only blocks with the title-only block that takes them (W18). blocks: has_heading, has_image, primary.
+
+    The walk keeps one waiting title: it lasts LOOK_AHEAD blocks and takes MOST_ABSORBED images. A primary one gives way only to another
+    primary block with a heading, an ordinary one to any. Without the walk: how long a primary title waits follows from the next primary
+    heading, the third image after it (an equi-join on the number of the image) and the look-ahead. Ordinary titles count only outside these
+    spans, and end at the next heading at all, so the spans never overlap and each image looks at the last title before it. `at` numbers the
+    blocks of a key from any number, without gaps.
+    """
+    up = Window.partitionBy(*keys).orderBy(at)
+    sofar, before = up.rowsBetween(Window.unboundedPreceding, 0), up.rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*keys).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
+    head, picture = F.coalesce("has_heading", F.lit(False)), F.coalesce("has_image", F.lit(False))
+    rows = blocks.withColumns({
+        "__title": head & ~picture, "__image": picture & ~head, "__head": head, "__main": head & F.coalesce("primary", F.lit(False))})
+    rows = rows.withColumns({
+        "__n": F.count_if("__image").over(sofar), "__next": F.last(F.when(F.col("__head"), F.col(at)), ignorenulls=True).over(behind),
+        "__next_main": F.last(F.when(F.col("__main"), F.col(at)), ignorenulls=True).over(behind)})
+    nth = rows.where("__image").select(*keys, F.col("__n").alias("__last"), F.col(at).alias("__full"))
+    rows = rows.withColumn("__last", F.col("__n") + MOST_ABSORBED).join(nth, [*keys, "__last"], "left")
+
+    def span(which: Column, stop: str) -> Column:
+        return F.when(which, F.struct(F.col(at).alias("from"), F.least(F.col(at) + LOOK_AHEAD, F.col("__full"), F.col(stop) - 1).alias("to")))
+
+    rows = rows.withColumn("__p", F.last(span(F.col("__title") & F.col("__main"), "__next_main"), ignorenulls=True).over(before))
+    held = F.coalesce(F.col("__p.to") >= F.col(at), F.lit(False))
+    rows = rows.withColumn("__held", held)
+    rows = rows.withColumn("__q", F.last(span(F.col("__title") & ~F.col("__main") & ~F.col("__held"), "__next"), ignorenulls=True).over(before))
+    title = F.when(F.col("__held"), F.col("__p.from")).when(F.col("__q.to") >= F.col(at), F.col("__q.from"))
+    out = rows.withColumn("title_at", F.when(F.col("__image"), title)).where("title_at is not null")
+    return out.select(*blocks.columns, "title_at")
+
+
 def union_sections(*frames: DataFrame) -> DataFrame:
     """Union of section tables from several sources, by column name."""
     out = frames[0]

@@ -42,11 +42,11 @@ CATALOG = """cat AS (SELECT 's-' || p_partkey AS slug, upper(regexp_replace(p_br
 
 
 def market_rows(spark, folder):
-    """Upload rows made of line items joined to the parts they name; suffixes, bundles and unknown codes by rule."""
+    """One upload row per line item, joined to the part it names; suffixes, bundles and unknown codes by rule. num: a number for other rules."""
     li = table(spark, folder, "lineitem").select(
-        (F.col("l_orderkey") * 1000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("r"), "l_partkey", "l_linenumber", "l_suppkey")
-    one = li.groupBy("l_partkey", "l_linenumber").agg(F.max("r").alias("row"), F.max("l_suppkey").alias("supp"))
-    rows = one.join(table(spark, folder, "part").select(_p().alias("l_partkey"), _key().alias("k"), "p_name"), "l_partkey")
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("num"),
+        "l_partkey", "l_linenumber", F.col("l_suppkey").alias("supp"))
+    rows = li.join(table(spark, folder, "part").select(_p().alias("l_partkey"), _key().alias("k"), "p_name"), "l_partkey")
     n = F.col("l_linenumber")
     sku = (
         F.when(n == 1, F.concat("k", F.lit(".ATM"))).when(n == 2, F.concat("k", F.lit("AT"))).when(n == 3, F.concat("k", F.lit(" + ZZ99")))
@@ -54,13 +54,12 @@ def market_rows(spark, folder):
     )
     parent = F.when((F.col("supp") % 3 == 0) & (n == 4), F.concat("k", F.lit("_P"))).otherwise("")
     name = F.when(n.isin(5, 6), F.concat("p_name", F.lit(" ("), "k", F.lit(")"))).otherwise(F.col("p_name"))
-    return cut_lineage(rows.select(
-        (F.col("l_partkey") * 10 + n).alias("row"), sku.alias("sku"), parent.alias("parent_sku"), name.alias("name")))
+    return cut_lineage(rows.select("row", "num", sku.alias("sku"), parent.alias("parent_sku"), name.alias("name")))
 
 
-ROWS = """mr AS (SELECT l_partkey, l_linenumber AS n, max(l_suppkey) AS supp FROM lineitem GROUP BY ALL),
-rw AS (SELECT l_partkey * 10 + n AS "row", upper(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) || 'X' || p_partkey AS k, n, supp, p_name FROM mr JOIN part ON p_partkey = l_partkey),
-rws AS (SELECT "row", n, CASE n WHEN 1 THEN k || '.ATM' WHEN 2 THEN k || 'AT' WHEN 3 THEN k || ' + ZZ99' WHEN 4 THEN lower(k) WHEN 5 THEN 'Q' || k WHEN 6 THEN '' ELSE k || 'ABCDEFG' END AS sku,
+ROWS = """rw AS (SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS "row", l_orderkey + l_linenumber AS num, upper(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) || 'X' || p_partkey AS k,
+  l_linenumber AS n, l_suppkey AS supp, p_name FROM lineitem JOIN part ON p_partkey = l_partkey),
+rws AS (SELECT "row", num, n, CASE n WHEN 1 THEN k || '.ATM' WHEN 2 THEN k || 'AT' WHEN 3 THEN k || ' + ZZ99' WHEN 4 THEN lower(k) WHEN 5 THEN 'Q' || k WHEN 6 THEN '' ELSE k || 'ABCDEFG' END AS sku,
   CASE WHEN supp % 3 = 0 AND n = 4 THEN k || '_P' ELSE '' END AS parent_sku, CASE WHEN n IN (5, 6) THEN p_name || ' (' || k || ')' ELSE p_name END AS name FROM rw)"""
 SQL_KEYS = """sk AS (SELECT "row", tier, upper(trim(unnest(string_split(regexp_replace(s, '\\s*[+&,|/]\\s*', '+', 'g'), '+')))) AS p
    FROM (SELECT "row", 0 AS tier, parent_sku AS s FROM rws UNION ALL SELECT "row", 1, sku FROM rws)),
@@ -136,7 +135,7 @@ def unmatched_rows(spark, folder):
 @query("row_triage", f"""
 WITH {CATALOG}, {ROWS}, {SQL_KEYS},
 h AS (SELECT al."row", count(DISTINCT slug) AS n, min(slug) AS pick FROM al JOIN cat ON cat.model = al.key WHERE country = 'th' GROUP BY ALL),
-o AS (SELECT rws."row", CASE WHEN regexp_matches(parent_sku || ' ' || sku, '[+&]') THEN 'rBundle' WHEN h.n = 1 THEN 'ok' WHEN h.n > 1 THEN 'rMulti' WHEN rws."row" % 2 = 0 THEN 'register' ELSE 'rNone' END AS outcome, pick
+o AS (SELECT rws."row", CASE WHEN regexp_matches(parent_sku || ' ' || sku, '[+&]') THEN 'rBundle' WHEN h.n = 1 THEN 'ok' WHEN h.n > 1 THEN 'rMulti' WHEN num % 2 = 0 THEN 'register' ELSE 'rNone' END AS outcome, pick
   FROM rws LEFT JOIN h ON h."row" = rws."row")
 SELECT "row", outcome, CASE WHEN outcome = 'ok' THEN pick END AS slug FROM o
 """)
@@ -144,12 +143,12 @@ def row_triage(spark, folder):
     """Outcome per upload row (F21); rows with an even number count as found in a sitemap."""
     cat, rows = catalog(spark, folder), market_rows(spark, folder)
     hits = match.match_keys(rows, match.model_keys(cat))
-    return match.triage(rows, hits, cat, "th", rows.where("row % 2 = 0")).select("row", "outcome", "slug")
+    return match.triage(rows, hits, cat, "th", rows.where("num % 2 = 0").dropDuplicates(["row"])).select("row", "outcome", "slug")
 
 
 @query("upload_summary", f"""
 WITH {CATALOG}, {ROWS}, {SQL_KEYS}, m AS (SELECT DISTINCT "row" FROM al)
-SELECT rws."row" % 7 AS upload_id, count(*) AS n_rows, count(m."row") AS n_matched, count(*) FILTER (rws."row" % 3 = 0) AS n_found
+SELECT num % 7 AS upload_id, count(*) AS n_rows, count(m."row") AS n_matched, count(*) FILTER (num % 3 = 0) AS n_found
 FROM rws LEFT JOIN m ON m."row" = rws."row" GROUP BY 1
 """)
 def upload_summary(spark, folder):
@@ -157,7 +156,7 @@ def upload_summary(spark, folder):
     rows = market_rows(spark, folder)
     hits = match.match_keys(rows, match.model_keys(catalog(spark, folder))).groupBy("row").agg(F.collect_set("key").alias("candidates"))
     full = rows.join(hits, "row", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
-    return match.upload_summary(full.withColumn("upload_id", F.col("row") % 7), rows.where("row % 3 = 0"), keys=["upload_id"])
+    return match.upload_summary(full.withColumn("upload_id", F.col("num") % 7), rows.where("num % 3 = 0"), keys=["upload_id"])
 
 
 @query("home_country", """
@@ -411,8 +410,8 @@ def dead_media(spark, folder):
 
 
 @query("image_coverage", f"""
-WITH {SQL_URL}, i AS (SELECT p_type AS page, regexp_replace(url, '[?#].*$', '') AS u FROM u WHERE p_partkey % 2 = 0),
-a AS (SELECT p_type AS page, regexp_replace(url, '[?#].*$', '') AS v FROM u WHERE p_partkey % 3 = 0),
+WITH {SQL_URL}, i AS (SELECT p_type AS page, regexp_replace(url, '[?#].*$', '') AS u FROM u),
+a AS (SELECT p_type AS page, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'https://old.shop.example' END || regexp_replace(url, '[?#].*$', '') AS v FROM u),
 d AS (SELECT DISTINCT page, u FROM i), da AS (SELECT DISTINCT page, v FROM a),
 h AS (SELECT page, u, (page, u) IN (SELECT (page, v) FROM da) OR (page, regexp_replace(u, '(?i)-m(\\.\\w+)$', '-d\\1')) IN (SELECT (page, v) FROM da) OR (page, regexp_replace(u, '(?i)-d(\\.\\w+)$', '-m\\1')) IN (SELECT (page, v) FROM da) AS hit FROM d)
 SELECT page AS page_id, count(*) AS in_markdown, count(*) FILTER (hit) AS captured, CAST(floor(count(*) FILTER (hit) * 100 / count(*) + 0.5) AS BIGINT) AS pct FROM h GROUP BY page
@@ -422,7 +421,8 @@ def image_coverage(spark, folder):
     from ..operators import qa
 
     u = part_urls(spark, folder).withColumn("page_id", F.col("p_type"))
-    return qa.image_coverage_pct(u.where("p_partkey % 2 = 0").select("page_id", "url"), u.where("p_partkey % 3 = 0").select("page_id", "url"))
+    moved = F.concat(F.when(_p() % 3 == 0, "").otherwise("https://old.shop.example"), "url")
+    return qa.image_coverage_pct(u.select("page_id", "url"), u.select("page_id", moved.alias("url")))
 
 
 @query("image_inventory_gaps", f"""
@@ -443,35 +443,37 @@ def image_inventory_gaps(spark, folder):
 
 
 @query("video_sections", f"""
-WITH {SQL_URL}, a AS (SELECT p_type AS page, p_size AS sec_ord, p_partkey AS pos, url,
+WITH {SQL_URL}, a AS (SELECT p_type || CASE WHEN p_partkey % 11 <> 0 AND p_size <= 40 THEN ' low' ELSE '' END AS page, p_size AS sec_ord, p_partkey AS pos, url,
    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', ''), '\\.\\w+$', ''), '(?i)-(m|d|gb|gb-d|gb-m)$', ''), '(?i)-(m|d)$', '') AS stem,
    regexp_extract(url, '(/content/dam/[^?#]*/)', 1) AS folder, p_partkey % 11 = 0 AS v FROM u),
 vd AS (SELECT * FROM a WHERE v QUALIFY row_number() OVER (PARTITION BY page, stem ORDER BY pos) = 1),
-st AS (SELECT page, stem, min(sec_ord) AS s FROM a WHERE NOT v AND sec_ord > 40 GROUP BY ALL), fo AS (SELECT page, folder, min(sec_ord) AS f FROM a WHERE NOT v AND sec_ord > 40 GROUP BY ALL)
+st AS (SELECT page, stem, min(sec_ord) AS s FROM a WHERE NOT v GROUP BY ALL), fo AS (SELECT page, folder, min(sec_ord) AS f FROM a WHERE NOT v GROUP BY ALL)
 SELECT page, pos, coalesce(s, f) AS sec_ord, CASE WHEN s IS NOT NULL THEN 'file-stem' WHEN f IS NOT NULL THEN 'dam-folder' ELSE 'unassigned' END AS matched_by
 FROM vd LEFT JOIN st USING (page, stem) LEFT JOIN fo USING (page, folder)
 """)
 def video_sections(spark, folder):
     """Section of each video by file stem, then folder."""
-    u = part_urls(spark, folder).select(F.col("p_type").alias("page"), F.col("p_size").alias("sec_ord"), _p().alias("pos"), "url")
+    low = F.when((_p() % 11 != 0) & (F.col("p_size") <= 40), " low").otherwise("")  # pictures of pages of their own
+    u = part_urls(spark, folder).select(F.concat("p_type", low).alias("page"), F.col("p_size").alias("sec_ord"), _p().alias("pos"), "url")
     vids = u.where("pos % 11 = 0").select("page", "pos", "url")
-    assets = u.where("pos % 11 <> 0 and sec_ord > 40").withColumn("type", F.lit("image"))
+    assets = u.where("pos % 11 <> 0").withColumn("type", F.lit("image"))
     return media.attach_videos(assets, vids, ["page"]).select("page", "pos", "sec_ord", "matched_by")
 
 
 @query("geometry_join", f"""
-WITH {SQL_URL}, a AS (SELECT p_type AS page, p_partkey AS id, regexp_replace(url, '[?#].*$', '') AS b FROM u WHERE p_partkey % 2 = 0),
-g AS (SELECT p_type AS page, regexp_replace(url, '[?#].*$', '') AS k, p_size * 30 AS rw, p_partkey AS rt, p_size AS rl FROM u WHERE p_partkey % 5 IN (0, 1)
-      QUALIFY row_number() OVER (PARTITION BY p_type, regexp_replace(url, '[?#].*$', '') ORDER BY p_partkey, p_size, p_size * 30) = 1)
+WITH {SQL_URL}, a AS (SELECT p_type AS page, p_partkey AS id, regexp_replace(url, '[?#].*$', '') AS b FROM u),
+g AS (SELECT p_type AS page, CASE WHEN p_partkey % 5 IN (0, 1) THEN '' ELSE 'https://old.shop.example' END || regexp_replace(url, '[?#].*$', '') AS k, p_size * 30 AS rw, p_partkey AS rt, p_size AS rl FROM u
+      QUALIFY row_number() OVER (PARTITION BY p_type, CASE WHEN p_partkey % 5 IN (0, 1) THEN '' ELSE 'https://old.shop.example' END || regexp_replace(url, '[?#].*$', '') ORDER BY p_partkey, p_size, p_size * 30) = 1)
 SELECT a.page, a.id, CAST(coalesce(g0.rt, g1.rt, g2.rt) AS BIGINT) AS rt FROM a LEFT JOIN g g0 ON g0.page = a.page AND g0.k = b
   LEFT JOIN g g1 ON g1.page = a.page AND g1.k = regexp_replace(b, '(?i)-m(\\.\\w+)$', '-d\\1') LEFT JOIN g g2 ON g2.page = a.page AND g2.k = regexp_replace(b, '(?i)-d(\\.\\w+)$', '-m\\1')
 """)
 def geometry_join(spark, folder):
     """Render geometry under an address or its device swaps."""
     u = part_urls(spark, folder)
-    assets = u.where("p_partkey % 2 = 0").select(F.col("p_type").alias("page"), _p().alias("id"), "url", F.array().cast("array<string>").alias("variants"))
-    geo = u.where("p_partkey % 5 in (0, 1)").select(
-        F.col("p_type").alias("page"), F.col("url").alias("src"), (F.col("p_size") * 30).alias("rw"), _p().alias("rt"), F.col("p_size").alias("rl"))
+    assets = u.select(F.col("p_type").alias("page"), _p().alias("id"), "url", F.array().cast("array<string>").alias("variants"))
+    moved = F.concat(F.when((_p() % 5).isin(0, 1), "").otherwise("https://old.shop.example"), "url")
+    geo = u.select(
+        F.col("p_type").alias("page"), moved.alias("src"), (F.col("p_size") * 30).alias("rw"), _p().alias("rt"), F.col("p_size").alias("rl"))
     return media.merge_geometry(assets, geo, ["page"], ["id"]).select("page", "id", F.col("geo.rt").alias("rt"))
 
 

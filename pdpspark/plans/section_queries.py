@@ -226,7 +226,7 @@ def content_checks(spark, folder):
 
 
 @query("component_choice", """
-WITH c AS (SELECT l_orderkey AS page_id, l_partkey AS p, l_returnflag <> 'N' AS r FROM lineitem), m AS (SELECT o_orderkey AS page_id, o_custkey AS p FROM orders WHERE o_orderkey % 3 = 0),
+WITH c AS (SELECT l_orderkey AS page_id, l_partkey AS p, l_returnflag <> 'N' AS r FROM lineitem), m AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE -o_orderkey END AS page_id, o_custkey AS p FROM orders),
 g AS (SELECT page_id FROM c GROUP BY ALL HAVING count(*) FILTER (r) >= 3)
 SELECT page_id, p, 'component' AS src FROM c WHERE page_id IN (SELECT page_id FROM g) OR page_id NOT IN (SELECT page_id FROM m)
 UNION ALL SELECT page_id, p, 'model' FROM m WHERE page_id NOT IN (SELECT page_id FROM g)
@@ -235,8 +235,8 @@ def component_choice(spark, folder):
     """Model sections for pages with too few renderable ones."""
     c = lines(spark, folder).select(
         F.col("l_orderkey").alias("page_id"), F.col("l_partkey").alias("p"), (F.col("l_returnflag") != "N").alias("renderable"), F.lit("component").alias("src"))
-    m = table(spark, folder, "orders").where("o_orderkey % 3 = 0").select(
-        F.col("o_orderkey").alias("page_id"), F.col("o_custkey").alias("p"), F.lit(True).alias("renderable"), F.lit("model").alias("src"))
+    m = table(spark, folder, "orders").select(  # models of other pages have numbers of their own
+        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).otherwise(-F.col("o_orderkey")).alias("page_id"), F.col("o_custkey").alias("p"), F.lit(True).alias("renderable"), F.lit("model").alias("src"))
     return sections.choose_sections(c, m).select("page_id", "p", "src")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
-from ..operators import channels, extract, media, qa, sections
+from ..operators import channels, extract, markdown, media, qa, sections
 from ..operators.ordered import Total, drop_repeats, scan
 from .registry import query, table, wide_table
 
@@ -262,6 +262,121 @@ def doc_md_tokens(spark, folder):
     return extract.md_tokens(docs).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).alias("n_chars"))
 
 
+def page_markdown(docs):
+    """Documents as crawled markdown: by its place and length a line becomes an image, a heading, a label, a note, a control or stays a text."""
+    url = lambda stem, i: F.concat(F.lit(stem), F.col("doc_id").cast("string"), F.lit("-"), i.cast("string"))
+    image = lambda alt, stem, i, end: F.concat(F.lit("!["), alt, F.lit("]("), url(stem, i), F.lit(end), F.lit(")"))
+
+    def one(ln, i):
+        k = (i * 7 + F.length(ln) + F.col("doc_id")) % 29
+        word = F.left(ln, F.lit(22))
+        return (
+            F.when(k.isin(0, 1, 2, 3), F.concat(F.lit("## "), ln)).when(k.isin(4, 5, 6), image(word, "https://h.com/content/dam/", i, ".jpg"))
+            .when(k == 7, F.concat(image(word, "https://h.com/a/", i, ".png"), F.lit("\n"), word, F.lit(" caption")))
+            .when(k == 8, F.concat(image(F.lit(""), "https://h.com/a/", i, ".webp?x=1"), F.lit("\n"), word, F.lit("\n"), image(word, "https://h.com/b/", i, ".png"), F.lit("\nSee more\n"), word))
+            .when(k == 9, F.concat(image(word, "https://h.com/gallery/", i, ".jpg"), F.lit("\n"), image(word, "https://h.com/x-icon-", i, ".png")))
+            .when(k == 10, F.concat(F.lit("\\*"), ln)).when(k == 11, F.lit("Learn more")).when(k == 12, F.lit("Play video"))
+            .when(k == 13, F.lit("# Recently Viewed")).when(k == 14, F.lit("### --")).when((k == 15) & (i > 8), F.lit("## Warranty"))
+            .when(k.isin(16, 17, 18), word).when(k == 19, F.concat(word, F.lit(" "), image(word, "https://h.com/a/", i, ".gif"), F.lit(" end of line")))
+            .when(k == 20, F.concat(F.lit("* "), ln)).when(k == 21, F.concat(F.lit("## "), word)).when(k == 22, F.lit("# Same title"))
+            .when(k == 23, image(word, "data:", i, ".png")).otherwise(ln))
+
+    return docs.select(F.col("doc_id").alias("page_id"), F.array_join(F.transform(F.split("text", "\n"), one), "\n").alias("md"))
+
+
+SQL_MARKDOWN = r"""md AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda ln, j: [ln, left(ln, 22), doc_id || '-' || (j - 1), CAST(((j - 1) * 7 + length(ln) + doc_id) % 29 AS VARCHAR), CAST(j - 1 AS VARCHAR)]) AS ls FROM
+    (SELECT doc_id, text FROM documents)),
+  ln AS (SELECT doc_id, unnest(list_transform(ls, lambda x: CASE CAST(x[4] AS BIGINT)
+    WHEN 0 THEN '## ' || x[1] WHEN 1 THEN '## ' || x[1] WHEN 2 THEN '## ' || x[1] WHEN 3 THEN '## ' || x[1]
+    WHEN 4 THEN '![' || x[2] || '](https://h.com/content/dam/' || x[3] || '.jpg)' WHEN 5 THEN '![' || x[2] || '](https://h.com/content/dam/' || x[3] || '.jpg)' WHEN 6 THEN '![' || x[2] || '](https://h.com/content/dam/' || x[3] || '.jpg)'
+    WHEN 7 THEN '![' || x[2] || '](https://h.com/a/' || x[3] || '.png)' || chr(10) || x[2] || ' caption'
+    WHEN 8 THEN '![](https://h.com/a/' || x[3] || '.webp?x=1)' || chr(10) || x[2] || chr(10) || '![' || x[2] || '](https://h.com/b/' || x[3] || '.png)' || chr(10) || 'See more' || chr(10) || x[2]
+    WHEN 9 THEN '![' || x[2] || '](https://h.com/gallery/' || x[3] || '.jpg)' || chr(10) || '![' || x[2] || '](https://h.com/x-icon-' || x[3] || '.png)'
+    WHEN 10 THEN '\*' || x[1] WHEN 11 THEN 'Learn more' WHEN 12 THEN 'Play video' WHEN 13 THEN '# Recently Viewed' WHEN 14 THEN '### --'
+    WHEN 15 THEN CASE WHEN CAST(x[5] AS BIGINT) > 8 THEN '## Warranty' ELSE x[1] END WHEN 16 THEN x[2] WHEN 17 THEN x[2] WHEN 18 THEN x[2]
+    WHEN 19 THEN x[2] || ' ![' || x[2] || '](https://h.com/a/' || x[3] || '.gif) end of line' WHEN 20 THEN '* ' || x[1] WHEN 21 THEN '## ' || x[2] WHEN 22 THEN '# Same title'
+    WHEN 23 THEN '![' || x[2] || '](data:' || x[3] || '.png)' ELSE x[1] END)) AS l, generate_subscripts(ls, 1) AS j FROM md),
+  raw AS (SELECT doc_id, j, trim(unnest(string_split(l, chr(10)))) AS r, generate_subscripts(string_split(l, chr(10)), 1) AS jj FROM ln),
+  made AS (SELECT doc_id, j, jj, CASE WHEN regexp_matches(r, '^(#{1,4})\s+(.+)$') THEN [{'k': 'h', 'v': trim(regexp_extract(r, '^(#{1,4})\s+(.+)$', 2)), 'u': ''}]
+    ELSE list_transform(regexp_extract_all(r, '!\[[^\]]*\]\([^)]+\)'), lambda m: {'k': 'img', 'v': trim(regexp_extract(m, '!\[([^\]]*)\]', 1)), 'u': trim(regexp_extract(m, '\]\(([^)]+)\)', 1))})
+      || CASE WHEN trim(regexp_replace(r, '!\[[^\]]*\]\([^)]+\)', '', 'g')) <> '' THEN [{'k': 'txt', 'v': trim(regexp_replace(r, '!\[[^\]]*\]\([^)]+\)', '', 'g')), 'u': ''}] ELSE [] END END AS a FROM raw WHERE r <> ''),
+  flat AS (SELECT doc_id, j, jj, unnest(a) AS t, generate_subscripts(a, 1) AS jjj FROM made),
+  tok AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j, jj, jjj) AS i, t.k AS k, t.v AS v, t.u AS u FROM flat)"""
+
+
+@query("doc_md_sections", "WITH RECURSIVE " + SQL_MARKDOWN + r""",
+  a AS (SELECT *, k = 'txt' AND regexp_matches(v, '(?i)^(close|Pause carousel|Play carousel|Watch the Full Movie|Video Play|Video Pause|Previous|Next|_\\{0,2}\*_|\\{0,2}\*|[a-z]+\.com utilizes|Learn more|View more|See more|Buy Now|Add to cart|Where to Buy)$') AS ns,
+    k = 'txt' AND regexp_matches(v, '^\\?\*') AS nt,
+    CASE WHEN k = 'h' THEN CASE WHEN regexp_matches(v, '(?i)^(Summary|Dimensions|All Specs?\b|Specs?$|Key Spec|PRODUCT (FEATURES|SPECIFICATIONS)|Rating|Overall Rating|Review|Average Customer|Customer Images|Filter Reviews|Pros$|Cons$|Our picks|Need help|Contact|Find locally|Support|Warranty|FAQ|Product Support)') THEN 'stop'
+      WHEN regexp_matches(v, '(?i)^(AI recommend|Quick Links|(?-i:[A-Z]{2,})s Pick|Popularity ranking|Recommended|Recently Viewed|You may also like|What people are saying|Compare|Where to buy|Find a store|Related)') THEN 'chrome'
+      WHEN length(regexp_replace(v, '[^A-Za-z가-힣0-9]', '', 'g')) < 3 THEN 'short' ELSE 'normal' END END AS hk,
+    k = 'img' AND regexp_matches(u, '^https?:') AND NOT regexp_matches(u, '(?i)gnb|promotion|promo|deals|installment|home-page|/banner|membership|superbrand|microsite|/logo|favicon|\.svg|[-_]icon[-_]')
+      AND (contains(u, '/content/dam/') OR regexp_matches(u, '(?i)\.(jpe?g|png|webp|gif|avif)(\?|$)')) AS ok FROM tok),
+  arr AS (SELECT doc_id, list({'k': k, 'v': v, 'u': u, 'ns': ns, 'nt': nt, 'hk': hk, 'ok': ok, 'g': ok AND contains(u, '/gallery/')} ORDER BY i) AS t, count(*) AS n FROM a GROUP BY doc_id),
+  -- the run that would begin at each image, by itself: image, title behind noise, at most two more texts, next image
+  m AS (SELECT a.doc_id, a.i, ok AND NOT contains(u, '/gallery/') AS pic, (SELECT min(b.i) FROM a b WHERE b.doc_id = a.doc_id AND b.i > a.i AND NOT b.ns) AS m FROM a WHERE k = 'img'),
+  vv AS (SELECT m.doc_id, m.i, m.m, pic AND t[m.m].k = 'txt' AND length(t[m.m].v) <= 50 AND NOT t[m.m].nt AS valid, m.m + 1 + CASE WHEN t[m.m + 1].k = 'txt' THEN CASE WHEN t[m.m + 2].k = 'txt' THEN 2 ELSE 1 END ELSE 0 END AS nx FROM m JOIN arr USING (doc_id)),
+  go AS (SELECT doc_id, 1::BIGINT AS ci, 1::BIGINT AS p, [0::BIGINT] AS run, [0::BIGINT] AS done, n FROM arr
+    UNION ALL
+    SELECT go.doc_id, CASE WHEN coalesce(vv.valid, false) THEN ci WHEN len(run) > 2 THEN p ELSE ci + 1 END, CASE WHEN coalesce(vv.valid, false) THEN vv.nx WHEN len(run) > 2 THEN p ELSE ci + 1 END,
+      CASE WHEN coalesce(vv.valid, false) THEN list_append(run, go.p) ELSE [0::BIGINT] END, CASE WHEN NOT coalesce(vv.valid, false) AND len(run) > 2 THEN list_concat(done, run) ELSE done END, n
+    FROM go LEFT JOIN vv ON vv.doc_id = go.doc_id AND vv.i = go.p WHERE ci <= n),
+  cards AS (SELECT DISTINCT doc_id, unnest(done) AS i FROM go WHERE ci > n),
+  titles AS (SELECT c.doc_id, c.i, v.m FROM cards c JOIN vv v USING (doc_id, i)),
+  own AS (SELECT a.doc_id, a.i, list_filter(arr.t[a.i + 1:least(a.i + 5, n)], lambda x: x.k <> 'img' AND NOT (x.ns AND NOT regexp_matches(x.v, '(?i)play video|pause video')))[1] AS x FROM a JOIN arr USING (doc_id) WHERE a.k = 'img'),
+  step AS (SELECT a.*, a.ok AND contains(a.u, '/gallery/') AS gal, c.i IS NOT NULL AS card, t2.v AS ctitle, s.m IS NOT NULL AS taken,
+      CASE WHEN a.k = 'img' THEN CASE WHEN x IS NULL OR x.k = 'h' THEN 'next' WHEN regexp_matches(x.v, '(?i)play video|pause video') OR x.nt OR (a.v <> '' AND starts_with(x.v, left(a.v, 30))) THEN 'current' WHEN length(x.v) <= 40 THEN 'next' ELSE 'current' END END AS who,
+      lag(a.k) OVER w AS pk, lag(a.v) OVER w AS pv, lag(a.nt) OVER w AS pnt, lag(a.u) OVER w AS pu, lead(a.k) OVER w AS nk, lead(a.hk) OVER w AS nhk
+    FROM a LEFT JOIN cards c USING (doc_id, i) LEFT JOIN vv USING (doc_id, i) LEFT JOIN tok t2 ON t2.doc_id = vv.doc_id AND t2.i = vv.m LEFT JOIN titles s ON s.doc_id = a.doc_id AND s.m = a.i LEFT JOIN own ON own.doc_id = a.doc_id AND own.i = a.i
+    WINDOW w AS (PARTITION BY a.doc_id ORDER BY a.i)),
+  -- the walk: c the open section (0: none), b and s its texts and images so far, p images that wait, e the waiting label, al alt texts, o what this token puts out
+  walk AS (SELECT doc_id, 0::BIGINT AS i, false AS stop, false AS chrome, 0::BIGINT AS c, 0::BIGINT AS nsec, false AS ti, 0::BIGINT AS b, 0::BIGINT AS s, ['']::VARCHAR[] AS p, '' AS e, ['']::VARCHAR[] AS al, ''::VARCHAR AS h0, ['']::VARCHAR[] AS o FROM arr
+    UNION ALL
+    SELECT y.doc_id, y.i, y.hk IS NOT DISTINCT FROM 'stop',
+      CASE WHEN y.k = 'h' THEN y.hk = 'chrome' ELSE w.chrome END,
+      CASE WHEN y.hk = 'normal' THEN nsec + 1 WHEN y.k = 'h' THEN 0 ELSE c END, CASE WHEN y.hk = 'normal' THEN nsec + 1 ELSE nsec END,
+      CASE WHEN y.k = 'h' THEN y.hk = 'normal' AND (nsec = 0 OR h0 = y.v) ELSE ti END,
+      CASE WHEN y.k = 'h' THEN 0 WHEN y.act = 'body' THEN b + 1 ELSE b END,
+      CASE WHEN y.k = 'h' THEN least(2, len(p) - 1) WHEN y.act IN ('card-pair', 'doc-order', 'doc-order-trailing') THEN s + 1 ELSE s END,
+      CASE WHEN y.k = 'h' AND y.hk <> 'stop' THEN [''] WHEN y.act = 'wait' THEN list_append(p, y.u || '|' || y.v) ELSE p END,
+      CASE WHEN y.k = 'h' THEN '' WHEN y.act = 'label' THEN y.v WHEN y.act = 'wait' AND NOT y.card THEN '' ELSE e END,
+      CASE WHEN y.hk = 'normal' THEN list_concat([''], list_filter(list_transform(p[greatest(2, len(p) - 1):], lambda q: left(regexp_extract(q, '\|(.*)$', 1), 30)), lambda q: q <> '')) WHEN y.k = 'h' THEN ['']
+           WHEN y.act IN ('doc-order', 'doc-order-trailing') AND y.v <> '' THEN list_append(al, left(y.v, 30)) ELSE al END,
+      CASE WHEN y.hk = 'normal' AND nsec = 0 THEN y.v ELSE h0 END,
+      CASE WHEN y.hk = 'normal' THEN list_concat(['0section:' || (nsec + 1) || ':' || y.v || ':' || e], list_transform(p[greatest(2, len(p) - 1):], lambda q: '1asset:' || (nsec + 1) || ':doc-order:' || q), list_transform(p[2:greatest(1, len(p) - 2)], lambda q: '2unassigned:' || q))
+           WHEN y.act IN ('body', 'note') AND c > 0 THEN ['0' || y.act || ':' || c || ':' || CASE WHEN y.act = 'note' THEN regexp_replace(y.v, '^\\', '') ELSE y.v END]
+           WHEN y.act = 'card-pair' THEN ['1asset:' || c || ':card-pair:' || y.u || '|' || y.v || '|' || y.ctitle] WHEN y.act IN ('doc-order', 'doc-order-trailing') THEN ['1asset:' || c || ':' || y.act || ':' || y.u || '|' || y.v]
+           WHEN y.act = 'gallery' THEN ['2gallery:' || y.u || '|' || y.v] ELSE ['']::VARCHAR[] END
+    FROM walk w JOIN LATERAL (SELECT z.*, CASE WHEN z.k = 'h' THEN NULL WHEN w.chrome THEN 'skip'
+        WHEN z.k = 'img' THEN CASE WHEN NOT z.ok THEN 'skip' WHEN z.gal THEN 'gallery' WHEN z.card THEN CASE WHEN w.c > 0 THEN 'card-pair' ELSE 'wait' END
+          WHEN w.c > 0 AND NOT w.ti AND w.b = 0 AND w.s = 0 THEN 'doc-order' WHEN z.who = 'current' AND w.c > 0 AND NOT w.ti THEN 'doc-order-trailing' ELSE 'wait' END
+        WHEN z.taken OR z.ns THEN 'skip' WHEN z.nt THEN 'note' WHEN len(list_filter(w.al, lambda q: q <> '' AND starts_with(z.v, q))) > 0 THEN 'skip'
+        WHEN length(z.v) <= 40 AND z.nk = 'h' AND z.nhk NOT IN ('stop', 'chrome') AND NOT regexp_matches(z.v, '(?i)video|slide|carousel|play|pause|next|prev')
+          AND NOT coalesce((z.pk = 'txt' AND length(z.pv) <= 40 AND NOT z.pnt) OR (z.pk = 'img' AND regexp_matches(z.pu, '(?i)[-_]icon[-_]')), false) THEN 'label' ELSE 'body' END AS act
+      FROM step z) y ON y.doc_id = w.doc_id AND y.i = w.i + 1 WHERE NOT w.stop),
+  last AS (SELECT doc_id, p FROM walk QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1),
+  outs AS (SELECT doc_id, unnest(o) AS x FROM walk UNION ALL SELECT doc_id, '2unassigned:' || q FROM (SELECT doc_id, unnest(p[2:]) AS q FROM last))
+SELECT doc_id AS page_id, count(*) FILTER (starts_with(x, '0section')) AS n_sections, count(*) FILTER (starts_with(x, '0body')) AS n_body, count(*) FILTER (starts_with(x, '1asset')) AS n_assets,
+  count(*) FILTER (starts_with(x, '2unassigned')) AS n_unassigned, count(*) FILTER (contains(x, ':card-pair:')) AS n_cards, md5(string_agg(x, chr(10) ORDER BY encode(x))) AS all_md5 FROM outs WHERE x <> '' GROUP BY doc_id
+""")
+def doc_md_sections(spark, folder):
+    """Sections, texts and images of crawled markdown (W23); the SQL walks the tokens one by one."""
+    pages = page_markdown(table(spark, folder, "documents"))
+    found = markdown.md_sections(extract.md_tokens(pages))
+    nth = found.sections.select("page_id", "seg", F.col("sec_ord").cast("string").alias("n"))
+    label = lambda *parts: F.concat_ws(":", *parts)
+    heads = found.sections.select("page_id", label(F.lit("0section"), F.col("sec_ord").cast("string"), "headline", "eyebrow").alias("x"))
+    words = found.texts.join(nth, ["page_id", "seg"]).select("page_id", label(F.concat(F.lit("0"), F.when(F.col("kind") == "body", "body").otherwise("note")), "n", "text").alias("x"))
+    pics = found.assets.join(nth, ["page_id", "seg"], "left").select("page_id", F.when(F.col("n").isNull(), label(F.concat(F.lit("2"), "matched_by"), F.concat_ws("|", "url", "alt"))).otherwise(
+        label(F.lit("1asset"), "n", "matched_by", F.concat_ws("|", "url", "alt", "title"))).alias("x"))
+    count = lambda c: F.count_if(c)
+    x = F.col("x")
+    return heads.unionByName(words).unionByName(pics).groupBy("page_id").agg(
+        count(x.startswith("0section")).alias("n_sections"), count(x.startswith("0body")).alias("n_body"), count(x.startswith("1asset")).alias("n_assets"),
+        count(x.startswith("2unassigned")).alias("n_unassigned"), count(F.contains(x, F.lit(":card-pair:"))).alias("n_cards"),
+        F.md5(F.array_join(F.array_sort(F.collect_list("x")), "\n")).alias("all_md5"))
+
+
 @query("doc_heading_scope", """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 h AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN CASE WHEN (doc_id + pos) % 7 = 0 THEN 'chrome' WHEN (doc_id + pos) % 35 = 30 THEN 'stop' ELSE 'normal' END END AS kind FROM l),
@@ -323,8 +438,8 @@ def content_ids(spark, folder):
 
 
 @query("manifest_sync", """
-WITH a AS (SELECT 'd' || (doc_id % 50) || '/' || doc_id || CASE WHEN doc_id % 13 = 0 THEN '.log' ELSE '.json' END AS rel, length(text) AS size, md5(text) AS md5 FROM documents WHERE doc_id % 5 <> 0),
-b AS (SELECT 'd' || (doc_id % 50) || '/' || doc_id || CASE WHEN doc_id % 13 = 0 THEN '.log' ELSE '.json' END AS rel, length(text) AS size, CASE WHEN doc_id % 3 = 0 THEN 'part-2' WHEN doc_id % 7 = 0 THEN md5(text || 'x') ELSE md5(text) END AS md5 FROM documents WHERE doc_id % 4 <> 0),
+WITH a AS (SELECT 'd' || (doc_id % 50) || '/' || doc_id || CASE WHEN doc_id % 13 = 0 THEN '.log' ELSE '.json' END AS rel, length(text) AS size, md5(text) AS md5 FROM documents),
+b AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'old/' ELSE '' END || 'd' || (doc_id % 50) || '/' || doc_id || CASE WHEN doc_id % 13 = 0 THEN '.log' ELSE '.json' END AS rel, length(text) AS size, CASE WHEN doc_id % 3 = 0 THEN 'part-2' WHEN doc_id % 7 = 0 THEN md5(text || 'x') ELSE md5(text) END AS md5 FROM documents),
 j AS (SELECT coalesce(a.size, b.size) AS size, CASE WHEN b.size IS NULL THEN 'upload' WHEN a.size IS NULL THEN 'download'
   WHEN a.size = b.size AND (NOT regexp_matches(b.md5, '^[0-9a-f]{32}$') OR a.md5 = b.md5) THEN 'unchanged' ELSE 'differs' END AS action
   FROM (SELECT * FROM a WHERE rel NOT LIKE '%.log') a FULL OUTER JOIN (SELECT * FROM b WHERE rel NOT LIKE '%.log') b ON a.rel = b.rel)
@@ -337,9 +452,9 @@ def manifest_sync(spark, folder):
     d = F.col("doc_id")
     rel = F.concat(F.lit("d"), (d % 50).cast("string"), F.lit("/"), d.cast("string"), F.when(d % 13 == 0, ".log").otherwise(".json"))
     docs = table(spark, folder, "documents").select("doc_id", F.lit("out").alias("root"), rel.alias("rel"), F.length("text").alias("size"), "text")
-    local = docs.where("doc_id % 5 <> 0").select("root", "rel", "size", F.md5("text").alias("md5"))
+    local = docs.select("root", "rel", "size", F.md5("text").alias("md5"))
     etag = F.when(d % 3 == 0, "part-2").when(d % 7 == 0, F.md5(F.concat("text", F.lit("x")))).otherwise(F.md5("text"))
-    remote = docs.where("doc_id % 4 <> 0").select("root", "rel", "size", etag.alias("md5"))
+    remote = docs.select("root", F.concat(F.when(d % 4 == 0, "old/").otherwise(""), "rel").alias("rel"), "size", etag.alias("md5"))
     return store.sync_stats(store.sync_plan(local, remote)).select("action", "n", F.col("bytes").cast("bigint").alias("bytes"))
 
 
@@ -557,27 +672,79 @@ def turn_owner(spark, folder):
     return media.own_media(t, ["conv_id"], ["turn"]).where("is_media").select("conv_id", "turn", F.col("owner.turn").alias("owner"))
 
 
-@query("turn_usps")
+def usp_blocks(t):
+    """Turns as text blocks of a product: titles cut out of one sentence, so that some hold others; some turns have no title, or one of marks alone."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    title = F.substring(F.lit("Smart Inverter Compressor Panel"), (1 + (turn * 5 + conv) % 9).cast("int"), (5 + (turn * 3 + conv) % 12).cast("int"))
+    body = F.element_at(F.split("text", r"[.\n]"), 1)
+    made = (
+        F.when((turn + conv) % 4 == 0, F.concat(body, F.lit("\n* a note\n- more"))).when((turn * 3 + conv) % 11 == 0, F.concat(F.lit("## -–:\n"), body))
+        .when((turn + conv) % 5 == 0, F.concat(F.lit("New\n## "), title, F.lit("\n"), body)).otherwise(F.concat(F.lit("## "), title, F.lit("\n"), body, F.lit("\n> "), F.left(body, F.lit(9)))))
+    return t.select("conv_id", "turn", made.alias("text"))
+
+
+@query("turn_usps", r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, substr('Smart Inverter Compressor Panel', CAST(1 + (turn * 5 + conv_id) % 9 AS INT), CAST(5 + (turn * 3 + conv_id) % 12 AS INT)) AS title,
+   regexp_split_to_array(text, '[.\n]')[1] AS body FROM conversations),
+  m AS (SELECT conv_id, turn, CASE WHEN (turn + conv_id) % 4 = 0 THEN body || chr(10) || '* a note' || chr(10) || '- more' WHEN (turn * 3 + conv_id) % 11 = 0 THEN '## -–:' || chr(10) || body
+   WHEN (turn + conv_id) % 5 = 0 THEN 'New' || chr(10) || '## ' || title || chr(10) || body ELSE '## ' || title || chr(10) || body || chr(10) || '> ' || left(body, 9) END AS t FROM c),
+  l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[\x{2028}\x{A0}]', ' ', 'g'))), lambda x: x <> '' AND NOT starts_with(x, '*')) AS ls FROM m),
+  h AS (SELECT *, list_position(list_transform(ls, lambda x: starts_with(x, '#')), true) AS hd, list_transform(ls, lambda x: trim(regexp_replace(x, '^[#>\-\s•]+', ''))) AS cl FROM l WHERE len(ls) > 0),
+  f AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS i, coalesce(hd, 0) > 0 AS has, CASE WHEN coalesce(hd, 0) > 0 THEN cl[1] ELSE left(cl[1], 80) END AS title,
+     array_to_string(list_filter(cl[2:], lambda x: x <> ''), ' ') AS rest, trim(array_to_string(cl, ' ')) AS whole FROM h),
+  k AS (SELECT *, lower(trim(regexp_replace(title, '[\s™®\-–—:]+', ' ', 'g'))) AS key FROM f),
+  r AS (SELECT conv_id, 0::BIGINT AS i, []::VARCHAR[] AS ks, []::VARCHAR[] AS ts, []::VARCHAR[] AS ds FROM (SELECT DISTINCT conv_id FROM k)
+    UNION ALL
+    SELECT conv_id, i, CASE WHEN act = 'new' THEN list_append(ks, key) ELSE ks END, CASE WHEN act = 'new' THEN list_append(ts, title) ELSE ts END,
+      CASE WHEN act = 'new' THEN list_append(ds, rest)
+        WHEN act = 'more' THEN list_transform(ds, lambda d, j: CASE WHEN j = len(ds) THEN trim(d || ' ' || whole) ELSE d END)
+        WHEN act = 'dup' THEN list_transform(ds, lambda d, j: CASE WHEN j = hit AND rest <> '' AND NOT contains(d, rest) THEN trim(d || ' ' || rest) ELSE d END) ELSE ds END
+    FROM (SELECT *, CASE WHEN NOT has AND len(ks) > 0 THEN 'more' WHEN key = '' THEN 'none' WHEN hit > 0 THEN 'dup' ELSE 'new' END AS act
+      FROM (SELECT r.conv_id, k.i, ks, ts, ds, has, key, title, rest, whole,
+        coalesce(list_position(list_transform(ks, lambda u: u = key OR (least(length(u), length(key)) >= 6 AND (contains(u, key) OR contains(key, u)))), true), 0) AS hit
+        FROM r JOIN k ON k.conv_id = r.conv_id AND k.i = r.i + 1)))
+SELECT conv_id, unnest(ts) AS title, unnest(ds) AS desc, unnest(range(1, len(ts) + 1)) AS place FROM r QUALIFY i = max(i) OVER (PARTITION BY conv_id)
+""")
 def turn_usps(spark, folder):
-    """Selling points per conversation, contained titles merged."""
-    t = table(spark, folder, "conversations").select("conv_id", "turn", F.when(
-        F.col("role") == "user", F.concat(F.lit("## "), F.element_at(F.split("text", r"[.\n]"), 1), F.lit("\n"), F.col("text"))).otherwise(F.col("text")).alias("text"))
-    rows = channels.usp_rows(t, ["conv_id"], ["turn"])
-    return channels.usp_list(rows, ["conv_id"]).select("conv_id", F.size("usps").alias("n_usps"), F.transform("usps", lambda u: u["title"]).alias("titles"))
+    """Selling points per conversation, contained titles merged (A16); the SQL walks the blocks one by one."""
+    blocks = usp_blocks(table(spark, folder, "conversations"))
+    return channels.usp_list(blocks, ["conv_id"], ["turn"]).select("conv_id", "title", "desc", "place")
+
+
+@query("doc_generic_pairs", r"""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+  b AS (SELECT doc_id, i, (i * 5 + length(ln)) % 7 IN (0, 1, 5) AS h, (i * 5 + length(ln)) % 7 IN (1, 2, 3) AS im, (i + length(ln)) % 3 = 0 AS pr FROM l),
+  w AS (SELECT doc_id, 0::BIGINT AS i, NULL::BIGINT AS t, false AS tp, 0 AS steps, 0 AS n, NULL::BIGINT AS got FROM (SELECT DISTINCT doc_id FROM l)
+    UNION ALL
+    SELECT doc_id, i, CASE WHEN act = 'set' THEN i WHEN act = 'clear' OR (act = 'take' AND n = 2) THEN NULL ELSE t END, CASE WHEN act = 'set' THEN pr ELSE tp END,
+      CASE WHEN act = 'set' OR act = 'clear' OR (act = 'take' AND n = 2) THEN 0 ELSE steps END, CASE WHEN act = 'set' THEN 0 WHEN act = 'take' THEN n + 1 ELSE n END, CASE WHEN act = 'take' THEN t END
+    FROM (SELECT *, CASE WHEN h AND NOT im THEN CASE WHEN t IS NULL OR pr OR NOT tp THEN 'set' ELSE 'keep' END WHEN NOT h AND im AND t IS NOT NULL THEN 'take'
+        WHEN h AND im AND (t IS NULL OR NOT tp OR pr) THEN 'clear' ELSE 'keep' END AS act
+      FROM (SELECT w.doc_id, b.i, h, im, pr, CASE WHEN w.t IS NOT NULL AND w.steps + 1 > 10 THEN NULL ELSE w.t END AS t, w.tp, CASE WHEN w.t IS NOT NULL THEN CASE WHEN w.steps + 1 > 10 THEN 0 ELSE w.steps + 1 END ELSE w.steps END AS steps, w.n
+        FROM w JOIN b ON b.doc_id = w.doc_id AND b.i = w.i + 1)))
+SELECT doc_id, i AS block, got AS title FROM w WHERE got IS NOT NULL
+""")
+def doc_generic_pairs(spark, folder):
+    """Image blocks handed to the title block before them (W18); the SQL walks the blocks one by one."""
+    lines = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "ln"))
+    i = (F.col("at") + 1).cast("long")
+    mark = (i * 5 + F.length("ln")) % 7
+    blocks = lines.select("doc_id", i.alias("i"), mark.isin(0, 1, 5).alias("has_heading"), mark.isin(1, 2, 3).alias("has_image"), ((i + F.length("ln")) % 3 == 0).alias("primary"))
+    return sections.pair_generic(blocks, ["doc_id"], "i").select("doc_id", F.col("i").alias("block"), F.col("title_at").alias("title"))
 
 
 @query("turn_listing_text", """
-WITH f AS (SELECT conv_id, max(CASE WHEN turn % 3 = 0 THEN trim(text) END) AS promotion, max(CASE WHEN turn % 3 = 1 THEN trim(text) END) AS details,
-  max(CASE WHEN turn % 3 = 2 THEN trim(text) END) AS delivery FROM conversations GROUP BY conv_id),
+WITH f AS (SELECT conv_id, string_agg(trim(text), chr(10) ORDER BY turn) FILTER (turn % 3 = 0) AS promotion, string_agg(trim(text), chr(10) ORDER BY turn) FILTER (turn % 3 = 1) AS details,
+  string_agg(trim(text), chr(10) ORDER BY turn) FILTER (turn % 3 = 2) AS delivery FROM conversations GROUP BY conv_id),
 p AS (SELECT conv_id, list_filter([CASE WHEN coalesce(promotion, '') <> '' THEN 'Promotion Details:' || chr(10) || chr(10) || regexp_replace(promotion, '^\\s+|\\s+$', '', 'g') END,
   CASE WHEN coalesce(details, '') <> '' THEN 'Own title:' || chr(10) || chr(10) || regexp_replace(details, '^\\s+|\\s+$', '', 'g') END,
   CASE WHEN coalesce(delivery, '') <> '' THEN 'Delivery & Installation Notice:' || chr(10) || chr(10) || regexp_replace(delivery, '^\\s+|\\s+$', '', 'g') END], lambda x: x IS NOT NULL) AS parts FROM f)
 SELECT conv_id, CASE WHEN len(parts) = 0 THEN '' ELSE array_to_string(parts, chr(10) || chr(10) || chr(10) || chr(10)) || chr(10) END AS listing FROM p
 """)
 def turn_listing_text(spark, folder):
-    """Plain listing text with default and own titles."""
-    first = lambda i: F.max(F.when(F.col("turn") % 3 == i, F.trim("text")))
-    f = table(spark, folder, "conversations").groupBy("conv_id").agg(first(0).alias("p"), first(1).alias("d"), first(2).alias("v"))
+    """Plain listing text with default and own titles: every turn's text in its field, in order."""
+    said = lambda i: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") % 3 == i, F.struct("turn", F.trim("text").alias("t"))))), lambda x: x["t"]), "\n")
+    f = table(spark, folder, "conversations").groupBy("conv_id").agg(said(0).alias("p"), said(1).alias("d"), said(2).alias("v"))
     fields = F.create_map(F.lit("promotion"), F.col("p"), F.lit("details"), F.col("d"), F.lit("delivery"), F.col("v"))
     titles = F.create_map(F.lit("details"), F.lit("Own title"))
     return f.select("conv_id", channels.listing_text(fields, titles).alias("listing"))

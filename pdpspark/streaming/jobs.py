@@ -13,6 +13,14 @@ from ..operators.jobs import STAGE
 
 EVENT_SCHEMA = "job_id bigint, item bigint, event_id bigint, ts timestamp, status string, percent int"
 TIMEOUT_MS = 20 * 60 * 1000
+#: An item that says nothing for as long as jobs are kept is forgotten.
+KEEP_MS = 7 * 24 * 3600 * 1000
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    """A key's events of one trigger by event_id; Arrow cuts them into chunks in no order. Their number is bounded by the files of a trigger."""
+    frames = [f for f in batches if len(f)]
+    return pd.concat(frames).sort_values("event_id", ignore_index=True) if frames else None
 
 
 def read_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA) -> DataFrame:
@@ -27,13 +35,12 @@ def _changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         yield pd.DataFrame({"job_id": [key[0]], "event_id": [-1], "percent": [None], "note": ["timeout"]})
         return
     last = state.get[0] if state.exists else None
-    for frame in batches:
-        frame = frame.sort_values("event_id")
+    frame = _in_order(batches)
+    if frame is not None:
         before = frame["percent"].shift()
-        if len(frame):
-            before.iloc[0] = last
+        before.iloc[0] = last
         changed = frame[frame["percent"].ne(before)]
-        last = int(frame["percent"].iloc[-1]) if len(frame) else last
+        last = int(frame["percent"].iloc[-1])
         if len(changed):
             yield pd.DataFrame({
                 "job_id": changed["job_id"], "event_id": changed["event_id"], "percent": changed["percent"], "note": ["changed"] * len(changed),
@@ -58,24 +65,27 @@ def job_snapshot(events: DataFrame) -> DataFrame:
 
 def _states(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Legal moves only raise the stage; the state is the highest stage so far and its status."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     top, status = state.get if state.exists else (-1, "")
-    for frame in batches:
-        frame = frame.sort_values("event_id")
+    frame = _in_order(batches)
+    if frame is not None:
         stage = frame["status"].map(STAGE).fillna(-1).astype(int)
         best = stage.cummax().shift(fill_value=-1).clip(lower=top)
         legal = stage > best
         kept = frame["status"].where(legal).ffill().fillna(status)
-        if len(frame):
-            top, status = max(top, int(stage.max())), str(kept.iloc[-1])
-            yield pd.DataFrame({
-                "item": frame["item"], "event_id": frame["event_id"], "status": frame["status"], "legal": legal, "state": kept.replace("", None)})
+        top, status = max(top, int(stage.max())), str(kept.iloc[-1])
+        yield pd.DataFrame({
+            "item": frame["item"], "event_id": frame["event_id"], "status": frame["status"], "legal": legal, "state": kept.replace("", None)})
     state.update((top, status))
+    state.setTimeoutDuration(KEEP_MS)
 
 
 def item_states(events: DataFrame) -> DataFrame:
-    """Item state machine (M3): every event with `legal` and the state after it."""
+    """Item state machine (M3): every event with `legal` and the state after it; the state of an item goes after seven silent days."""
     return events.groupBy("item").applyInPandasWithState(
-        _states, "item bigint, event_id bigint, status string, legal boolean, state string", "top int, status string", "append", GroupStateTimeout.NoTimeout)
+        _states, "item bigint, event_id bigint, status string, legal boolean, state string", "top int, status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def distinct_content(items: DataFrame, delay: str = "1 hour") -> DataFrame:

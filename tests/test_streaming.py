@@ -47,3 +47,19 @@ def test_snapshot_and_upsert(spark, tmp_path):
     upsert(second, 1)
     last = live.latest_version(spark, str(tmp_path / "cat"))
     assert last == 1 and {(r.slug, r.title) for r in spark.read.parquet(f"{tmp_path}/cat/v={last}").collect()} == {("a", "z"), ("b", "y")}
+
+
+def test_one_trigger_with_many_events_in_any_order(spark, tmp_path):
+    """A job's events of one trigger fill several Arrow batches and come in any order; stream and batch agree."""
+    n = 10_001
+    df = spark.range(n).selectExpr(
+        "1L job_id", "id % 3 item", "id event_id", "timestamp_seconds(1700000000 + id) ts",
+        "element_at(array('queued', 'crawling', 'working', 'failed', 'ok'), cast(1 + id % 5 as int)) status", "cast(id div 7 % 100 as int) percent")
+    df.orderBy("percent", "status").coalesce(1).write.parquet(str(tmp_path / "many"))
+    got = drain(live.job_progress(live.read_events(spark, str(tmp_path / "many"))), "many_progress", "append", tmp_path).collect()
+    want = batch.job_progress(df, ["job_id"], ["event_id"]).collect()
+    assert len(got) > 1000 and sorted((r.event_id, r.percent) for r in got) == sorted((r.event_id, r.percent) for r in want)
+    got = drain(live.item_states(live.read_events(spark, str(tmp_path / "many"))), "many_states", "append", tmp_path).collect()
+    want = batch.item_states(df, ["item"], ["event_id"]).collect()
+    key = lambda r: (r.item, r.event_id, r.legal, r.state)
+    assert len(got) == n and sorted(map(key, got)) == sorted(map(key, want))
