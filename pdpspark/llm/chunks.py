@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pdpspark.llm.common import bound_batches
+
 #: Bytes of text in a chunk (one row at least), hashes that a bucket should meet.
 CHUNK_BYTES, BUCKET_HASHES = 4 << 20, 1 << 20
 
@@ -70,6 +72,7 @@ def chunked(rows: DataFrame, make: Callable[[pa.Table], tuple[int, bytes]], text
             n, body = make(piece)
             yield pa.RecordBatch.from_arrays([pa.array([first + i], pa.int64()), pa.array([n], pa.int64()), pa.array([body], pa.binary())], ["chunk", "n", "body"])
 
+    bound_batches(rows.sparkSession)
     return rows.mapInArrow(run, CHUNK)
 
 

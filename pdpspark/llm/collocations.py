@@ -219,15 +219,23 @@ def _state(chunk: int, table: pa.Table, told: list) -> pa.RecordBatch:
 
 
 def _kept_runs(phrases: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in phrases of the given width, and the places where a gap precedes them."""
-    inside = np.zeros(len(phrases) + width, dtype=np.int32)
-    begins = np.flatnonzero(phrases)
-    np.add.at(inside, begins, 1)
-    np.add.at(inside, begins + width, -1)
+    """Positions in two phrases of the given width that follow each other, as a longer one needs, and the places where a gap precedes them."""
+    inside = np.zeros(len(phrases) + width + 1, dtype=np.int32)
+    begins = np.flatnonzero((phrases[:-1] > 0) & (phrases[1:] > 0))
+    inside[begins] += 1
+    inside[begins + width + 1] -= 1
     at = np.flatnonzero(np.cumsum(inside[: len(phrases)]) > 0)
     return at, np.concatenate(([True], np.diff(at) > 1)) if len(at) else np.zeros(0, dtype=bool)
 
 
+def _used(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (0: none) without those that don't occur, in the same order, and where the others were."""
+    occurs = np.zeros(size + 1, dtype=bool)
+    occurs[numbers] = True
+    occurs[0] = False
+    return np.cumsum(occurs)[numbers] * (numbers > 0), np.flatnonzero(occurs) - 1
+
+
 def _spread(values: np.ndarray, gaps: np.ndarray) -> np.ndarray:
     """values with a 0 where a gap precedes them."""
     out = np.zeros(len(values) + int(gaps.sum()), dtype=np.int64)
@@ -268,7 +276,10 @@ def _next(level: int, last: bool):
             yield _state(chunk, _listed(langs=langs), told)
             return
         kept, gaps = _kept_runs(phrases, level)
-        yield _state(chunk, _listed(ids=_narrow(_spread(ids[kept], gaps)), phrases=_narrow(_spread(phrases[kept], gaps)), words=words, langs=langs, lang=lang, x=x, y=y, **front), told)
+        ids, own = _used(_spread(ids[kept], gaps), len(words))
+        phrases, met = (ids, own) if level == 1 else _used(_spread(phrases[kept], gaps), len(front["xp"]))
+        front = {k: v[met] for k, v in front.items()}
+        yield _state(chunk, _listed(ids=_narrow(ids), phrases=_narrow(phrases), words=words.take(pa.array(own)), langs=langs, lang=lang[own], x=x[own], y=y[own], **front), told)
 
     return work
 

@@ -27,6 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of texts that go to a Python worker at once.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python are bounded by bytes from now on, as whole texts go there; Spark's own bound is rows and 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
