@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pdpspark.llm.common import SHINGLE_WORDS, written
+from pdpspark.llm.common import SHINGLE_WORDS, bound_batches, written
 from pdpspark.llm.components import components
 from pdpspark.llm.wordhash import flat, mix, word_bounds, word_hashes
 
@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
     the members outside the most frequent one meet four of its members a turn, while that halves their number; at last they meet all
     that their own component doesn't hold yet, so no candidate of the bands is lost. The odd sketches sift both kinds before full sets are read.
     """
+    bound_batches(docs.sparkSession)
     rows = written(signatures(docs), "signatures")
     full = rows.where("n_shingles > 0")
     classes = full.groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("node"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from pdpspark.llm.common import bound_batches
+
 WINDOW = 4096
 END_ID = 2
 END = np.array([END_ID], dtype="<u4")
@@ -279,4 +281,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         if rows:
             yield frame()
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(stream, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

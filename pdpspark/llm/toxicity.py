@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pdpspark.llm.common import shingle_hashes, written
+from pdpspark.llm.common import bound_batches, shingle_hashes, written
 
 #: Bound of the labelled sample that lexicon and curve are learned from: rows of each class, by hash of the id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
@@ -230,6 +230,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     Null, empty and clean texts have the score of a text without a match. Rows stay as they are, repeated ones too, whatever their
     other columns hold; columns named score and predicted are replaced.
     """
+    bound_batches(docs.sparkSession)
+
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grammar = Grammar(model.lexicon) if model.lexicon else None
         for part in texts:  # one text at a time leaves the batch
