@@ -44,21 +44,21 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: b
     row = F.xxhash64("doc_id", "text")
     cut = F.split("text", "\n")
     lines = (
-        docs.select("doc_id", F.col("source").alias("site"), row.alias("row"), F.posexplode(cut).alias("pos", "words"))
+        docs.select("doc_id", F.col("source").alias("site"), row.alias("__row"), F.posexplode(cut).alias("pos", "words"))
         .withColumn("words", F.trim("words")).where("words <> ''")
-        .select("doc_id", "site", "row", "pos", F.xxhash64("words").alias("line"))
+        .select("doc_id", "site", "__row", "pos", F.xxhash64("words").alias("line"))
     )
-    gone = lines.join(spread_lines(lines.drop("row"), min_sites), "line")
+    gone = lines.join(spread_lines(lines.drop("__row"), min_sites), "line")
     if keep_first:
         gone = gone.where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    per_row = gone.groupBy("row").agg(F.collect_set("pos").alias("drop"))
-    kept = F.filter(cut, lambda _, i: ~F.array_contains("drop", i))
+    per_row = gone.groupBy("__row").agg(F.collect_set("pos").alias("__drop"))
+    kept = F.filter(cut, lambda _, i: ~F.array_contains("__drop", i))
     return (
-        docs.select(*columns, row.alias("row")).join(per_row, "row", "left")
+        docs.select(*columns, row.alias("__row")).join(per_row, "__row", "left")
         .withColumns({
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(cut)).cast("long"),
-            "n_removed": F.coalesce(F.size("drop"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
+            "n_removed": F.coalesce(F.size("__drop"), F.lit(0)).cast("long"),
+            "text": F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
         })
         .withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
         .select(*columns, "n_lines", "n_removed")

@@ -64,8 +64,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
     )
     hits = asked.join(listed.withColumnRenamed("digest", "full"), "key").where("digest = full")
     best = F.struct("size", "host_size", F.col("verdict") == "block", "rule", "verdict")
-    found = hits.groupBy("host", "path").agg(F.max(best).alias("best"))
+    found = hits.groupBy("host", "path").agg(F.max(best).alias("__best"))
     return (
         parts.join(found, ["host", "path"], "left")
-        .select(*columns, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        .select(*columns, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
     )

@@ -221,3 +221,18 @@ def test_scores_pass_64_bits(spark):
     a = n = 10**13
     found = spark.sql(f"select (cast(1000 * cast({a} as decimal(19,0)) * cast({n} as decimal(19,0)) as decimal(38,0))) div cast(cast({a} as decimal(19,0)) * cast({a + 1} as decimal(19,0)) as decimal(38,0)) as s").first().s
     assert found == 1000 * a * n // (a * (a + 1))
+
+
+# -- clashing names --------------------------------------------------------------------------------------------------------------
+
+def test_line_dedup_and_url_filter_keep_columns_of_any_name(spark):
+    from pdpspark.llm import line_dedup, url_filter
+
+    rows = [(i, f"line {i}\nshared line", f"s{i}", "r", ["d"], 1, "w") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string, drop array<string>, pos int, words string")
+    got = line_dedup.drop_spread_lines(docs).orderBy("doc_id").collect()
+    assert [(r.row, r["drop"], r.pos, r.words, r.n_removed) for r in got] == [("r", ["d"], 1, "w", int(r.doc_id > 0)) for r in got] and len(got) == 5
+    pages = spark.createDataFrame([("https://a.org/x", "b", "d", 1)], "url string, best string, digest string, size int")
+    rules = spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")
+    [r] = url_filter.url_verdicts(pages, rules).collect()
+    assert (r.best, r.digest, r["size"], r.rule, r.verdict) == ("b", "d", 1, "org/", "block")
