@@ -2,9 +2,10 @@
 
 Counting goes by levels. Within a chunk of documents words are numbered by frequency, so pairs of frequent words lie in few tiles of the
 plane (number of the first word, number of the second): a tile with many pairs is counted in a dense array by direct address, all others
-as sorted coordinates. What is frequent over all chunks is numbered by frequency again, and the next level pairs these phrases with the
-word that follows; a phrase is counted only if its first and its last words are frequent phrases already, so nothing frequent is missed.
-Chunks send their counts to buckets by hash (see chunks): a pair that every document holds is one number a chunk.
+as sorted coordinates. What is frequent over all chunks is numbered by frequency in the chunk again, and the next level pairs these phrases
+with the word that follows; a phrase is counted only if its first and its last words are frequent phrases already, so nothing frequent is
+missed. Chunks send their counts to buckets by hash (see chunks), and get a bit a key back: a pair that every document holds is one number
+and one bit a chunk.
 
 Words and phrases are known by two 64-bit hashes, one for the bucket and one within its million; the texts of frequent phrases are
 told by one chunk each, and the last steps (cuts, scores, containment, ranks) are joins over these texts.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pdpspark.llm.chunks import ASK, answered, ask_rows, bits, bucket_count, chunked, packed, per_chunk, unbits, unpacked
 from pdpspark.llm.common import scratch
-from pdpspark.llm.wordhash import BREAK, byte_classes, flat, groups, mix, spans, word_bounds, word_hashes
+from pdpspark.llm.wordhash import BREAK, byte_classes, flat, groups, mix, word_bounds, word_hashes
 
 #: Phrases of fewer occurrences are no candidates; longest phrase in words; rows a language.
 MIN_COUNT, LONGEST, MOST = 100, 5, 2000
@@ -49,8 +50,19 @@ def _array(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name)[0].values.to_numpy(zero_copy_only=False)
 
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.uint16 if not len(values) or int(values.max()) < 1 << 16 else np.uint32)
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Numbers as bytes: how many each takes, all lowest bytes, all second ones, ...; frequent words share their high bytes, so these compress."""
+    wide = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    return np.concatenate((np.array([wide], dtype=np.uint8), values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T.ravel()))
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    body = _array(table, name)
+    planes = body[1:].reshape(int(body[0]), -1)
+    out = np.zeros(planes.shape[1], dtype=np.int64)
+    for i, plane in enumerate(planes):
+        out |= plane.astype(np.int64) << 8 * i
+    return out
 
 
 def _keys(words: pa.Array, lang: np.ndarray, langs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +94,7 @@ def _encode(piece: pa.Table) -> tuple[int, bytes]:
     ids[np.arange(len(starts)) + np.cumsum(heads)] = number + 1
     words = [data[starts[i] : ends[i]].tobytes().lower().decode("utf-8") for i in at]
     totals = np.bincount(lang, minlength=len(langs.dictionary))
-    return len(starts), packed(_listed(ids=_narrow(ids), words=pa.array(words, pa.string()), lang=lang[at].astype(np.int32), langs=langs.dictionary.cast(pa.string()), totals=totals))
+    return len(starts), packed(_listed(ids=_planes(ids), words=pa.array(words, pa.string()), lang=lang[at].astype(np.int32), langs=langs.dictionary.cast(pa.string()), totals=totals))
 
 
 def _totals(chunk: int, body: pa.Scalar, _: list) -> Iterator[pa.RecordBatch]:
@@ -119,26 +131,45 @@ def _joined(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
     return mix(x * np.uint64(0x9FB21C651E98DF25 + 2 * seed) + y)
 
 
-def _asked(chunk: int, x: np.ndarray, y: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _run_hashes(own: np.ndarray, words: list[np.ndarray], seed: int) -> np.ndarray:
+    """The hashes of runs, from those of their first, second, ... words."""
+    out = own[words[0]]
+    for word in words[1:]:
+        out = _joined(out, own[word], seed)
+    return out
+
+
+def _by_bucket(x: np.ndarray, y: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a chunk asks about its keys, and their buckets in that order."""
     bucket = (x % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((y, bucket))
+    return order, bucket[order]
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as steps, the bytes of equal weight together: the heaviest ones are zeros, which shuffles compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unsteps(body: pa.Buffer) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(body, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _asked(chunk: int, x: np.ndarray, y: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    order, bucket = _by_bucket(x, y, buckets)
     counts = counts[order]
 
     def numbers(a: int, b: int) -> bytes:
         top = int(counts[a:b].max())
         return counts[a:b].astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
 
-    return ask_rows(chunk, bucket[order], y[order], numbers, np.ndarray.tobytes)
-
-
-def _front(table: pa.Table, which: str) -> np.ndarray:
-    """The hashes of the phrases that the next level begins with: at first the words themselves."""
-    return _array(table, f"{which}p" if f"{which}p" in table.column_names else which)
+    return ask_rows(chunk, bucket, y[order], numbers, _steps)
 
 
 def _positions(table: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where phrases of so many words may begin, the number of their first words and that of their last one."""
-    words, phrases = _array(table, "ids").astype(np.int64), _array(table, "phrases").astype(np.int64)
+    words = _numbers(table, "ids")
+    phrases = words if level == 2 else _numbers(table, "phrases")
     at = np.flatnonzero((phrases[:-1] > 0) & (phrases[1:] > 0))
     return at, phrases[at] - 1, words[at + level - 1] - 1
 
@@ -146,14 +177,17 @@ def _positions(table: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.
 def _asks(level: int, buckets: int):
     def work(chunk: int, body: pa.Scalar, _: list) -> Iterator[pa.RecordBatch]:
         table = unpacked(body)
+        x, y = _keys(table.column("words")[0].values, _array(table, "lang"), table.column("langs")[0].values)
         if level == 1:
-            counts = np.bincount(_array(table, "ids"), minlength=1)[1:]
-            x, y = _keys(table.column("words")[0].values, _array(table, "lang"), table.column("langs")[0].values)
+            counts = np.bincount(_numbers(table, "ids"), minlength=1)[1:]
         else:
-            _, first, last = _positions(table, level)
+            at, first, last = _positions(table, level)
+            place = np.zeros(int(first.max()) + 1 if len(first) else 0, dtype=np.int64)
+            place[first] = at
             first, last, counts = pair_counts(first, last)
-            first, last = first.astype(np.int64), last.astype(np.int64)
-            x, y = (_joined(_front(table, h)[first], _array(table, h)[last], i) for i, h in enumerate("xy"))
+            ids, begin = _numbers(table, "ids"), place[first.astype(np.int64)]
+            run = [ids[begin + i] - 1 for i in range(level - 1)] + [last.astype(np.int64)]
+            x, y = (_run_hashes(own, run, i) for i, own in enumerate((x, y)))
         if len(counts):
             yield _asked(chunk, x, y, counts, buckets)
 
@@ -162,52 +196,45 @@ def _asks(level: int, buckets: int):
 
 def _frequent(least: int):
     def decide(group: pa.Table) -> Iterator[tuple[int, bytes, bytes]]:
-        """For each chunk its frequent keys with their counts over all chunks, and whether this chunk tells their text."""
-        chunks = group.column("chunk").to_numpy()
+        """For each chunk that holds frequent keys: a bit a key it asked about; a bit a frequent one (it tells the text), the counts of those."""
+        chunks = group.column("chunk").to_pylist()
         keys, counts = [], []
         for k, m in zip(group.column("keys"), group.column("more"), strict=True):
-            keys.append(np.frombuffer(k.as_buffer(), dtype=np.uint64))
+            keys.append(_unsteps(k.as_buffer()))
             counts.append(np.frombuffer(m.as_buffer(), dtype=f"u{len(m.as_buffer()) // len(keys[-1])}").astype(np.int64))
-        owner = np.repeat(np.argsort(np.argsort(chunks)).astype(np.int32), [len(k) for k in keys])
+        cuts = np.cumsum([0] + [len(k) for k in keys]).tolist()
         keys, counts = np.concatenate(keys), np.concatenate(counts)
-        order = np.lexsort((owner, keys))
-        keys, counts, owner = keys[order], counts[order], owner[order]
-        at = groups(keys)
-        totals, sizes = np.add.reduceat(counts, at), np.diff(np.append(at, len(keys)))
-        live = np.repeat(totals >= least, sizes)
-        teller = np.zeros(len(keys), dtype=bool)
-        teller[at] = True
-        keys, totals, owner, teller = keys[live], np.repeat(totals, sizes)[live], owner[live], teller[live]
-        order = np.argsort(owner, kind="stable")
-        keys, totals, owner, teller = keys[order], totals[order], owner[order], teller[order]
-        ids = np.sort(chunks)
-        for a, b in zip(*(x.tolist() for x in spans(owner)), strict=True):
-            yield int(ids[owner[a]]), keys[a:b].tobytes(), totals[a:b].tobytes() + bits(teller[a:b])
+        order = np.argsort(keys, kind="stable")
+        at = groups(keys[order])
+        sums = np.add.reduceat(counts[order], at)
+        totals, tells = np.empty(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        totals[order] = np.repeat(sums, np.diff(np.append(at, len(keys))))
+        tells[order[at]] = True
+        live = totals >= least
+        for chunk, a, b in zip(chunks, cuts[:-1], cuts[1:], strict=True):
+            if live[a:b].any():
+                told = tells[a:b] & live[a:b]
+                yield chunk, bits(live[a:b]), bits(tells[a:b][live[a:b]]) + totals[a:b][told].tobytes()
 
     return decide
 
 
-def _told(answers: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, counts, whether this chunk tells their text: by key."""
-    if not answers:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
-    keys = [np.frombuffer(k, dtype=np.uint64) for _, k, _ in answers]
-    counts = [np.frombuffer(m, dtype=np.int64, count=len(k)) for k, (_, _, m) in zip(keys, answers, strict=True)]
-    tells = [unbits(m.slice(8 * len(k)), len(k)) for k, (_, _, m) in zip(keys, answers, strict=True)]
-    keys, counts, tells = np.concatenate(keys), np.concatenate(counts), np.concatenate(tells)
-    order = np.argsort(keys)
-    return keys[order], counts[order], tells[order]
-
-
-def _numbered(own: np.ndarray, answers: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For own keys: the number by frequency from 1 (0: not frequent). For the frequent ones by number: place in own, count, tells."""
-    keys, counts, tells = _told(answers)
-    place = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
-    at = np.flatnonzero(keys[place] == own) if len(keys) else np.zeros(0, dtype=np.int64)
-    at = at[np.lexsort((own[at], -counts[place[at]]))]
-    number = np.zeros(len(own), dtype=np.int64)
+def _numbered(x: np.ndarray, y: np.ndarray, counts: np.ndarray, answers: list, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the keys a chunk asked about, with its own counts: the number by frequency from 1 (0: not frequent over all chunks); places of the
+    frequent ones by number; for each of these its count over all chunks where this chunk tells its text, else 0."""
+    order, bucket = _by_bucket(x, y, buckets)
+    totals, live = np.zeros(len(y), dtype=np.int64), np.zeros(len(y), dtype=bool)
+    for b, is_live, more in answers:
+        a, z = np.searchsorted(bucket, [b, b + 1])
+        held = order[a:z][unbits(is_live, z - a)]
+        live[held] = True
+        tells = unbits(more, len(held))
+        totals[held[tells]] = np.frombuffer(more, dtype=np.int64, offset=-(-len(held) // 8))
+    at = np.flatnonzero(live)
+    at = at[np.lexsort((y[at], -counts[at]))]
+    number = np.zeros(len(y), dtype=np.int64)
     number[at] = np.arange(1, len(at) + 1)
-    return number, at, counts[place[at]] if len(at) else at, tells[place[at]] if len(at) else np.zeros(0, dtype=bool)
+    return number, at, totals[at]
 
 
 STATE = "chunk long, n long, body binary, told array<struct<lang: string, words: array<string>, f: long>>"
@@ -243,43 +270,38 @@ def _spread(values: np.ndarray, gaps: np.ndarray) -> np.ndarray:
     return out
 
 
-def _next(level: int, last: bool):
+def _next(level: int, last: bool, buckets: int):
     """From a state and the answers about its phrases of level words: the next state, and the texts that this chunk tells."""
     def work(chunk: int, body: pa.Scalar, answers: list) -> Iterator[pa.RecordBatch]:
         if not answers:
             return
         table = unpacked(body)
         words, langs, lang = table.column("words")[0].values, table.column("langs")[0].values, _array(table, "lang")
-        ids = _array(table, "ids").astype(np.int64)
-        x, y = _keys(words, lang, langs) if level == 1 else (_array(table, "x"), _array(table, "y"))
+        ids = _numbers(table, "ids")
+        x, y = _keys(words, lang, langs)
         if level == 1:
-            number, at, counts, tells = _numbered(y, answers)
+            number, at, totals = _numbered(x, y, np.bincount(ids, minlength=1)[1:], answers, buckets)
             phrases = np.concatenate(([0], number))[ids]
-            told = [{"lang": langs[int(lang[i])].as_py(), "words": [words[int(i)].as_py()], "f": int(f)} for i, f in zip(at[tells], counts[tells], strict=True)]
-            ids, words, lang, x, y = phrases, words.take(pa.array(at)), lang[at], x[at], y[at]
-            front = {}
+            told = [{"lang": langs[int(lang[i])].as_py(), "words": [words[int(i)].as_py()], "f": int(f)} for i, f in zip(at[totals > 0], totals[totals > 0], strict=True)]
+            ids, words, lang = phrases, words.take(pa.array(at)), lang[at]
         else:
             begin, head, tail = _positions(table, level)
             wide = int(tail.max()) + 1 if len(tail) else 1
-            code, where, which = np.unique(head * wide + tail, return_index=True, return_inverse=True)
-            head, tail = code // wide, code % wide
-            xp, yp = (_joined(_front(table, h)[head], own[tail], i) for i, (h, own) in enumerate((("x", x), ("y", y))))
-            number, at, counts, tells = _numbered(yp, answers)
+            _, where, which, counts = np.unique(head * wide + tail, return_index=True, return_inverse=True, return_counts=True)
+            run = [ids[begin[where] + i] - 1 for i in range(level)]
+            number, at, totals = _numbered(*(_run_hashes(own, run, i) for i, own in enumerate((x, y))), counts, answers, buckets)
             phrases = np.zeros(len(ids), dtype=np.int64)
             phrases[begin] = number[which]
             told = []
-            for i, f in zip(at[tells], counts[tells], strict=True):
-                run = ids[begin[where[i]] : begin[where[i]] + level] - 1
-                told.append({"lang": langs[int(lang[run[0]])].as_py(), "words": [words[int(j)].as_py() for j in run], "f": int(f)})
-            front = {"xp": xp[at], "yp": yp[at]}
+            for i, f in zip(at[totals > 0], totals[totals > 0], strict=True):
+                told.append({"lang": langs[int(lang[run[0][i]])].as_py(), "words": [words[int(word[i])].as_py() for word in run], "f": int(f)})
         if last:
             yield _state(chunk, _listed(langs=langs), told)
             return
         kept, gaps = _kept_runs(phrases, level)
         ids, own = _used(_spread(ids[kept], gaps), len(words))
-        phrases, met = (ids, own) if level == 1 else _used(_spread(phrases[kept], gaps), len(front["xp"]))
-        front = {k: v[met] for k, v in front.items()}
-        yield _state(chunk, _listed(ids=_narrow(ids), phrases=_narrow(phrases), words=words.take(pa.array(own)), langs=langs, lang=lang[own], x=x[own], y=y[own], **front), told)
+        front = {} if level == 1 else {"phrases": _planes(_used(_spread(phrases[kept], gaps), len(at))[0])}  # at level 1 the words themselves
+        yield _state(chunk, _listed(ids=_planes(ids), **front, words=words.take(pa.array(own)), langs=langs, lang=lang[own]), told)
 
     return work
 
@@ -298,7 +320,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     told = None
     for level in range(1, longest + 1):
         answers = answered(per_chunk(state.drop("told"), None, _asks(level, buckets), ASK), _frequent(min_count))
-        state = kept(per_chunk(state.drop("told"), answers, _next(level, level == longest), STATE), f"phrases-{level}")
+        state = kept(per_chunk(state.drop("told"), answers, _next(level, level == longest, buckets), STATE), f"phrases-{level}")
         found = state.select(F.explode("told").alias("t")).select("t.*")
         told = found if told is None else told.unionByName(found)
     return told, totals
