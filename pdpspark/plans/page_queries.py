@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import rules, text, urls
 from ..operators import extract, match
 from ..operators.ordered import drop_repeats, first_rows
+from ..session import shared_path
+from ..sources import readers
 from .registry import query, table, wide_table
 
 TEXT_RUN = "<(?:p|h1|li|b)>([^<]*)"
@@ -226,6 +228,28 @@ def sitemap_pick(spark, folder):
     return match.sitemap_lookup(keys, index)
 
 
+@query("sitemap_tree", f"""
+WITH e AS (SELECT page_id, 'https://www.shop.example/' || {SQL_SEGS}[1] || '/' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/rt-' || page_id || '.html'
+                  || regexp_extract(url, '[?][^#]*') AS loc, {SQL_SEGS}[1] AS site FROM pages)
+SELECT site, 'RT' || page_id AS key, loc AS url, CASE WHEN page_id % 3 = 0 THEN '' ELSE lpad(CAST(page_id AS VARCHAR), 12, '0') END AS lastmod
+FROM e WHERE loc IS NOT NULL AND page_id >= 10
+""")
+def sitemap_tree(spark, folder):
+    """All pages as sitemaps: an index names four indexes, these name twelve maps and one of them the first index again; read back."""
+    top, i = shared_path(spark, "sitemaps"), F.col("page_id")
+    loc = F.concat(
+        F.lit("https://www.shop.example/"), F.try_element_at(urls.path_segments("url"), F.lit(1)), F.lit("/"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1),
+        F.lit("/rt-"), i.cast("string"), F.lit(".html"), F.regexp_extract("url", "[?][^#]*", 0))
+    xml = lambda df, root, row: df.write.format("xml").option("rootTag", root).option("rowTag", row)
+    dated = F.when(i % 3 != 0, F.lpad(i.cast("string"), 12, "0"))
+    xml(table(spark, folder, "pages").select(loc.alias("loc"), dated.alias("lastmod"), (i % 12).alias("map")).where("loc is not null"), "urlset", "url").partitionBy("map").save(f"{top}/maps")
+    named = lambda to: F.concat(F.lit(f"{top}/{to}="), F.col("id").cast("string")).alias("loc")
+    maps = spark.range(12).select(named("maps/map"), (F.col("id") % 4).alias("part")).union(spark.range(1).select(named("indexes/part"), F.lit(3).cast("long").alias("part")))
+    xml(maps, "sitemapindex", "sitemap").partitionBy("part").save(f"{top}/indexes")
+    xml(spark.range(4).select(named("indexes/part")), "sitemapindex", "sitemap").save(f"{top}/index")
+    return readers.read_sitemap_tree(spark, f"{top}/index")
+
+
 @query("url_classify")
 def url_classify_placeholder(spark, folder):
     """Category ladder over page addresses made of the part words (F1)."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators.match import sitemap_index
-from ..operators.ordered import drop_repeats
+from ..operators.ordered import drop_repeats, first_rows
 
 SECTION_SCHEMA = (
     "product_title string, _gen int, "
@@ -101,6 +101,31 @@ def sitemap_children(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path).select(F.trim("loc").alias("url"))
 
 
+SUB_MAPS = 30
+
+
+def sitemap_tree(spark: SparkSession, path: str, most: int = SUB_MAPS) -> list[str]:
+    """A sitemap and the sub-maps below it, indexes of indexes included: each once, level by level, at most `most` sub-maps.
+
+    One read a level: its files are the frontier, and what they name and no earlier level held is the next one. Files of a level count in the
+    order of their addresses, the entries of a file in their own; no more than `most` entries a file reach the driver.
+    """
+    found, frontier = [path], [path]
+    while frontier and len(found) <= most:
+        entries = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(frontier).select(
+            F.trim("loc").alias("url"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+        named = first_rows(entries.where(F.length("url") > 0), ["file"], [F.col("place")], n=most, rank="nth")
+        ordered = [r.url for r in named.orderBy("file", "nth").select("url").collect()]
+        frontier = [u for u in dict.fromkeys(ordered) if u not in found][: most + 1 - len(found)]
+        found += frontier
+    return found
+
+
+def read_sitemap_tree(spark: SparkSession, path: str, site: str | None = None, host: str | None = None, most: int = SUB_MAPS) -> DataFrame:
+    """Entries with model keys of a sitemap and of all sub-maps that its index names."""
+    return read_sitemap(spark, sitemap_tree(spark, path, most), site, host)
+
+
 # ---------------------------------------------------------------- workbooks
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"

@@ -45,6 +45,23 @@ def test_sitemap(spark, tmp_path):
     assert rows == {("th", "OLED65G6", "2024-01-01"), ("de", "QN1234", "")}
 
 
+def test_sitemap_index_of_indexes(spark, tmp_path):
+    def index(name, *named):
+        (tmp_path / name).write_text("<sitemapindex>" + "".join(f"<sitemap><loc> {tmp_path / n} </loc></sitemap>" for n in named) + "</sitemapindex>")
+
+    index("top.xml", "b.xml", "a.xml", "b.xml", "m0.xml")
+    index("a.xml", "m1.xml", "top.xml")
+    index("b.xml", "m2.xml", "a.xml")
+    for i in range(3):
+        (tmp_path / f"m{i}.xml").write_text(f"<urlset><url><loc>https://www.shop.example/th/tv/ab{i}23?a=1&amp;b=2</loc></url></urlset>")
+    names = lambda most: [p.rsplit("/", 1)[1] for p in readers.sitemap_tree(spark, str(tmp_path / "top.xml"), most)]
+    assert names(30) == ["top.xml", "b.xml", "a.xml", "m0.xml", "m1.xml", "m2.xml"]
+    assert names(2) == ["top.xml", "b.xml", "a.xml"] and names(4) == ["top.xml", "b.xml", "a.xml", "m0.xml", "m1.xml"]
+    rows = readers.read_sitemap_tree(spark, str(tmp_path / "top.xml")).collect()
+    assert sorted((r.key, r.url[-8:]) for r in rows) == [(f"AB{i}23", "?a=1&b=2") for i in range(3)]
+    assert names(30) == names(30) and readers.sitemap_tree(spark, str(tmp_path / "m0.xml")) == [str(tmp_path / "m0.xml")]
+
+
 def test_mirrors_and_sidecars(spark, tmp_path):
     for name, ok in (("www-a", True), ("www-b", False), ("_trash", True)):
         d = tmp_path / "out" / name
