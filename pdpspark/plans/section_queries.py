@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import channels, extract, qa, sections
+from ..operators import channels, extract, model, qa, sections
 from ..operators.ordered import cut_after_last, mark_first, renumber
 from ..session import cut_lineage
 from .registry import query, table, wide_table
@@ -302,3 +303,57 @@ def assemble(nodes, origin="https://www.shop.example", gen2=False):
     done = sections.keep_image_only(sections.stitch_orphans(sections.merge_stacked_heroes(made)))
     shown = done.withColumn("renderable", F.col("renderable") | sections.has_words())
     return sections.serialise(shown, gen2)
+
+
+SQL_CLEAN = r"""trim(regexp_replace(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)),
+    lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), chr(10)), '\n{2,}', chr(10), 'g'), chr(10))"""
+SQL_MODEL_PAGE = "conv_id || '-' || CAST(coalesce(turn, -1) // 16 AS BIGINT)"
+
+
+@query("model_sections", f"""
+WITH r AS (SELECT {SQL_MODEL_PAGE} AS page_id, {SQL_CLEAN} AS t,
+                  row_number() OVER (PARTITION BY {SQL_MODEL_PAGE} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rn FROM conversations),
+c AS (SELECT *, 'https://www.shop.example/content/dam/p' || page_id || '-' || rn AS file,
+             row_number() OVER (PARTITION BY page_id ORDER BY rn) - 1 AS dom FROM r WHERE rn % 5 <> 4),
+s AS (
+  SELECT page_id, rn, dom, 0 AS item, 'AEM:heroimage' AS component_id, rtrim('## Turn ' || rn || chr(10) || t, chr(10)) AS text,
+         'image ' || file || '-desktop.jpg ' || file || '-mobile.jpg' AS media, 'hero_full_width' AS layout_type, 1 AS columns, '' AS group_heading
+  FROM c WHERE rn % 5 = 0
+  UNION ALL SELECT page_id, rn, dom, 0, 'AEM:keybenefits', '## Points ' || rn, '', 'text_block', 1, '' FROM c WHERE rn % 5 = 1
+  UNION ALL SELECT page_id, rn, dom, 1, 'AEM:keybenefits', '## First' || CASE WHEN length(t) > 1 THEN chr(10) || t ELSE '' END,
+                   'image ' || file || '-a.png ', 'grid_3_column', 3, 'Points ' || rn FROM c WHERE rn % 5 = 1
+  UNION ALL SELECT page_id, rn, dom, 2, 'AEM:keybenefits', t, '', 'grid_3_column', 3, 'Points ' || rn FROM c WHERE rn % 5 = 1 AND length(t) > 1
+  UNION ALL SELECT page_id, rn, dom, 0, 'AEM:textblock', t, '', 'text_block', 1, '' FROM c WHERE rn % 5 = 2 AND t <> ''
+  UNION ALL SELECT page_id, rn, dom, 0, 'AEM:sideimage', 'Above' || CASE WHEN length(t) > 1 THEN chr(10) || t ELSE '' END,
+                   'image ' || file || '-m.webp ' || file || '-m.webp|video ' || file || '.mp4 ', 'image_text_right', 1, '' FROM c WHERE rn % 5 = 3)
+SELECT page_id, CASE WHEN component_id = 'AEM:textblock' THEN 'disclaimer-' ELSE '' END || row_number() OVER (PARTITION BY page_id ORDER BY rn, item) AS "order",
+       component_id, dom, item > 0 AS item_group, group_heading, text, media, layout_type, columns FROM s
+""")
+def model_sections(spark, folder):
+    """Sections of page models that hold the turns of a conversation, each below 2 to 9 containers: heroes, lists, notes, pictures, and questions that go."""
+    models = table(spark, folder, "conversations").select(F.concat_ws(
+        "-", F.col("conv_id").cast("string"), F.floor(F.coalesce("turn", F.lit(-1)) / 16).cast("string")).alias("page_id"), "turn", "role", "text")
+    rows = models.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy("turn", "role", "text")))
+    no, said = F.col("rn").cast("string"), F.regexp_extract(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t"))), r'^\{"t":(.*)\}$', 1)
+    file = F.concat(F.lit("/content/dam/p"), "page_id", F.lit("-"), no)
+    part = F.element_at(F.array(
+        F.concat(F.lit('{":type":"x/heroimage",":itemsOrder":["t","b"],":items":{"b":{":type":"x/text","text":'), said, F.lit('},"t":{":type":"x/title","text":"Turn '), no,
+                 F.lit('"}},"mediaDescriptionModel":{"imageRef":"'), file, F.lit('-desktop.jpg","imageRefMobile":"'), file, F.lit('-mobile.jpg","iconImageRef":"'), file,
+                 F.lit('-x.png","offIconImageRef":"/content/dam/y.png"}}')),
+        F.concat(F.lit('{":type":"x/keybenefits",":itemsOrder":["h"],":items":{"h":{":type":"x/title","text":"Points '), no,
+                 F.lit('"}},"title":"not read","keyBenefitsSummaryItems":[{"title":"First","description":'), said, F.lit(',"imageRef":"'), file,
+                 F.lit('-a.png"},{"bodyCopy":'), said, F.lit('},{"text":"not a text key"}]}')),
+        F.concat(F.lit('{":type":"x/textblock","blockType":"disclaimer",":itemsOrder":["t"],":items":{"t":{":type":"x/text","text":'), said, F.lit("}}}")),
+        F.concat(F.lit('{":type":"x/sideimage","eyebrow":"Above","subTitle":'), said, F.lit(',"mobileImageAddr":"'), file, F.lit('-m.webp","animationRef":"'), file,
+                 F.lit('.mp4","dataLayer":{"imageRef":"/content/dam/z.png"}}')),
+        F.concat(F.lit('{":type":"x/faq","title":'), said, F.lit("}")),
+    ), (F.col("rn") % 5 + 1).cast("int"))
+    depth = (F.col("rn") % 8 + 1).cast("int")
+    nested = F.concat(F.repeat(F.lit('{":type":"x/container",":itemsOrder":["a"],":items":{"a":'), depth), part, F.repeat(F.lit("}}"), depth))
+    name = F.concat(F.lit("c"), F.lpad((F.lit(999_999_999) - F.col("rn")).cast("string"), 9, "0"))
+    trees = rows.select("page_id", F.struct("rn", name.alias("name"), nested.alias("json")).alias("c")).groupBy("page_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    root = F.concat(
+        F.lit('{":itemsOrder":["'), F.array_join("c.name", '","'), F.lit('"],":items":{'),
+        F.array_join(F.transform("c", lambda c: F.concat(F.lit('"'), c["name"], F.lit('":'), c["json"])), ","), F.lit("}}"))
+    sections = model.model_sections(trees.select("page_id", F.parse_json(root).alias("model")), "https://www.shop.example")
+    return sections.withColumn("media", F.array_join(F.transform("media", lambda m: F.concat_ws(" ", m["kind"], m["pc_url"], m["mobile_url"])), "|"))
