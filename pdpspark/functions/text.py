@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .urls import _c, _drop, _text, js_or
 
 LINE_BREAK = " "
+NAMED_CHARACTERS = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 HEADLINE_MAX = 70
 EYEBROW_MAX = 40
 
@@ -187,15 +191,24 @@ def only_ui(text: Column | str, blob: Column | str) -> Column:
 
 
 def unescape_basic(text: Column | str) -> Column:
-    """Named entities page text uses most; numeric ones through html_unescape in extract."""
-    out = _text(text)
-    for name, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
-        ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"),
-        ("&amp;", "&"),
-    ):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Character references decoded in one pass: the names of HTML 4, `&apos;`, and numbers in either base; others stay as they are."""
+    names = F.from_json(F.lit(json.dumps(NAMED_CHARACTERS)), "map<string,string>")
+
+    def character(digits: Column, base: int) -> Column:
+        bare = F.regexp_replace(digits, "^0+(?=.)", "")
+        code = F.when(F.length(bare) <= 7, F.conv(bare, base, 10).cast("int"))
+        known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    def decoded(part: Column) -> Column:
+        whole = F.regexp_extract(part, "^&(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;)", 0)
+        digits = F.regexp_extract(whole, "[0-9a-fA-F]+", 0)
+        sign = F.when(whole.rlike("^&#[xX]"), character(digits, 16)).when(whole.startswith("&#"), character(digits, 10)).otherwise(
+            F.try_element_at(names, F.regexp_extract(whole, "[A-Za-z0-9]+", 0)))
+        return F.when(sign.isNotNull(), F.concat(sign, F.substr(part, F.length(whole) + 1))).otherwise(part)
+
+    t = _text(text)
+    return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "(?=&)"), decoded), "")).otherwise(t)
 
 
 def plain_html(html: Column | str, keep_line_breaks: bool = False, bullet: str = "- ") -> Column:

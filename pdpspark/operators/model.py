@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.text import plain_html
+from ..functions.text import plain_html, trim_ws, unescape_basic
 from ..session import cut_lineage
 
 # Component types, keys and limits of page models.
@@ -226,3 +226,86 @@ def model_sections(models: DataFrame, origin: str, root: str = "/content/dam") -
         (F.col("item") > 0).alias("item_group"),
         F.when((F.col("item") > 0) & F.col("head").startswith("## "), F.substr("head", F.lit(4))).otherwise("").alias("group_heading"),
         text.alias("text"), "media", layout.alias("layout_type"), columns.cast("int").alias("columns"))
+
+
+def _lines(html: Column | str) -> Column:
+    """Text of a fragment: breaks, paragraphs and list entries are lines, markup and blank lines go."""
+    s = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<br\s*/?>|</p>\s*<p[^>]*>", "\n")
+    s = F.regexp_replace(F.regexp_replace(s, "(?i)<li[^>]*>", "\n- "), "<[^>]+>", "")
+    lines = F.transform(F.split(F.replace(unescape_basic(s), F.lit("\r"), F.lit("")), "\n"), trim_ws)
+    return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
+
+
+def _children(node: Column | str) -> Column:
+    """Children of a node in its order: array of (key, kind, node)."""
+    items, order = _get(node, ":items", "map<string,variant>"), _order(node)
+    names = F.when(F.size(order) > 0, order).otherwise(F.map_keys(items))
+    kind = lambda v: F.element_at(F.split(F.coalesce(_get(v, ":type"), F.lit("")), "/"), -1)
+    return F.transform(names, lambda n: F.struct(n.alias("key"), kind(F.try_element_at(items, n)).alias("kind"), F.try_element_at(items, n).alias("node")))
+
+
+def _spoken(node: Column | str) -> Column:
+    """Eyebrow, title and body lines of a node's own children; disclaimers are left out."""
+    said = F.transform(_children(node), lambda c: F.struct(c["key"].alias("key"), c["kind"].alias("kind"), _lines(_get(c["node"], "text")).alias("text")))
+    said = F.filter(said, lambda c: (c["text"] != "") & ~F.contains(c["key"], F.lit("disclaimer")))
+    title = lambda c: (c["kind"] == "title") | c["key"].isin("headline", "title")
+    heads, above = F.filter(said, title), F.filter(said, lambda c: ~title(c) & (c["key"] == "eyebrow"))
+    body = F.transform(F.filter(said, lambda c: ~title(c) & (c["key"] != "eyebrow")), lambda c: c["text"])
+    top = F.array_compact(F.array(F.try_element_at(above, F.lit(-1))["text"], F.concat(F.lit("## "), F.try_element_at(heads, F.lit(1))["text"])))
+    return F.coalesce(F.array_join(F.concat(top, body), "\n"), F.lit(""))
+
+
+def _described(node: Column | str, origin: str, listed: bool = True) -> Column:
+    """Media of a node's description or list of them: a video shows its still, an animation is a film, all else is a picture."""
+    one = F.array(_get(node, "mediaDescriptionModel", "variant"))
+    many = _get(node, "mediaDescriptionList", "array<variant>") if listed else F.array().cast("array<variant>")
+    link = lambda url: F.when(url.startswith("http"), url).when(url.startswith("/"), F.concat(F.lit(origin), url)).when(
+        url != "", F.concat(F.lit(f"{origin}/"), url)).otherwise("")
+
+    def shown(md: Column) -> Column:
+        kind = F.lower(urls.js_or(_get(md, "mediaTypeItems"), F.lit("image")))
+        def ref(name: str) -> Column:
+            return F.coalesce(_get(md, name), F.lit(""))
+
+        def file(kind: str, name: str, video: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), link(ref(name)).alias("pc_url"), link(ref(f"{name}Mobile")).alias("mobile_url"), video.alias("video_id"))
+
+        still = (ref("videoThumbnailImageRef") != "") & ~F.contains(ref("videoThumbnailImageRef"), F.lit("/sample/"))
+        none = F.lit("")
+        return F.when((kind == "video") & still, file("image", "videoThumbnailImageRef", ref("videoID"))).when(
+            (kind == "animation") & (ref("animationRef") != ""), file("video", "animationRef", none)).when(
+            (kind != "video") & (ref("imageRef") != ""), file("image", "imageRef", none))
+
+    return F.array_compact(F.transform(F.when(F.size(many) > 0, many).otherwise(one), shown))
+
+
+def overview_sections(models: DataFrame, origin: str) -> DataFrame:
+    """Sections of the plain form of page models: heroes with their overlay, one section a carousel slide, folding features.
+
+    (page_id, dom, slide, component_id, text, media, layout_type, item_group, column_count, overlay struct<pc, mobile>). Slides keep one medium;
+    slides, heroes and features without text and media go, as do all other components.
+    """
+    parts = models.select("page_id", F.posexplode(_children("model")).alias("dom", "c")).select("page_id", "dom", "c.kind", "c.node")
+    empty = F.lit(0).alias("slide")
+    told = parts.where(F.col("kind").isin("heroimage", *FOLDING)).select("page_id", "dom", empty, "kind", "node")
+    slides = parts.where("kind = 'carousel'").select("page_id", "dom", F.posexplode(_children("node")).alias("slide", "c")).select(
+        "page_id", "dom", "slide", F.lit("carousel").alias("kind"), "c.node")
+    media = F.when(F.col("kind") == "heroimage", _described("node", origin, listed=False)).otherwise(_described("node", origin))
+    side, below = F.coalesce(_get("node", "textBlockHorizontalAlign"), F.lit("")), F.concat_ws(
+        " ", _get("node", "textBlockVerticalMobileAlign"), _get("node", "textBlockVerticalIconBlockMobileAlign"))
+    overlay = F.struct(
+        F.when(side.endswith("pos-left"), "left").when(side.endswith("pos-right"), "right").otherwise("center").alias("pc"),
+        F.when(F.contains(below, F.lit("top")), "top").when(F.contains(below, F.lit("bottom")), "bottom").when(
+            F.contains(below, F.lit("middle")), "middle").otherwise("top").alias("mobile"))
+    rows = told.unionByName(slides).select("page_id", "dom", "slide", "kind", _spoken("node").alias("text"), media.alias("media"), overlay.alias("over"))
+    rows = rows.where((F.col("text") != "") | (F.size("media") > 0))
+    n = F.count(F.lit(1)).over(Window.partitionBy("page_id", "dom"))
+    hero, slide = F.col("kind") == "heroimage", F.col("kind") == "carousel"
+    rows = rows.withColumn("n", F.least(n, F.lit(4)).cast("int"))
+    return rows.select(
+        "page_id", (F.col("dom") + 5000).alias("dom"), "slide", F.concat(F.lit("AEM_"), F.upper("kind")).alias("component_id"), "text",
+        F.when(slide, F.slice("media", 1, 1)).otherwise(F.col("media")).alias("media"),
+        F.when(hero, FULL_WIDTH).when(slide & (F.col("n") > 1), F.concat(F.lit("grid_"), F.col("n").cast("string"), F.lit("_column"))).otherwise(
+            "image_text_right").alias("layout_type"),
+        (slide & (F.col("n") > 1)).alias("item_group"), F.when(slide, F.col("n")).otherwise(1).alias("column_count"),
+        F.when(hero & (F.col("text") != ""), F.col("over")).alias("overlay"))

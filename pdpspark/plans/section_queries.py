@@ -310,6 +310,27 @@ SQL_CLEAN = r"""trim(regexp_replace(array_to_string(list_transform(string_split(
 SQL_MODEL_PAGE = "conv_id || '-' || CAST(coalesce(turn, -1) // 16 AS BIGINT)"
 
 
+def _model_turns(spark, folder):
+    """Turns of a conversation, sixteen turn numbers a page, numbered in order."""
+    page = F.concat_ws("-", F.col("conv_id").cast("string"), F.floor(F.coalesce("turn", F.lit(-1)) / 16).cast("string"))
+    turns = table(spark, folder, "conversations").select(page.alias("page_id"), "turn", "role", "text")
+    return turns.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy("turn", "role", "text")))
+
+
+def _model_trees(rows, part):
+    """One model per page; the names of its components sort against their order."""
+    name = F.concat(F.lit("c"), F.lpad((F.lit(999_999_999) - F.col("rn")).cast("string"), 9, "0"))
+    trees = rows.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("rn", name.alias("name"), part.alias("json")))).alias("c"))
+    root = F.concat(
+        F.lit('{":itemsOrder":["'), F.array_join("c.name", '","'), F.lit('"],":items":{'),
+        F.array_join(F.transform("c", lambda c: F.concat(F.lit('"'), c["name"], F.lit('":'), c["json"])), ","), F.lit("}}"))
+    return trees.select("page_id", F.parse_json(root).alias("model"))
+
+
+def _quoted(text):
+    return F.regexp_extract(F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("t"))), r'^\{"t":(.*)\}$', 1)
+
+
 @query("model_sections", f"""
 WITH r AS (SELECT {SQL_MODEL_PAGE} AS page_id, {SQL_CLEAN} AS t,
                   row_number() OVER (PARTITION BY {SQL_MODEL_PAGE} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rn FROM conversations),
@@ -331,10 +352,8 @@ SELECT page_id, CASE WHEN component_id = 'AEM:textblock' THEN 'disclaimer-' ELSE
 """)
 def model_sections(spark, folder):
     """Sections of page models that hold the turns of a conversation, each below 2 to 9 containers: heroes, lists, notes, pictures, and questions that go."""
-    models = table(spark, folder, "conversations").select(F.concat_ws(
-        "-", F.col("conv_id").cast("string"), F.floor(F.coalesce("turn", F.lit(-1)) / 16).cast("string")).alias("page_id"), "turn", "role", "text")
-    rows = models.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy("turn", "role", "text")))
-    no, said = F.col("rn").cast("string"), F.regexp_extract(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t"))), r'^\{"t":(.*)\}$', 1)
+    rows = _model_turns(spark, folder)
+    no, said = F.col("rn").cast("string"), _quoted("text")
     file = F.concat(F.lit("/content/dam/p"), "page_id", F.lit("-"), no)
     part = F.element_at(F.array(
         F.concat(F.lit('{":type":"x/heroimage",":itemsOrder":["t","b"],":items":{"b":{":type":"x/text","text":'), said, F.lit('},"t":{":type":"x/title","text":"Turn '), no,
@@ -350,10 +369,38 @@ def model_sections(spark, folder):
     ), (F.col("rn") % 5 + 1).cast("int"))
     depth = (F.col("rn") % 8 + 1).cast("int")
     nested = F.concat(F.repeat(F.lit('{":type":"x/container",":itemsOrder":["a"],":items":{"a":'), depth), part, F.repeat(F.lit("}}"), depth))
-    name = F.concat(F.lit("c"), F.lpad((F.lit(999_999_999) - F.col("rn")).cast("string"), 9, "0"))
-    trees = rows.select("page_id", F.struct("rn", name.alias("name"), nested.alias("json")).alias("c")).groupBy("page_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
-    root = F.concat(
-        F.lit('{":itemsOrder":["'), F.array_join("c.name", '","'), F.lit('"],":items":{'),
-        F.array_join(F.transform("c", lambda c: F.concat(F.lit('"'), c["name"], F.lit('":'), c["json"])), ","), F.lit("}}"))
-    sections = model.model_sections(trees.select("page_id", F.parse_json(root).alias("model")), "https://www.shop.example")
+    sections = model.model_sections(_model_trees(rows, nested), "https://www.shop.example")
     return sections.withColumn("media", F.array_join(F.transform("media", lambda m: F.concat_ws(" ", m["kind"], m["pc_url"], m["mobile_url"])), "|"))
+
+
+@query("overview_sections", f"""
+WITH r AS (SELECT {SQL_MODEL_PAGE} AS page_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS t,
+                  row_number() OVER (PARTITION BY {SQL_MODEL_PAGE} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rn FROM conversations),
+f AS (SELECT *, 'https://www.shop.example/p' || page_id || '-' || rn AS file, 4999 + rn AS dom FROM r)
+SELECT page_id, dom, 0 AS slide, 'AEM_HEROIMAGE' AS component_id, rtrim('Above' || chr(10) || '## “Ünit” ' || rn || chr(10) || t, chr(10)) AS text,
+       'image ' || file || '.jpg ' || file || '-m.jpg ' AS media, 'hero_full_width' AS layout_type, false AS item_group, 1 AS column_count, 'right bottom' AS overlay
+FROM f WHERE rn % 4 = 0
+UNION ALL SELECT page_id, dom, 0, 'AEM_CAROUSEL', t, 'image ' || file || '-v.jpg  v' || rn, 'grid_2_column', true, 2, '' FROM f WHERE rn % 4 = 1
+UNION ALL SELECT page_id, dom, 2, 'AEM_CAROUSEL', 'Last', '', 'grid_2_column', true, 2, '' FROM f WHERE rn % 4 = 1
+UNION ALL SELECT page_id, dom, 0, 'AEM_IMAGETEXTFOLDINGFEATURE', t, 'image ' || file || '-1.jpg  |video ' || file || '.mp4  ', 'image_text_right', false, 1, '' FROM f WHERE rn % 4 = 2
+""")
+def overview_sections(spark, folder):
+    """Sections of plain page models that hold the turns of a conversation: heroes with overlays, slides, folding features; fragments go."""
+    rows = _model_turns(spark, folder)
+    no, said, file = F.col("rn").cast("string"), _quoted("text"), F.concat(F.lit("/p"), "page_id", F.lit("-"), F.col("rn").cast("string"))
+    part = F.element_at(F.array(
+        F.concat(F.lit('{":type":"x/heroimage","textBlockHorizontalAlign":"main-pos-right","textBlockVerticalMobileAlign":"bottom",":itemsOrder":["a","headline","eyebrow","disclaimer1"],'
+                       '":items":{"a":{"text":'), said, F.lit('},"headline":{"text":"<b>&ldquo;&#220;nit&#x201d;</b> '), no,
+                 F.lit('"},"eyebrow":{"text":"Above"},"disclaimer1":{"text":"no"}},"mediaDescriptionModel":{"imageRef":"'), file, F.lit('.jpg","imageRefMobile":"'), file,
+                 F.lit('-m.jpg"},"mediaDescriptionList":[{"imageRef":"/not-read.jpg"}]}')),
+        F.concat(F.lit('{":type":"x/carousel",":itemsOrder":["s","e","l"],":items":{"l":{":items":{"t":{"text":"Last"}}},"e":{},"s":{":items":{"t":{"text":'), said,
+                 F.lit('}},"mediaDescriptionList":[{"mediaTypeItems":"Video","videoThumbnailImageRef":"'), file, F.lit('-v.jpg","videoID":"v'), no,
+                 F.lit('"},{"imageRef":"/second.jpg"}]}}}')),
+        F.concat(F.lit('{":type":"x/imagetextfoldingfeature",":items":{"t":{"text":'), said, F.lit('}},"mediaDescriptionList":[{"imageRef":"'), file,
+                 F.lit('-1.jpg"},{"mediaTypeItems":"video","videoThumbnailImageRef":"/sample/x.jpg"},{"mediaTypeItems":"animation","animationRef":"'), file, F.lit('.mp4"}]}')),
+        F.concat(F.lit('{":type":"x/experiencefragment",":items":{"t":{"text":'), said, F.lit("}}}")),
+    ), (F.col("rn") % 4 + 1).cast("int"))
+    sections = model.overview_sections(_model_trees(rows, part), "https://www.shop.example")
+    return sections.withColumns({
+        "media": F.array_join(F.transform("media", lambda m: F.concat_ws(" ", m["kind"], m["pc_url"], m["mobile_url"], m["video_id"])), "|"),
+        "overlay": F.coalesce(F.concat_ws(" ", "overlay.pc", "overlay.mobile"), F.lit(""))})

@@ -208,6 +208,12 @@ _PUSH = r'self\.__next_f\.push\(\[1,("(?:[^"\\]|\\.)*")\]\)'
 _MODEL = pa.schema([("page_id", pa.int64()), ("model", pa.string())])
 
 
+def _with_order(node: dict) -> dict:
+    """Children keep the order of the page where a node lists none: VARIANT sorts its keys."""
+    items = node.get(":items")
+    return node if not isinstance(items, dict) or node.get(":itemsOrder") else {**node, ":itemsOrder": list(items)}
+
+
 def _model_of(pushes: list[str]) -> str | None:
     """The overview part of a page model as JSON text."""
     text = "".join(json.loads(p) for p in pushes)
@@ -216,7 +222,7 @@ def _model_of(pushes: list[str]) -> str | None:
         return None
     rest = text[at + len('"overview-section":'):].lstrip()
     try:
-        value, _ = json.JSONDecoder().raw_decode(rest)
+        value, _ = json.JSONDecoder(object_hook=_with_order).raw_decode(rest)
     except ValueError:
         return None
     return json.dumps(value, ensure_ascii=False)
@@ -236,38 +242,6 @@ def page_model(pages: DataFrame) -> DataFrame:
         "page_id", F.parse_json("model").alias("model"))
 
 
-def model_items(models: DataFrame, depth: int = 4) -> DataFrame:
-    """(page_id, path, kind, item): components of a model tree in page order, down to `depth` levels."""
-    level = models.select("page_id", F.array().cast("array<int>").alias("path"), F.col("model").alias("item"))
-    out = None
-    for _ in range(depth):
-        order = F.coalesce(F.try_variant_get("item", "$[':itemsOrder']", "array<string>"), F.array().cast("array<string>"))
-        kids = level.select("page_id", "path", "item", F.posexplode(order).alias("pos", "name"))
-        entries = kids.select(
-            "page_id", F.array_append("path", F.col("pos")).alias("path"), "name",
-            F.try_element_at(F.try_variant_get("item", "$[':items']", "map<string,variant>"), F.col("name")).alias("item"))
-        level = entries.where("item is not null").select("page_id", "path", "item")
-        rows = level.withColumn("kind", F.try_variant_get("item", "$[':type']", "string"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def model_sections(models: DataFrame, origin: str) -> DataFrame:
-    """(page_id, path, kind, headline, body, pc_url, mobile_url) of model components that say or show something."""
-    from ..functions.text import plain_html
-
-    get = lambda name: F.try_variant_get("item", f"$.{name}", "string")
-    items = model_items(models)
-    head = plain_html(urls.js_or(get("title"), get("headline"), get("jcrTitle")))
-    body = plain_html(urls.js_or(get("text"), get("description"), get("bodyCopy")))
-    pc = urls.js_or(F.try_variant_get("item", "$.mediaModel.imageRef", "string"), get("imageRef"), get("fileReference"))
-    mobile = urls.js_or(F.try_variant_get("item", "$.mediaModel.imageRefMobile", "string"), get("imageRefMobile"))
-    rows = items.select(
-        "page_id", "path", "kind", head.alias("headline"), body.alias("body"), urls.abs_url(pc, origin).alias("pc_url"),
-        urls.abs_url(mobile, origin).alias("mobile_url"))
-    return rows.where((F.col("headline") != "") | (F.col("body") != "") | (F.col("pc_url") != ""))
-
-
 # ---------------------------------------------------------------- dimensions
 
 

@@ -3,6 +3,7 @@ import struct
 import zipfile
 
 from pdpspark.operators import bundle, extract, match
+from pdpspark.operators.model import model_sections
 from pdpspark.sources import readers, writers
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -91,9 +92,9 @@ def test_page_model(spark):
     halves = model[:40], model[40:]
     html = "".join(f"<script>self.__next_f.push([1,{json.dumps(h)}])</script>" for h in halves)
     pages = spark.createDataFrame([(1, html), (2, "none")], "page_id long, html string")
-    rows = readers.model_sections(readers.page_model(pages), "https://x.example").orderBy("path").collect()
-    assert [(r.kind, r.headline, r.body, r.pc_url) for r in rows] == [
-        ("t/image", "Big", "", "https://x.example/i.jpg"), ("t/text", "", "Hi", "")]
+    rows = model_sections(readers.page_model(pages), "https://x.example", root="/").orderBy("order").collect()
+    assert [(r.component_id, r.text, [m.pc_url for m in r.media]) for r in rows] == [
+        ("AEM:image", "## Big", ["https://x.example/i.jpg"]), ("AEM:text", "Hi", [])]
 
 
 def test_image_headers(spark, tmp_path):
