@@ -645,6 +645,27 @@ def apply_moves(media: DataFrame, moves: DataFrame) -> DataFrame:
         "sec_ord", F.coalesce("to_section", "sec_ord")).drop("to_section")
 
 
+def reorder_sections(sections: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sections + place): sections in the wanted order where it names every section of the page once, else as they are.
+
+    sections: page_id, sec_ord, disclaimer; wanted: page_id, place, sec_ord. Disclaimer sections are no part of the wanted order: they follow the
+    section before them, those before any stay first. Pages without a wanted order, and orders with a repeated, missing, unknown or null
+    number, keep theirs. `place` numbers the sections of a page from 1.
+    """
+    page = Window.partitionBy("page_id").orderBy("sec_ord")
+    note = F.coalesce("disclaimer", F.lit(False))
+    rows = sections.withColumn("__owner", F.last(F.when(~note, F.col("sec_ord")), ignorenulls=True).over(page))
+    own = sections.where(~note).select("page_id", "sec_ord", F.lit(1).alias("__own"))
+    asked = wanted.groupBy("page_id", "sec_ord").agg(F.count(F.lit(1)).alias("__times"), F.min("place").alias("__at"))
+    pairs = asked.join(own, ["page_id", "sec_ord"], "full")
+    good = pairs.groupBy("page_id").agg(F.bool_and((F.coalesce("__own", F.lit(0)) == 1) & (F.coalesce("__times", F.lit(0)) == 1)).alias("__good")).where("__good")
+    moved = asked.join(good, "page_id", "left_semi").select("page_id", F.col("sec_ord").alias("__owner"), "__at")
+    rows = rows.join(moved, ["page_id", "__owner"], "left")
+    at = F.when(F.col("__owner").isNotNull(), F.coalesce("__at", "__owner"))
+    order = Window.partitionBy("page_id").orderBy(at.asc_nulls_first(), "sec_ord")
+    return rows.select(*sections.columns, F.row_number().over(order).alias("place"))
+
+
 LOOK_AHEAD, MOST_ABSORBED = 10, 3
 
 

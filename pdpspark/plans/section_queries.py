@@ -404,3 +404,23 @@ def overview_sections(spark, folder):
     return sections.withColumns({
         "media": F.array_join(F.transform("media", lambda m: F.concat_ws(" ", m["kind"], m["pc_url"], m["mobile_url"], m["video_id"])), "|"),
         "overlay": F.coalesce(F.concat_ws(" ", "overlay.pc", "overlay.mobile"), F.lit(""))})
+
+
+@query("section_moves", f"""
+WITH s AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {SQL_LINE}) AS sec_ord, l_returnflag = 'R' AS disclaimer FROM lineitem),
+w AS (SELECT page_id, list(CASE WHEN page_id % 3 = 0 AND sec_ord = 2 THEN 1 WHEN page_id % 7 = 0 AND sec_ord = 3 THEN 999 ELSE sec_ord END ORDER BY sec_ord DESC) AS asked,
+             list(sec_ord ORDER BY sec_ord) AS own FROM s WHERE NOT disclaimer AND NOT (page_id % 5 = 0 AND sec_ord = 4) GROUP BY page_id),
+p AS (SELECT page_id, list(sec_ord ORDER BY sec_ord) AS own FROM s WHERE NOT disclaimer GROUP BY page_id),
+o AS (SELECT s.*, max(CASE WHEN NOT disclaimer THEN sec_ord END) OVER (PARTITION BY page_id ORDER BY sec_ord) AS owner FROM s)
+SELECT o.page_id, sec_ord, disclaimer, CAST(row_number() OVER (PARTITION BY o.page_id ORDER BY
+         CASE WHEN owner IS NULL THEN 0 WHEN list_sort(asked) = p.own THEN list_position(asked, owner) ELSE owner END, sec_ord) AS INT) AS place
+FROM o LEFT JOIN w USING (page_id) LEFT JOIN p USING (page_id)
+""")
+def section_moves(spark, folder):
+    """Line items as sections, asked for in reverse; some orders name a section twice, one that is none, or leave one out."""
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE))
+    rows = lines(spark, folder).select(F.col("l_orderkey").alias("page_id"), number.alias("sec_ord"), (F.col("l_returnflag") == "R").alias("disclaimer"))
+    page, at = F.col("page_id"), F.col("sec_ord")
+    asked = F.when((page % 3 == 0) & (at == 2), 1).when((page % 7 == 0) & (at == 3), 999).otherwise(at)
+    wanted = rows.where(~F.col("disclaimer") & ~((page % 5 == 0) & (at == 4))).select("page_id", (-at).alias("place"), asked.alias("sec_ord"))
+    return sections.reorder_sections(rows, wanted)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -108,39 +109,50 @@ def activity_windows(events: DataFrame, size: str, slide: str | None = None, gap
         F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
 
 
-def upsert_catalog(path: str, key: str = "slug", order: str = "crawled_at") -> Callable[[DataFrame, int], None]:
-    """foreachBatch function (M7): the newest crawl of a product replaces its row.
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
-    Each batch writes a new version of the table next to the last one and then names it, so a batch that runs again
-    after a failure gives the same table.
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """Rows of the highest version of each bucket; the list holds one row a bucket, so its size is the number of buckets."""
+    last = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(last), ["bucket", "version"], "left_semi")
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue that `upsert_catalog` keeps, one row a key."""
+    return _latest(spark.read.option("mergeSchema", True).parquet(path)).drop("bucket", "version")
+
+
+def upsert_catalog(path: str, key: str = "slug", order: str = "crawled_at", buckets: int = 256) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function (M7): the newest crawl of a product replaces its row, and only the buckets of keys in the batch are written.
+
+    The table is cut into `buckets` by the hash of the key (a fixed number for the life of a table, sized so that one bucket is an ordinary
+    write). A batch reads the last version of its buckets before it, merges, and writes them as `bucket=b/version=batch`; other buckets are
+    neither read nor written, old versions are never touched, so a batch that breaks off or runs again gives the same table. Rows with a null key
+    go; of rows with an equal key and order the greatest by all columns stays.
     """
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rest = [c for c in batch.columns if c != key]
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
-        version = latest_version(spark, path, below=batch_id)
-        if version is None:
-            merged = newest
-        else:
-            old = spark.read.parquet(f"{path}/v={version}")
-            both = old.unionByName(newest)
-            merged = both.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        spark = batch.sparkSession
 
-    return upsert
+        def newest(rows: DataFrame, columns: list[str]) -> DataFrame:
+            return rows.groupBy("bucket", key).agg(F.max(F.struct(F.col(order).alias("__order"), *columns)).alias("r")).select(
+                "bucket", key, *[F.col(f"r.{c}").alias(c) for c in columns])
 
+        fresh = newest(batch.where(F.col(key).isNotNull()).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), rest)
+        old = _stored(spark, path)
+        if old is not None:
+            touched = F.broadcast(fresh.select("bucket").distinct())  # at most `buckets` rows
+            old = _latest(old.where(F.col("version") < batch_id).join(touched, "bucket", "left_semi")).drop("version")
+            both = old.unionByName(fresh, allowMissingColumns=True)
+            fresh = newest(both, [c for c in both.columns if c not in ("bucket", key)])
+        fresh.withColumn("version", F.lit(batch_id)).repartition("bucket").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(path)
 
-def latest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """Highest finished version of a catalogue folder, listed through the session's own file system."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    found = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        done = fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-        if name.startswith("v=") and done and (below is None or int(name[2:]) < below):
-            found.append(int(name[2:]))
-    return max(found, default=None)
+    return upsert

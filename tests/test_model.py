@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pdpspark.functions.text import unescape_basic
-from pdpspark.operators import model
+from pdpspark.operators import model, sections
 
 HOST = "https://x.example"
 
@@ -85,3 +85,15 @@ def test_overview_carousels(spark):
     ("&nope; & &amp &", "&nope; & &amp &"), ("&#0039;&apos;&#39 x", "''' x"), ("", ""), (None, "")])
 def test_character_references(spark, text, plain):
     assert spark.createDataFrame([(text,)], "t string").select(unescape_basic("t")).first()[0] == plain
+
+
+def test_order_guard(spark):
+    rows = [(page, at, at in (1, 3)) for page in "abcdefg" for at in (1, 2, 3, 4, 5)] + [("h", 1, None), ("h", 2, False)]
+    found = spark.createDataFrame(rows, "page_id string, sec_ord int, disclaimer boolean")
+    asked = {"a": [5, 4, 2], "b": [5, 4], "c": [5, 4, 2, 2], "d": [5, 4, 3, 2], "e": [5, 4, None], "f": [5, 4, 9], "h": [2, 1], "z": [1]}
+    wanted = spark.createDataFrame([(p, i, at) for p, order in asked.items() for i, at in enumerate(order)], "page_id string, place int, sec_ord int")
+    got = {}
+    for r in sections.reorder_sections(found, wanted).orderBy("page_id", "place").collect():
+        got.setdefault(r.page_id, []).append(r.sec_ord)
+    assert got == {"a": [1, 5, 4, 2, 3], "h": [2, 1]} | {p: [1, 2, 3, 4, 5] for p in "bcdefg"}
+    assert sections.reorder_sections(found.limit(0), wanted).count() == 0
