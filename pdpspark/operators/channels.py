@@ -389,7 +389,7 @@ def summary_rules(summaries: DataFrame) -> DataFrame:
 def typed_lines(docs: DataFrame, keys, text_col: str = "text", first_is_title: bool = True) -> DataFrame:
     """(keys, line, kind, level, content): export lines of a section text.
 
-    Kinds: heading, bold, disclaimer, title (a short first line without heading), body. A plain line that repeats a heading
+    Kinds: heading, bold, disclaimer, title (the first line of no other kind, if it is short and no heading comes before it), body. A plain line that repeats a heading
     goes, and each line counts once per section.
     """
     raw = F.transform(
@@ -402,12 +402,16 @@ def typed_lines(docs: DataFrame, keys, text_col: str = "text", first_is_title: b
         kept, F.array().cast("array<struct<line:int,s:string,c:string,h:boolean>>"),
         lambda acc, r: F.when(F.exists(acc, lambda x: F.lower(x["c"]) == F.lower(r["c"])), acc).otherwise(F.array_append(acc, r)),
     )
-    flat = base.select(*keys, F.size(seen).alias("__n"), F.posexplode(seen).alias("pos", "r"))
+    is_bold = lambda s: s.startswith("**") & s.endswith("**")
+    is_note = lambda s: s.rlike("^[*※]")
+    first = lambda test: F.array_position(F.transform("__seen", test), True)
+    told, headed = first(lambda r: ~(r["h"] | is_bold(r["s"]) | is_note(r["s"]))), first(lambda r: r["h"])
+    title_at = F.when(F.lit(first_is_title) & (told > 0) & ((headed == 0) | (told < headed)), told - 1)
+    flat = base.withColumn("__seen", seen).select(*keys, title_at.alias("__title"), F.posexplode("__seen").alias("pos", "r"))
     s, c = F.col("r.s"), F.col("r.c")
     level = F.length(F.regexp_extract(s, "^(#+)", 1))
-    bold = s.startswith("**") & s.endswith("**")
-    plain = F.when((F.col("pos") == 0) & F.lit(first_is_title) & (F.length(c) <= text.HEADLINE_MAX), "title").otherwise("body")
-    kind = F.when(F.col("r.h"), "heading").when(bold, "bold").when(s.rlike("^[*※]"), "disclaimer").otherwise(plain)
+    plain = F.when((F.col("pos") == F.col("__title")) & (F.length(c) <= text.HEADLINE_MAX), "title").otherwise("body")
+    kind = F.when(F.col("r.h"), "heading").when(is_bold(s), "bold").when(is_note(s), "disclaimer").otherwise(plain)
     return flat.select(
         *keys, F.col("r.line").alias("line"), kind.alias("kind"), F.when(F.col("r.h"), level).alias("level"),
         F.when(kind == "disclaimer", s).otherwise(c).alias("content"),

@@ -403,9 +403,10 @@ d AS (SELECT *, trim(regexp_replace(c, '\\.+$', '')) AS d FROM c WHERE c <> ''),
 k AS (SELECT *, bool_or(h) OVER (PARTITION BY doc_id, lower(c)) AS headed FROM d),
 n AS (SELECT * FROM k WHERE (h OR NOT headed) AND NOT {SQL_DESCRIBES.format(t='d')}),
 u AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, lower(c) ORDER BY i) = 1),
-p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM u),
+p AS (SELECT *, count(*) FILTER (NOT h AND NOT (starts_with(s, '**') AND ends_with(s, '**')) AND NOT regexp_matches(s, '^[*※]')) OVER (PARTITION BY doc_id ORDER BY i) AS r,
+             count(*) FILTER (h) OVER (PARTITION BY doc_id ORDER BY i) AS hs FROM u),
 t AS (SELECT doc_id, c, CASE WHEN h THEN 'heading' WHEN starts_with(s, '**') AND ends_with(s, '**') THEN 'bold' WHEN regexp_matches(s, '^[*※]') THEN 'disclaimer'
-   WHEN r = 1 AND length(c) <= 70 THEN 'title' ELSE 'body' END AS kind, s FROM p)
+   WHEN r = 1 AND hs = 0 AND length(c) <= 70 THEN 'title' ELSE 'body' END AS kind, s FROM p)
 SELECT doc_id, kind, count(*) AS n, CAST(sum(length(CASE WHEN kind = 'disclaimer' THEN s ELSE c END)) AS BIGINT) AS n_chars FROM t GROUP BY ALL
 """)
 def doc_typed_lines(spark, folder):

@@ -1,4 +1,4 @@
-"""Page models: walk, pairing of desktop and mobile files, lists, furniture, and character references."""
+"""Page models, wanted section orders, typed lines and character references."""
 
 import json
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pdpspark.functions.text import unescape_basic
-from pdpspark.operators import model, sections
+from pdpspark.operators import channels, model, sections
 
 HOST = "https://x.example"
 
@@ -97,3 +97,11 @@ def test_order_guard(spark):
         got.setdefault(r.page_id, []).append(r.sec_ord)
     assert got == {"a": [1, 5, 4, 2, 3], "h": [2, 1]} | {p: [1, 2, 3, 4, 5] for p in "bcdefg"}
     assert sections.reorder_sections(found.limit(0), wanted).count() == 0
+
+
+@pytest.mark.parametrize("said, kinds", [
+    ("**Bold**\nShort title\nbody", ["bold", "title", "body"]), ("* note\n※ note two\nShort\nShort", ["disclaimer", "disclaimer", "title"]),
+    ("**Bold**\n# Head\nShort", ["bold", "heading", "body"]), ("x" * 71 + "\nShort", ["body", "body"]), ("", []), (None, [])])
+def test_title_waits_for_the_first_plain_line(spark, said, kinds):
+    lines = channels.typed_lines(spark.createDataFrame([(1, said)], "id int, text string"), ["id"])
+    assert [r.kind for r in lines.orderBy("line").collect()] == kinds
